@@ -57,9 +57,15 @@ def template(text: Column) -> Column:
     return F.split(F.translate(t, UPPER + MARKS, LOWER), " ")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, although the optimiser would inline it into every lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _windows(tokens: Column, n: int) -> Column:
     """xxhash64 of each window of n template words."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n))))
+    hashes = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n))))
+    return _let(tokens, hashes)
 
 
 def find_leaks(
@@ -75,7 +81,8 @@ def find_leaks(
     Of several alignments of a pair the one that covers most windows is kept
     (ties: the earlier place).
     """
-    items = benchmark.select("item_id", template(F.col("text")).alias("tokens"), raw_words(F.col("text")).alias("words")).filter(F.size("tokens") >= window)
+    items = benchmark.select("item_id", template(F.col("text")).alias("tokens"), raw_words(F.col("text")).alias("words"))
+    items = stored(items.filter(F.size("tokens") >= window), "items")
     # Only windows with at least half literal words can identify an item.
     literal = lambda w: F.size(F.filter(w, lambda x: ~x.startswith("<"))) * 2 >= window
     grams = items.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - window + 1), lambda i: F.slice("tokens", i, window))).alias("item_at", "w")).filter(literal(F.col("w")))
@@ -84,8 +91,7 @@ def find_leaks(
     small = grams.count() <= broadcast_rows
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    tokens = docs.select(F.col("doc_id"), template(F.col("text")).alias("tokens"))
-    hashes = tokens.select("doc_id", _windows(F.col("tokens"), window).alias("hs"))
+    hashes = docs.select("doc_id", _windows(template(F.col("text")), window).alias("hs"))
     met = hashes.select("doc_id", F.posexplode("hs").alias("at", "h")).join(side(grams), "h")
     runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("windows"))
     runs = stored(runs.join(side(totals), "item_id").filter(F.col("windows") >= coverage * F.col("item_windows")), "runs")
@@ -93,15 +99,18 @@ def find_leaks(
     # Slots: the documents that matched are read again, now with their words.
     found = docs.select("doc_id", "text").join(runs, "doc_id")
     found = found.join(side(items.withColumnsRenamed({"tokens": "i_tokens", "words": "i_words"})), "item_id")
-    found = found.withColumn("tokens", template(F.col("text"))).withColumn("words", raw_words(F.col("text"))).drop("text")
-    n = F.size("i_tokens")
-    cut = lambda c: F.slice(c, F.greatest(F.col("shift") + 1, F.lit(1)), F.least(n + F.least(F.col("shift"), F.lit(0)), F.size(c) - F.greatest(F.col("shift"), F.lit(0))))
-    skip = lambda c: F.slice(c, F.greatest(1 - F.col("shift"), F.lit(1)), n)
+    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", F.struct(template(F.col("text")).alias("t"), raw_words(F.col("text")).alias("w"), F.col("i_tokens").alias("it"), F.col("i_words").alias("iw")).alias("both"))
     tidy = lambda w: F.translate(w, UPPER + MARKS, LOWER)
-    zipped = F.arrays_zip(cut("tokens").alias("dt"), cut("words").alias("dw"), skip("i_tokens").alias("it"), skip("i_words").alias("iw"))
-    slots = F.filter(zipped, lambda z: z["it"].startswith("<") & (z["it"] == z["dt"]))
-    pairs = F.array_distinct(F.transform(slots, lambda z: F.struct(tidy(z["iw"]).alias("i"), tidy(z["dw"]).alias("d"))))
-    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", pairs.alias("pairs"))
+
+    def slots(x: Column) -> Column:
+        """Pairs of an item's and the document's value of the same slot, over the words that the alignment covers."""
+        d0, i0 = F.greatest(F.col("shift"), F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
+        n = F.greatest(F.least(F.size(x["it"]) - i0, F.size(x["t"]) - d0), F.lit(0))
+        z = F.arrays_zip(F.slice(x["t"], d0 + 1, n).alias("dt"), F.slice(x["w"], d0 + 1, n).alias("dw"), F.slice(x["it"], i0 + 1, n).alias("it"), F.slice(x["iw"], i0 + 1, n).alias("iw"))
+        same = F.filter(z, lambda s: s["it"].startswith("<") & (s["it"] == s["dt"]))
+        return F.array_distinct(F.transform(same, lambda s: F.struct(tidy(s["iw"]).alias("i"), tidy(s["dw"]).alias("d"))))
+
+    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", _let(F.col("both"), slots).alias("pairs"))
     one = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: p[f]))) == F.size("pairs")
     kept = found.filter(one("i") & one("d"))
     best = F.max_by(F.struct("windows", "item_windows", F.size("pairs").alias("n_slots")), F.struct(F.col("windows"), -F.col("shift"))).alias("b")
