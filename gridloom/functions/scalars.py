@@ -28,7 +28,7 @@ def vpd(t_c: Column, rh_pct: Column) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))  # least and greatest skip nulls
 
 
 def quantize(c: Column, scale: float, nodata: int, low: int = -32767, high: int = 32767) -> Column:
