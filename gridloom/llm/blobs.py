@@ -13,8 +13,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK = 4 << 20  # bytes of text at a time
+BUCKET = 4 << 20  # bytes of text for each bucket
+
+
+def bucket_count(texts: DataFrame) -> int:
+    """Buckets for the column ``text``, in proportion to its bytes, so that a bucket's size does not depend on the input."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, min(1 << 20, -(-total // BUCKET)))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

@@ -92,7 +92,7 @@ def find_leaks(
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     hashes = docs.select("doc_id", _windows(template(F.col("text")), window).alias("hs"))
-    met = hashes.select("doc_id", F.posexplode("hs").alias("at", "h")).join(side(grams), "h")
+    met = hashes.select("doc_id", F.posexplode_outer("hs").alias("at", "h")).join(side(grams), "h")
     runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("windows"))
     runs = stored(runs.join(side(totals), "item_id").filter(F.col("windows") >= coverage * F.col("item_windows")), "runs")
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import chunks, gathered, per_bucket, sent as sent_rows
+from .blobs import bucket_count, chunks, gathered, per_bucket, sent as sent_rows
 from .common import scratch_path, stored
 
 END = b"\n"  # no word holds white space
@@ -252,9 +252,8 @@ class Model:
 
 def train(texts: DataFrame, buckets: int | None = None) -> Model:
     """``text`` -> a model in the shared folder."""
-    spark = texts.sparkSession
-    buckets = buckets or min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    model = Model(scratch_path(spark, "lm"), buckets)
+    buckets = buckets or bucket_count(texts)
+    model = Model(scratch_path(texts.sparkSession, "lm"), buckets)
 
     def count_words(batches):
         held, n = [], 0

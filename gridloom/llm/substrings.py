@@ -40,9 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import chunks, gathered, per_bucket, sent
+from .blobs import bucket_count, chunks, gathered, per_bucket, sent
 from .common import stored
 
+TEXT = 768 << 10  # bytes of text hashed at a time
+RUNS = 300_000  # runs of a task before they are sent
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
@@ -135,10 +137,22 @@ def repeated_runs(docs: DataFrame, width: int, gram: int, buckets: int) -> DataF
     """bucket (of documents), a0 doc, a1 start, a2 windows, a3 anchor (0: remove the run), a4 anchor offset."""
 
     def send(batches):
-        for part, texts in chunks(batches, 1):
+        held, rows = [], 0
+
+        def flush():
+            anchor, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from _by_bucket(_bucket(anchor, buckets), anchor, *rest)
+
+        for part, texts in chunks(batches, 1, TEXT):
             anchor, rank, text, start, n, off = runs(*_laid(texts), width, gram)
             doc = part.column(0).to_numpy()[text]
-            yield from _by_bucket(_bucket(anchor, buckets), anchor, rank, doc, start.astype(np.uint32), n.astype(np.uint8), off.astype(np.uint8))
+            held.append((anchor, rank, doc, start.astype(np.uint32), n.astype(np.uint8), off.astype(np.uint8)))
+            rows += len(anchor)
+            if rows > RUNS:
+                yield from flush()
+                held, rows = [], 0
+        if rows:
+            yield from flush()
 
     def sort(batches):
         types = [np.uint64, np.uint64, np.int64, np.uint32, np.uint8, np.uint8]
@@ -276,7 +290,7 @@ def removed_bytes(length: int, start: np.ndarray, n: np.ndarray, width: int) ->
 
 def dedup_substrings(docs: DataFrame, *, width: int = 100, gram: int = 24, buckets: int | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes)."""
-    buckets = buckets or min(4096, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or bucket_count(docs)
     if not (gram < width <= 127 + gram and 2 * width - gram <= 3 << (width.bit_length() - 1)):
         raise ValueError("three power-of-two hashes must cover a run of windows")
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
