@@ -12,9 +12,14 @@ positional cover of this width needs 12-14 %, all of which would be shuffled.
    bytes and the anchor's offset in it). Bucket by bucket, runs are sorted by
    (anchor, rank, place): a run whose string occurs earlier is removed whole, by
    rank alone, however long the tie; an anchor of one run needs nothing more.
+   Tasks combine before they send: of the runs of one string that a task holds,
+   only the earliest goes to the anchor's bucket, and the others, which are
+   copies whatever other tasks hold, go to their documents' buckets.
 2. Only where one anchor has several different strings, the first run of each
-   string sends its bytes. Within the bucket all their windows are sorted by
-   (anchor, hash of the window, place), and all but the first of each go.
+   string sends its bytes. Within the bucket their windows are sorted by
+   (anchor, hash of the window, place), and all but the first of each go. That
+   is done for ``PIECE`` bytes at a time: whole anchors, and for an anchor of
+   more bytes one range of window hashes after another.
 3. Removed runs go back to their documents.
 
 A copy of a passage costs one small row per 38 bytes and its bytes only where
@@ -45,6 +50,7 @@ from .common import stored
 
 TEXT = 768 << 10  # bytes of text hashed at a time
 RUNS = 300_000  # runs of a task before they are sent
+PIECE = 1 << 20  # bytes of runs whose windows are sorted at a time
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
@@ -133,6 +139,13 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _copies(anchor: np.ndarray, rank: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of runs sorted by (anchor, rank, place): those whose string has an earlier place."""
+    of_string = _firsts(anchor, rank)
+    first = np.flatnonzero(of_string)[np.cumsum(of_string) - 1]
+    return (doc != doc[first]) | (start != start[first])
+
+
 def repeated_runs(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
     """bucket (of documents), a0 doc, a1 start, a2 windows, a3 anchor (0: remove the run), a4 anchor offset."""
 
@@ -140,8 +153,13 @@ def repeated_runs(docs: DataFrame, width: int, gram: int, buckets: int) -> DataF
         held, rows = [], 0
 
         def flush():
-            anchor, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _by_bucket(_bucket(anchor, buckets), anchor, *rest)
+            anchor, rank, doc, start, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((start, doc, rank, anchor))
+            copy = np.zeros(len(anchor), bool)
+            copy[order] = _copies(anchor[order], rank[order], doc[order], start[order])
+            bucket = np.where(copy, _doc_bucket(doc, buckets), _bucket(anchor, buckets))
+            anchor = np.where(copy, np.uint64(0), np.maximum(anchor, np.uint64(1)))
+            yield from _by_bucket(bucket, anchor, rank, doc, start, *rest)
 
         for part, texts in chunks(batches, 1, TEXT):
             anchor, rank, text, start, n, off = runs(*_laid(texts), width, gram)
@@ -160,13 +178,11 @@ def repeated_runs(docs: DataFrame, width: int, gram: int, buckets: int) -> DataF
             order = np.lexsort((start, doc, rank, anchor))
             anchor, rank, doc, start, n, off = (x[order] for x in (anchor, rank, doc, start, n, off))
             of_string = _firsts(anchor, rank)
-            place = np.cumsum(of_string) - 1
-            first = np.flatnonzero(of_string)[place]
-            copy = (doc != doc[first]) | (start != start[first])
+            copy = (anchor == 0) | _copies(anchor, rank, doc, start)
             group = np.cumsum(_firsts(anchor)) - 1
             strings = np.bincount(group[of_string])[group]
             keep = np.flatnonzero(copy | (of_string & (strings > 1)))
-            a = np.where(copy, np.uint64(0), np.maximum(anchor, np.uint64(1)))[keep]
+            a = np.where(copy, np.uint64(0), anchor)[keep]
             yield from _by_bucket(_doc_bucket(doc[keep], buckets), doc[keep], start[keep], n[keep], a, off[keep])
 
     rows = docs.mapInArrow(send, "bucket int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary, a5 binary")
@@ -183,6 +199,7 @@ def _with_texts(docs: DataFrame, found: DataFrame, buckets: int, keep: list[str]
         for b in batches:
             doc = b.column(0)
             ids = doc.fill_null(0).to_numpy(zero_copy_only=False)
+            ids = np.where(doc.is_null().to_numpy(zero_copy_only=False), np.arange(len(ids)), ids)  # these may lie anywhere
             yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(ids, buckets).astype(np.int32)), *b.columns], names=["bucket", *b.schema.names])
 
     texts = docs.select("doc_id", "text").mapInArrow(number, "bucket int, doc_id long, text string")
@@ -212,7 +229,45 @@ def _met(batches: Iterator[pa.RecordBatch], types: list) -> Iterator[tuple[list[
                 arrays = [np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), types, strict=True)] if held else none
                 order = np.argsort(arrays[0], kind="stable")
                 arrays, held = [x[order] for x in arrays], []
-            yield arrays, b.slice(k)
+            for texts, _ in chunks([b.slice(k)], 3, TEXT):
+                yield arrays, texts
+
+
+def repeated_windows(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, base: np.ndarray, data: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """doc, place of the windows of runs that also start earlier; a run's bytes lie at ``base`` of ``data``."""
+    sizes = n - 1 + width
+    ranges = -(-int(sizes.sum()) // (2 * PIECE))  # one, unless a single anchor has more
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1
+    for k in range(ranges):
+        held = []
+        for at in np.split(np.arange(len(n)), cut):
+            size = sizes[at]
+            own = np.cumsum(size) - size
+            bytes_ = data[np.repeat(base[at] - own, size) + np.arange(int(size.sum()))]
+            which = np.repeat(np.arange(len(at)), n[at])
+            inner = np.arange(len(which)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+            h = string_hashes(bytes_, (width,))[width][own[which] + inner]
+            if ranges > 1:
+                mine = np.flatnonzero(_bucket(h, ranges) == k)
+                h, which, inner = h[mine], which[mine], inner[mine]
+            held.append((anchor[at][which], h, doc[at][which], start[at][which] + inner))
+        a, h, d, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((place, d, h, a))
+        gone = order[_copies(a[order], h[order], d[order], place[order])]
+        yield d[gone], place[gone]
+
+
+def neighbours(d: np.ndarray, place: np.ndarray, most: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of documents as runs of at most ``most``: doc, first place, windows."""
+    order = np.lexsort((place, d))
+    d, place = d[order], place[order]
+    keep = _firsts(d, place)
+    d, place = d[keep], place[keep]
+    lead = np.ones(len(d), bool)
+    lead[1:] = (d[1:] != d[:-1]) | (place[1:] != place[:-1] + 1)
+    since = np.arange(len(d)) - np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    at = np.flatnonzero(lead | (since % most == 0))
+    return d[at], place[at], np.diff(np.concatenate([at, [len(d)]]))
 
 
 def differing_runs(docs: DataFrame, found: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -251,29 +306,14 @@ def differing_runs(docs: DataFrame, found: DataFrame, width: int, buckets: int)
             n = n.astype(np.int64)
             size = n - 1 + width
             base = np.cumsum(size) - size
-            which = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            h = string_hashes(data, (width,))[width][base[which] + inner]
-            place = start.astype(np.int64)[which] + inner
-            d, a = doc[which], anchor[which]
-            order = np.lexsort((place, d, h, a))
-            a, h, d, place = a[order], h[order], d[order], place[order]
-            new = _firsts(a, h)
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            gone = np.flatnonzero((d != d[first]) | (place != place[first]))
-            d, place = d[gone], place[gone]
-            order = np.lexsort((place, d))
-            d, place = d[order], place[order]
-            # Neighbouring windows of a document as one run of at most 255.
-            step = np.cumsum(np.concatenate([[1], ((d[1:] != d[:-1]) | (place[1:] > place[:-1] + 1)).astype(np.int64)])) if len(d) else np.empty(0, np.int64)
-            lead = _firsts(step) if len(d) else np.empty(0, bool)
-            base = np.flatnonzero(lead)
-            since = np.arange(len(d)) - base[np.cumsum(lead) - 1] if len(d) else step
-            lead = lead | (since % 128 == 0) if len(d) else lead
-            at = np.flatnonzero(lead)
-            ends = np.concatenate([at[1:], [len(d)]]).astype(np.int64) - 1 if len(at) else at
-            count = place[ends] - place[at] + 1
-            yield from _by_bucket(_doc_bucket(d[at], buckets), d[at], place[at].astype(np.uint32), count.astype(np.uint8), np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint8))
+            order = np.argsort(anchor, kind="stable")
+            lead = _firsts(anchor[order])
+            before = np.cumsum(size[order]) - size[order]
+            part = (before[lead] // PIECE)[np.cumsum(lead) - 1]  # whole anchors
+            for at in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+                for d, place in repeated_windows(anchor[at], doc[at], start[at].astype(np.int64), n[at], base[at], data, width):
+                    d, place, count = neighbours(d, place)
+                    yield from _by_bucket(_doc_bucket(d, buckets), d, place.astype(np.uint32), count.astype(np.uint8), np.zeros(len(d), np.uint64), np.zeros(len(d), np.uint8))
 
     met = _with_texts(docs, found, buckets, ["a0", "a1", "a2", "a3", "a4"])
     rows = met.mapInArrow(send, "bucket int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary, a5 binary")
@@ -312,10 +352,10 @@ def dedup_substrings(docs: DataFrame, *, width: int = 100, gram: int = 24, bucke
                         gone = int(mask.sum())
                         spans = int((mask & ~np.concatenate([[False], mask[:-1]])).sum())
                         kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                rows.append((i, len(raw), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+                rows.append((i, len(raw), gone, spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[: len(names)], types, strict=False)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     every = found.union(more)

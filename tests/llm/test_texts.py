@@ -301,6 +301,21 @@ def test_substrings_of_periodic_and_overlapping_texts(frame):
     assert rows_of(substrings.dedup_substrings(frame(docs))) == brute_substrings(docs)
 
 
+def test_substrings_in_many_small_pieces(frame, monkeypatch):
+    """Small pieces take the paths of hot anchors: ranges of hashes, and combining before sending."""
+    rng = np.random.default_rng(11)
+    passage = "".join(rng.choice(list("abcdefgh "), 400))
+    docs = [(i, passage[: 150 + i] + "".join(rng.choice(list("xyz "), 120)) + passage[i * 7 :]) for i in range(40)] + [(100 + i, passage) for i in range(20)]
+    n, doc, start, width = np.array([76] * 9), np.arange(9), np.zeros(9, np.int64), 100
+    raw = np.concatenate([np.frombuffer((passage[:170] + str(i % 3) * 5).encode(), np.uint8) for i in range(9)])
+    args = (np.ones(9, np.uint64), doc, start, n, np.arange(9) * 175, raw, width)
+    whole = sorted(zip(*(x.tolist() for x in next(substrings.repeated_windows(*args))), strict=True))
+    monkeypatch.setattr(substrings, "PIECE", 300)
+    parts = list(substrings.repeated_windows(*args))
+    assert len(parts) > 1 and sorted(p for d, at in parts for p in zip(d.tolist(), at.tolist(), strict=True)) == whole
+    assert rows_of(substrings.dedup_substrings(frame(docs))) == brute_substrings(docs)
+
+
 def test_substrings_edge_cases(frame):
     got = substrings.dedup_substrings(frame(EDGE), with_text=True).collect()
     assert len(got) == len(EDGE)
