@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, linededup, mixing, simhash, toxicity
+from gridloom.llm import decontaminate, jaccard, linededup, mixing, toxicity
 from gridloom.llm.common import stored, table
 
-#: Five-word shingles; 84 of 512 bits is where documents of similarity 0.8 mostly lie (75 +- 8).
-SHINGLE, WIDTH, RADIUS = 5, 8, 84
+#: Near copies: Jaccard similarity of five-word shingles.
+SHINGLE, SIMILARITY = 5, "0.8"
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays; a repeated doc_id stays once, a null doc_id always."""
-    groups = simhash.near_duplicates(docs, words=SHINGLE, radius=RADIUS, width=WIDTH)
-    keep = groups.filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.dropDuplicates(["doc_id"]).filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    unique = stored(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), "unique")
+    groups = jaccard.near_copies(unique, words=SHINGLE, similarity=SIMILARITY)
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    kept = unique.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
     return kept.union(docs.filter("doc_id is null")).select(*docs.columns)
 
 

@@ -1,0 +1,194 @@
+"""Near copies by exact Jaccard similarity of word shingles.
+
+Two sets of similarity s or more share a shingle among the first
+n - ceil(s n) + 1 of each, whatever order the shingles have, if it is the same
+order everywhere. So these prefixes, met by shuffle on the shingle, give every
+pair in question, and each of them is checked on the whole sets. No link is
+missed and none is false.
+
+The order puts shingles last that a sample of the documents holds often, so a
+common passage is in hardly any prefix; it changes the work, never the result.
+
+A key with many documents (near copies of one text) is not paired out: its
+documents are compared with a few leaders first, and only pairs that components
+have not joined yet remain for the next round. The last round takes all that
+are left.
+
+Defined results: texts without words are copies of each other; a null doc_id
+has no row; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+from .simhash import _remix, components, shingle_hashes
+
+SAMPLE, OFTEN, MOST = 16, 4, 1_000_000  # one document in 16; seen four times there; shingles that the order knows
+LEADERS = 4
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample holds often, sorted, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, words).view(np.int64))], names=["key"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long")
+    often = sample.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= OFTEN)
+    got = often.orderBy(F.desc("count"), "key").limit(MOST).toArrow()
+    key, count = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
+def prefixes(docs: DataFrame, words: int, least: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, digest of the set, n, prefix."""
+    keys, counts = common
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        keep = len(h) + (-least.numerator * len(h)) // least.denominator + 1
+        if len(keys) and len(h):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            h = h[np.lexsort((h, np.where(keys[at] == h, counts[at], 0)))]
+        return h[:keep].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x, words) for x in b.column(1).to_pylist()]
+            digest = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            n = pa.array([len(h) for h in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), digest, n, pa.array([prefix(h) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n int, prefix array<long>")
+
+
+def _pairs(number: int, least: Fraction, small: int, last: bool):
+    """Rows of a key in one run -> pairs to check (pair, a, b) and the rows (key, node, n) that another round needs."""
+
+    def close(x, y):
+        return np.minimum(x, y) * least.denominator >= np.maximum(x, y) * least.numerator
+
+    def batch(pair: bool, a, b, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), pair)), pa.array(a), pa.array(b), pa.array(n, pa.int32())], names=["pair", "a", "b", "n"])
+
+    def against(node, n, comp, i: int, among: slice):
+        far = (comp[among] != comp[i]) & close(n[among], n[i])
+        other = node[among][far]
+        return np.minimum(other, node[i]), np.maximum(other, node[i])
+
+    def wide(key, node, n, comp) -> Iterator[pa.RecordBatch]:
+        _, sizes = np.unique(comp, return_counts=True)
+        m = len(node)
+        if len(sizes) < 2:
+            return
+        if last or (m * m - int((sizes.astype(np.int64) ** 2).sum())) // 2 <= small * m:
+            found, size = [], 0
+            for i in range(m - 1):
+                found.append(against(node, n, comp, i, slice(i + 1, m)))
+                size += len(found[-1][0])
+                if size >= 100_000 or i == m - 2:
+                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield batch(True, a, b, np.zeros(len(a)))
+                    found, size = [], 0
+            return
+        for i in np.argsort(_remix(node.view(np.uint64), number + 1))[:LEADERS].tolist():
+            a, b = against(node, n, comp, i, slice(0, m))
+            yield batch(True, a, b, np.zeros(len(a)))
+        yield batch(False, key, node, n)
+
+    def whole(key, node, n, comp) -> Iterator[pa.RecordBatch]:
+        """Whole keys: pairs of two rows at once, the others one by one."""
+        if not len(key):
+            return
+        start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        size = np.diff(np.concatenate([start, [len(key)]]))
+        two = start[size == 2]
+        two = two[(comp[two] != comp[two + 1]) & close(n[two], n[two + 1])]
+        ab = np.unique(np.sort(np.stack([node[two], node[two + 1]], axis=1), axis=1), axis=0)
+        yield batch(True, ab[:, 0], ab[:, 1], np.zeros(len(ab)))
+        for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            yield from wide(*(c[s : s + m] for c in (key, node, n, comp)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+            held.append(cols)
+            if held[0][0][0] == cols[0][-1]:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
+            yield from whole(*(c[:cut] for c in cols))
+            held = [[c[cut:] for c in cols]]
+        if held:
+            yield from whole(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Those of the pairs ``a < b`` whose sets reach the similarity, as edges u > v."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x, words).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "set"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    held = stored(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets")
+    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "u long, v long")
+
+
+def near_copies(docs: DataFrame, *, words: int = 5, similarity: str = "0.8", small: int = 8, rounds: int = 8) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id that a chain of links of ``similarity`` or more reaches.
+
+    ``docs`` has each doc_id once. Keys with up to ``small`` unjoined pairs a
+    document are paired out at once.
+    """
+    least = Fraction(similarity)
+    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    fps = stored(prefixes(docs, words, least, common_shingles(docs, words)), "prefixes")
+    nodes = stored(fps.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    rows = fps.join(nodes.select("node"), F.col("doc_id") == F.col("node"), "left_semi").select(F.explode("prefix").alias("key"), F.col("doc_id").alias("node"), "n")
+    comp = edges = None
+    for number in range(rounds):
+        if comp is not None:
+            rows = rows.join(comp.withColumnRenamed("u", "node"), "node", "left")
+        rows = rows.select("key", "node", "n", F.coalesce("component", "node").alias("component") if comp is not None else F.col("node").alias("component"))
+        out = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(number, least, small, number == rounds - 1), "pair boolean, a long, b long, n int")
+        out = stored(out, "pairs")
+        pairs = stored(out.filter("pair").select("a", "b").distinct(), "distinct_pairs")
+        new = stored(verified(pairs, docs, words, least), "links")
+        edges = new if edges is None else edges.union(new)
+        comp = components(edges)
+        rows = out.filter("not pair").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+        if rows.isEmpty():
+            break
+    classes = nodes.join(comp, nodes["node"] == comp["u"], "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(classes, "digest").select("doc_id", "component_id")

@@ -1,0 +1,51 @@
+import numpy as np
+import pytest
+
+import corpus_pipeline as cp
+from gridloom.llm import jaccard
+
+
+def components_of(texts, least=(4, 5)):
+    sets = {i: set(jaccard.shingle_set(t, 5).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if j < i and both * least[1] >= least[0] * all_:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
+
+
+def test_stage_keeps_below_the_limit_and_drops_at_it(spark, sf, frame):
+    """240 of 300 shingles is 0.8 exactly, 239 of 300 is below it."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(60):
+        w = [f"w{k}" for k in rng.integers(0, 10**9, 304)]
+        rows += [(i, " ".join(w)), (100 + i, " ".join(w[: 244 - i % 2]))]
+    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, frame(rows), sf).collect()}
+    assert kept == set(range(60)) | {100 + i for i in range(1, 60, 2)}
+
+
+@pytest.mark.parametrize("small", [8, 0])
+def test_large_group_equals_brute_force(frame, small):
+    """Copies of one text changed in 1 to 9 places, and texts that hold half of it; ``small`` 0 forces rounds of leaders."""
+    rng = np.random.default_rng(1)
+    base = [f"w{k}" for k in range(200)]
+    texts = {}
+    for i in range(120):
+        w = list(base)
+        for at in rng.choice(200, i % 9 + 1, replace=False):
+            w[at] = f"x{rng.integers(0, 10**9)}"
+        texts[i] = " ".join(w if i % 10 else base[:100] + [f"y{k}" for k in rng.integers(0, 10**9, i + 1)])
+    texts |= {200: "", 201: None, 202: "One two", 203: "one TWO", 204: "one three"}
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(frame(list(texts.items())), small=small).collect()}
+    assert got == components_of(texts)
+    assert jaccard.near_copies(frame([])).count() == 0
