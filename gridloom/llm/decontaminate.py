@@ -5,9 +5,14 @@ placeholders, so a question that was re-parameterised (other numbers, other
 names) keeps its template. Windows of ``window`` template words are hashed and
 joined with the benchmark's window hashes; matches on one diagonal (document
 position minus item position) are one alignment. An alignment counts if it
-covers ``coverage`` of the item's windows (all of a short item) and its slots
-are consistent: one value of the item always becomes the same value in the
-document, and no two values become one.
+covers ``coverage`` of the item's windows and its slots are consistent: one
+value of the item always becomes the same value in the document, and no two
+values become one.
+
+Windows with over half placeholders are not searched as templates. Every window
+is searched by its lower-cased words as well, so items of numbers or names and
+copies with changed case are found. An item shorter than ``window`` words is
+one window of its own length.
 
 All DataFrame expressions. A document is one array of hashes until they are
 exploded as (doc_id, position, hash) and met with the benchmark's hashes; only
@@ -15,8 +20,7 @@ documents that match are read again for their slots. The benchmark side is
 broadcast only while its window count is under ``broadcast_rows``; beyond that
 Spark's own join is used.
 
-Defined results: null or empty texts never match; an item shorter than
-``least`` words is not searched for; rows with a repeated doc_id are one
+Defined results: null or empty texts never match; rows with a repeated doc_id are one
 document; an empty table gives an empty result.
 """
 
@@ -62,10 +66,23 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _windows(tokens: Column, n: int) -> Column:
-    """xxhash64 of each window of n template words."""
-    hashes = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n))))
-    return _let(tokens, hashes)
+def plain(text: Column) -> Column:
+    """Raw words lower-cased, marks dropped."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.split(F.translate(F.lower(t), MARKS, ""), " ")
+
+
+#: Ways to read a text; windows of the last one are met by their words alone.
+READINGS = (template, plain)
+
+
+def _hashes(tokens: Column, n: int, reading: int) -> Column:
+    """(reading, n, place, hash) of each window of n words."""
+    each = lambda t: F.when(
+        F.size(t) >= n,
+        F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(F.lit(reading).alias("reading"), F.lit(n).alias("n"), i.alias("at"), F.xxhash64(F.slice(t, i + 1, n)).alias("h"))),
+    ).otherwise(F.array())
+    return _let(tokens, each)
 
 
 def find_leaks(
@@ -81,25 +98,38 @@ def find_leaks(
     Of several alignments of a pair the one that covers most windows is kept
     (ties: the earlier place).
     """
-    items = benchmark.select("item_id", template(F.col("text")).alias("tokens"), raw_words(F.col("text")).alias("words"))
-    items = stored(items.filter(F.size("tokens") >= window), "items")
-    # Only windows with at least half literal words can identify an item.
-    literal = lambda w: F.size(F.filter(w, lambda x: ~x.startswith("<"))) * 2 >= window
-    grams = items.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - window + 1), lambda i: F.slice("tokens", i, window))).alias("item_at", "w")).filter(literal(F.col("w")))
-    grams = stored(grams.select("item_id", "item_at", F.xxhash64("w").alias("h")), "grams")
-    totals = grams.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    words = len(READINGS) - 1
+    text = F.col("text")
+    items = benchmark.filter(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) != "")
+    items = items.select("item_id", F.array(*[r(text) for r in READINGS]).alias("read"), raw_words(text).alias("words"))
+    items = stored(items.withColumn("n", F.least(F.size("words"), F.lit(window))), "items")
+    # Only windows with at least half literal words can identify an item by its template.
+    literal = lambda w: F.size(F.filter(w, lambda x: ~x.startswith("<"))) * 2 >= F.col("n")
+    grams = items.select("item_id", "n", F.posexplode("read").alias("reading", "t"))
+    grams = grams.select("item_id", "n", "reading", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.slice("t", i, F.col("n")))).alias("item_at", "w"))
+    grams = stored(grams.filter((F.col("reading") == words) | literal(F.col("w"))).select("item_id", "item_at", "reading", "n", F.xxhash64("w").alias("h")), "grams")
+    counted = grams.groupBy("item_id", "reading").agg(F.count(F.lit(1)).alias("total"))
+    totals = counted.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("reading", "total"))).alias("totals"))
     small = grams.count() <= broadcast_rows
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
-    hashes = docs.select("doc_id", _windows(template(F.col("text")), window).alias("hs"))
-    met = hashes.select("doc_id", F.posexplode_outer("hs").alias("at", "h")).join(side(grams), "h")
-    runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("windows"))
-    runs = stored(runs.join(side(totals), "item_id").filter(F.col("windows") >= coverage * F.col("item_windows")), "runs")
+    lengths = sorted(r["n"] for r in grams.select("n").distinct().collect())  # ``window`` of them at most
+
+    hashes = docs.select("doc_id", F.explode(F.concat(*[_hashes(r(text), n, k) for k, r in enumerate(READINGS) for n in lengths]) if lengths else F.array(F.struct(F.lit(0).alias("reading"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h")))).alias("x"))
+    met = hashes.select("doc_id", "x.*").join(side(grams), ["h", "reading", "n"])
+    # Windows met by their words count in every reading.
+    met = met.withColumn("by", F.when(F.col("reading") == words, F.sequence(F.lit(0), F.lit(words - 1))).otherwise(F.array("reading")))
+    met = met.select("doc_id", "item_id", "item_at", "reading", (F.col("at") - F.col("item_at")).alias("shift"), F.explode("by").alias("by"))
+    of = lambda k: F.count_distinct(F.when(F.col("reading") == k, F.col("item_at")))
+    runs = met.groupBy("doc_id", "item_id", "by", "shift").agg(F.count_distinct("item_at").alias("windows"), of(F.col("by")).alias("own"))
+    runs = runs.join(side(totals), "item_id").withColumn("item_windows", F.col("totals")[words])
+    # Enough of all windows, or of those that the template can identify.
+    enough = (F.col("windows") >= coverage * F.col("item_windows")) | (F.col("own") >= coverage * F.col("totals")[F.col("by")])
+    runs = stored(runs.filter(enough).drop("totals", "own"), "runs")
 
     # Slots: the documents that matched are read again, now with their words.
     found = docs.select("doc_id", "text").join(runs, "doc_id")
-    found = found.join(side(items.withColumnsRenamed({"tokens": "i_tokens", "words": "i_words"})), "item_id")
-    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", F.struct(template(F.col("text")).alias("t"), raw_words(F.col("text")).alias("w"), F.col("i_tokens").alias("it"), F.col("i_words").alias("iw")).alias("both"))
+    found = found.join(side(items.select("item_id", F.col("read").alias("i_read"), F.col("words").alias("i_words"))), "item_id")
+    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", F.struct(template(text).alias("t"), raw_words(text).alias("w"), F.col("i_read")[F.col("by")].alias("it"), F.col("i_words").alias("iw")).alias("both"))
     tidy = lambda w: F.translate(w, UPPER + MARKS, LOWER)
 
     def slots(x: Column) -> Column:

@@ -351,6 +351,13 @@ def test_reparameterised_items_are_caught_if_slots_agree(spark, frame):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_literal_and_case_changed_items_are_found(spark, frame):
+    items = ["Who wrote the novel Moby Dick?", "Paris, London, Berlin, Madrid, Rome, Vienna, Prague, Lisbon, Oslo", "In 1912 the painter Pablo met Georges and Fernande in Paris with Max and Guillaume", " \n"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = frame([(0, f"Quiz. {items[0]} Answer below."), (1, f"We saw {items[1]} and more."), (2, f"so {items[2].lower()} again"), (3, ""), (4, "who wrote the novel about Moby and Dick"), (5, None)])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_extra_columns_do_no_harm(frame, spark):
     d = frame(EDGE + [(11, ITEM)]).withColumn("size", F.lit("x")).withColumn("rank", F.lit(1)).withColumn("key", F.lit(2)).withColumn("keys", F.lit(3)).withColumn("fp", F.lit(4)).withColumn("n_lines", F.lit("n")).withColumn("bucket", F.lit(0)).withColumn("score", F.lit(0)).withColumn("h", F.lit(0)).withColumn("item_id", F.lit(1)).withColumn("held_out", F.lit(1)).withColumn("l_id", F.lit(1))
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
