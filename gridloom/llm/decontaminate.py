@@ -3,11 +3,15 @@
 A text becomes a sequence of words in which numbers, names and units are typed
 placeholders, so a question that was re-parameterised (other numbers, other
 names) keeps its template. Windows of ``window`` template words are hashed and
-joined with the benchmark's window hashes; matches on one diagonal (document
-position minus item position) are one alignment. An alignment counts if it
-covers ``coverage`` of the item's windows and its slots are consistent: one
-value of the item always becomes the same value in the document, and no two
-values become one.
+joined with the benchmark's window hashes. Matches on one diagonal (document
+position minus item position) and on those up to ``drift`` beside it, for
+inserted or left-out words, are one alignment. An alignment counts if it covers
+``coverage`` of the item's windows and its slots are consistent: in the windows
+that matched, one value of the item always becomes the same value in the
+document. Two values may become one.
+
+A capitalised word at the start of a sentence may be a name or not, so texts
+are read both ways, and an alignment counts if it does in one reading.
 
 Windows with over half placeholders are not searched as templates. Every window
 is searched by its lower-cased words as well, so items of numbers or names and
@@ -26,6 +30,8 @@ document; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +53,8 @@ def raw_words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")
 
 
-def template(text: Column) -> Column:
-    """Array of template words, one for each raw word.
+def template(text: Column, starts: bool = False) -> Column:
+    """Array of template words, one for each raw word; ``starts``: capitalised words at starts of sentences are names too.
 
     Each rule is one pass over the whole text: numbers (with currency,
     decimals, ratios), units after numbers, names (a capitalised word after
@@ -57,7 +63,8 @@ def template(text: Column) -> Column:
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
     t = F.regexp_replace(t, r"(?<![^ (\[\"'])[$€£]?[+-]?\p{N}[\p{N}.,:/]*%?(?![\p{L}\p{N}])", NUMBER)
     t = F.regexp_replace(t, rf"(?<=<n> )(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;>] )\p{Lu}[\p{L}'-]*", NAME)
+    before = r"(?<![^ (\[\"'])" if starts else r"(?<=[\p{L}\p{N},;>] )"
+    t = F.regexp_replace(t, before + r"\p{Lu}[\p{L}'-]*", NAME)
     return F.split(F.translate(t, UPPER + MARKS, LOWER), " ")
 
 
@@ -73,16 +80,13 @@ def plain(text: Column) -> Column:
 
 
 #: Ways to read a text; windows of the last one are met by their words alone.
-READINGS = (template, plain)
+READINGS = (template, lambda text: template(text, True), plain)
 
 
-def _hashes(tokens: Column, n: int, reading: int) -> Column:
-    """(reading, n, place, hash) of each window of n words."""
-    each = lambda t: F.when(
-        F.size(t) >= n,
-        F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(F.lit(reading).alias("reading"), F.lit(n).alias("n"), i.alias("at"), F.xxhash64(F.slice(t, i + 1, n)).alias("h"))),
-    ).otherwise(F.array())
-    return _let(tokens, each)
+def _windows(tokens: Column, n: int) -> Column:
+    """xxhash64 of each window of n words."""
+    hashes = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n))))
+    return _let(tokens, hashes)
 
 
 def find_leaks(
@@ -91,6 +95,7 @@ def find_leaks(
     *,
     window: int = 8,
     coverage: float = 0.5,
+    drift: int = 4,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """doc_id, item_id, windows, item_windows, n_slots: pairs of a document and a benchmark item it holds.
@@ -114,34 +119,46 @@ def find_leaks(
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     lengths = sorted(r["n"] for r in grams.select("n").distinct().collect())  # ``window`` of them at most
 
-    hashes = docs.select("doc_id", F.explode(F.concat(*[_hashes(r(text), n, k) for k, r in enumerate(READINGS) for n in lengths]) if lengths else F.array(F.struct(F.lit(0).alias("reading"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h")))).alias("x"))
-    met = hashes.select("doc_id", "x.*").join(side(grams), ["h", "reading", "n"])
+    met = []
+    for k, read in enumerate(READINGS):
+        for n in lengths or [window]:
+            hashes = docs.select("doc_id", _windows(read(text), n).alias("hs")).select("doc_id", F.posexplode_outer("hs").alias("at", "h"))
+            met.append(hashes.join(side(grams.filter((F.col("reading") == k) & (F.col("n") == n))), "h"))
+    met = reduce(DataFrame.unionByName, met)
     # Windows met by their words count in every reading.
     met = met.withColumn("by", F.when(F.col("reading") == words, F.sequence(F.lit(0), F.lit(words - 1))).otherwise(F.array("reading")))
     met = met.select("doc_id", "item_id", "item_at", "reading", (F.col("at") - F.col("item_at")).alias("shift"), F.explode("by").alias("by"))
-    of = lambda k: F.count_distinct(F.when(F.col("reading") == k, F.col("item_at")))
-    runs = met.groupBy("doc_id", "item_id", "by", "shift").agg(F.count_distinct("item_at").alias("windows"), of(F.col("by")).alias("own"))
+    # Each place of the item takes the match nearest to the alignment's own diagonal, which must have one.
+    near = met.withColumn("off", F.explode(F.sequence(F.lit(-drift), F.lit(drift))))
+    near = near.groupBy("doc_id", "item_id", "by", (F.col("shift") + F.col("off")).alias("centre"), "item_at").agg(
+        F.min_by("shift", F.struct(F.abs("off"), "shift")).alias("shift"), F.max(F.col("reading") == F.col("by")).alias("own")
+    )
+    runs = near.groupBy("doc_id", "item_id", "by", F.col("centre").alias("shift")).agg(
+        F.count(F.lit(1)).alias("windows"), F.count_if("own").alias("own"), F.count_if(F.col("shift") == F.col("centre")).alias("exact"), F.collect_list(F.struct("item_at", "shift")).alias("places")
+    ).filter("exact > 0")
     runs = runs.join(side(totals), "item_id").withColumn("item_windows", F.col("totals")[words])
     # Enough of all windows, or of those that the template can identify.
     enough = (F.col("windows") >= coverage * F.col("item_windows")) | (F.col("own") >= coverage * F.col("totals")[F.col("by")])
-    runs = stored(runs.filter(enough).drop("totals", "own"), "runs")
+    runs = stored(runs.filter(enough).drop("totals", "own", "exact"), "runs")
 
     # Slots: the documents that matched are read again, now with their words.
     found = docs.select("doc_id", "text").join(runs, "doc_id")
-    found = found.join(side(items.select("item_id", F.col("read").alias("i_read"), F.col("words").alias("i_words"))), "item_id")
-    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", F.struct(template(text).alias("t"), raw_words(text).alias("w"), F.col("i_read")[F.col("by")].alias("it"), F.col("i_words").alias("iw")).alias("both"))
+    found = found.join(side(items.select("item_id", "n", F.col("read").alias("i_read"), F.col("words").alias("i_words"))), "item_id")
+    read = F.when(F.col("by") == 0, READINGS[0](text)).otherwise(READINGS[1](text))
+    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", "places", "n", F.struct(read.alias("t"), raw_words(text).alias("w"), F.col("i_read")[F.col("by")].alias("it"), F.col("i_words").alias("iw")).alias("both"))
     tidy = lambda w: F.translate(w, UPPER + MARKS, LOWER)
+    value = lambda s, w: F.when(s == UNIT, F.regexp_replace(tidy(w), "s$", "")).otherwise(tidy(w))  # noqa: E731  one dollar, two dollars
 
     def slots(x: Column) -> Column:
-        """Pairs of an item's and the document's value of the same slot, over the words that the alignment covers."""
-        d0, i0 = F.greatest(F.col("shift"), F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-        n = F.greatest(F.least(F.size(x["it"]) - i0, F.size(x["t"]) - d0), F.lit(0))
-        z = F.arrays_zip(F.slice(x["t"], d0 + 1, n).alias("dt"), F.slice(x["w"], d0 + 1, n).alias("dw"), F.slice(x["it"], i0 + 1, n).alias("it"), F.slice(x["iw"], i0 + 1, n).alias("iw"))
+        """Pairs of an item's and the document's value of the same slot, over the words of the windows that matched."""
+        n = F.col("n")
+        words_of = lambda p: F.transform(F.sequence(F.lit(1), n), lambda k: F.struct((p["item_at"] + k).alias("i"), (p["item_at"] + p["shift"] + k).alias("d")))
+        at = F.array_distinct(F.flatten(F.transform("places", words_of)))
+        z = F.transform(at, lambda p: F.struct(F.get(x["it"], p["i"] - 1).alias("it"), F.get(x["t"], p["d"] - 1).alias("dt"), F.get(x["iw"], p["i"] - 1).alias("iw"), F.get(x["w"], p["d"] - 1).alias("dw")))
         same = F.filter(z, lambda s: s["it"].startswith("<") & (s["it"] == s["dt"]))
-        return F.array_distinct(F.transform(same, lambda s: F.struct(tidy(s["iw"]).alias("i"), tidy(s["dw"]).alias("d"))))
+        return F.array_distinct(F.transform(same, lambda s: F.struct(value(s["it"], s["iw"]).alias("i"), value(s["it"], s["dw"]).alias("d"))))
 
     found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", _let(F.col("both"), slots).alias("pairs"))
-    one = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: p[f]))) == F.size("pairs")
-    kept = found.filter(one("i") & one("d"))
+    kept = found.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs"))
     best = F.max_by(F.struct("windows", "item_windows", F.size("pairs").alias("n_slots")), F.struct(F.col("windows"), -F.col("shift"))).alias("b")
     return kept.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.windows", "b.item_windows", "b.n_slots")

@@ -358,6 +358,19 @@ def test_short_literal_and_case_changed_items_are_found(spark, frame):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_names_at_starts_inserted_words_and_merged_values(spark, frame):
+    shop = "Alice has 3 apples and buys 5 more apples from the shop. Alice gives 2 apples to Bob. How many apples are left?"
+    plain = "the quick brown fox jumps over a lazy dog while seven old sailors watch them from behind some tall wooden fence tonight"
+    bench = spark.createDataFrame([(0, shop), (1, plain), (2, ITEM)], "item_id long, text string")
+    other = shop.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "7").replace("5", "9").replace("2", "6")
+    inserted = plain.replace(" seven", " about seven")
+    merged = shop.replace("3", "4").replace("5", "4")
+    units = ITEM.replace("3 dollars", "1 dollar").replace("John", "Pedro")
+    torn = other.replace("Carol gives", "Erna gives")
+    docs = frame([(0, f"Story. {other} End."), (1, f"well {inserted} ok"), (2, merged), (3, units), (4, torn), (5, "Alice has a shop.")])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 1), (2, 0), (3, 2)}
+
+
 def test_extra_columns_do_no_harm(frame, spark):
     d = frame(EDGE + [(11, ITEM)]).withColumn("size", F.lit("x")).withColumn("rank", F.lit(1)).withColumn("key", F.lit(2)).withColumn("keys", F.lit(3)).withColumn("fp", F.lit(4)).withColumn("n_lines", F.lit("n")).withColumn("bucket", F.lit(0)).withColumn("score", F.lit(0)).withColumn("h", F.lit(0)).withColumn("item_id", F.lit(1)).withColumn("held_out", F.lit(1)).withColumn("l_id", F.lit(1))
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
