@@ -68,7 +68,7 @@ def q_block_ids(spark, sf):
 def q_greedy_folds(spark, sf):
     """Blocks dealt to five folds; block counts are the only thing the driver sees."""
     o = cube.observations(spark, sf).join(cube.cells(spark, sf), "cell_id").withColumn("block", grid.block_id(5, cube.WIDTH))
-    counts = [(r["block"], r["n"]) for r in o.groupBy("block").agg(F.count(F.lit(1)).alias("n")).limit(100_000).collect()]
+    counts = [(r["block"], r["n"]) for r in o.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()]
     folds = grid.greedy_folds(counts, 5)
     return spark.createDataFrame([(b, folds[b], n) for b, n in sorted(counts)], "block long, fold int, n long")
 

@@ -144,3 +144,12 @@ def test_histogram_of_nothing_and_of_one_value(spark):
     d = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert agg.histogram(d.limit(0), "v", 4).count() == 0
     assert [(r.bin, r.n) for r in agg.histogram(d, "v", 4).collect()] == [(2, 2)]
+
+
+def test_every_block_gets_a_fold(spark, monkeypatch):
+    from gridloom.plans import geometry
+
+    cells = spark.range(100_100).selectExpr("id cell_id", "id * 5 row", "0L col")
+    monkeypatch.setattr(geometry.cube, "cells", lambda *_: cells)
+    monkeypatch.setattr(geometry.cube, "observations", lambda *_: cells.select("cell_id"))
+    assert geometry.q_greedy_folds(spark, "").count() == 100_100
