@@ -2,40 +2,52 @@
 
 A text becomes a sequence of words in which numbers, names and units are typed
 placeholders, so a question that was re-parameterised (other numbers, other
-names) keeps its template. Windows of ``window`` template words are hashed and
-joined with the benchmark's window hashes. Matches on one diagonal (document
-position minus item position) and on those up to ``drift`` beside it, for
-inserted or left-out words, are one alignment. An alignment counts if it covers
-``coverage`` of the item's windows and its slots are consistent: in the windows
-that matched, one value of the item always becomes the same value in the
+names) keeps its template. Windows of template words are hashed and joined with
+the benchmark's window hashes. Matches on one diagonal (document position minus
+item position) and on those up to ``drift`` beside it, for inserted or left-out
+words, are one alignment. An alignment counts if it covers ``coverage`` of the
+item's windows and its slots are consistent: in the windows that matched, and
+only there, one value of the item always becomes the same value in the
 document. Two values may become one.
 
-A capitalised word at the start of a sentence may be a name or not, so texts
-are read both ways, and an alignment counts if it does in one reading.
-
-Windows with over half placeholders are not searched as templates. Every window
-is searched by its lower-cased words as well, so items of numbers or names and
-copies with changed case are found. An item shorter than ``window`` words is
-one window of its own length.
-
-All DataFrame expressions. A document is one array of hashes until they are
-exploded as (doc_id, position, hash) and met with the benchmark's hashes; only
-documents that match are read again for their slots. The benchmark side is
-broadcast only while its window count is under ``broadcast_rows``; beyond that
-Spark's own join is used.
-
-Defined results: null or empty texts never match; rows with a repeated doc_id are one
-document; an empty table gives an empty result.
+Every capitalised word is a name, at the start of a sentence too: that makes
+slots of words like "The", which keep their value in a copy. Texts are also
+read as lower-cased words, which finds copies with changed case and items of
+numbers or names; windows with over half placeholders are searched by their
+words alone.
+
+Window lengths: ``window`` words for items that have room for it after one
+changed word in their middle (3 * ``window`` - 3 words), ``short`` words for
+items that have room for that, and the item's own length, ``window`` at most,
+below.
+
+Items that differ in the values of their slots only (same template, same slots
+equal) are one template class: documents are reported with the class, not with
+each of its members, and ``template_classes`` lists the membership.
+
+All DataFrame expressions. A document's windows are hashed by doubling (two
+halves of a window make its hash) and kept as arrays; a byte map of the
+benchmark's hashes drops nearly all of them in place, so that only likely
+matches become rows. The map and the benchmark's side are sent along only while
+they have at most ``broadcast_rows`` windows; beyond that all window hashes are
+shuffled. Only documents with matches are read again for their own words.
+
+Defined results: null or empty texts never match; rows with a repeated doc_id
+are one document, and so are those with a null doc_id; items with a null id or
+no words take no part; an item repeated under one id counts once for each
+different text; of several equally good alignments the one at the earliest
+place is kept; an empty table gives an empty result; other columns of the input
+are left out.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored
+from .common import stored
 
 #: Units that may follow a number.
 UNITS = (
@@ -45,27 +57,27 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit mph kmh kph hz khz mhz w kw v a k c f"
 ).split()
 NUMBER, NAME, UNIT = "<n>", "<p>", "<u>"
-MARKS = ".,;:!?\"'()[]{}*#|"
+BRACKETS = r"""[()\[\]{}<>"'*#|]+"""
+STOPS = "[.,;:!?]+"
+FEW_DOCS = 1_000_000  # ids that may be broadcast
 
 
-def raw_words(text: Column) -> Column:
-    """Words split at ASCII white space; one for each template word."""
-    return F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")
+def canonical(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, words (as they stand), template and plain: arrays with an entry for each word and an empty one at both ends.
 
-
-def template(text: Column, starts: bool = False) -> Column:
-    """Array of template words, one for each raw word; ``starts``: capitalised words at starts of sentences are names too.
-
-    Each rule is one pass over the whole text: numbers (with currency,
-    decimals, ratios), units after numbers, names (a capitalised word after
-    anything but a sentence end), then A-Z lower-cased and marks dropped.
+    Every rule is one pass over the whole text that starts at a fixed
+    character, which regular expressions find fast.
     """
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    t = F.regexp_replace(t, r"(?<![^ (\[\"'])[$€£]?[+-]?\p{N}[\p{N}.,:/]*%?(?![\p{L}\p{N}])", NUMBER)
-    t = F.regexp_replace(t, rf"(?<=<n> )(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])", UNIT)
-    before = r"(?<![^ (\[\"'])" if starts else r"(?<=[\p{L}\p{N},;>] )"
-    t = F.regexp_replace(t, before + r"\p{Lu}[\p{L}'-]*", NAME)
-    return F.split(F.translate(t, UPPER + MARKS, LOWER), " ")
+    text = F.coalesce("text", F.lit(""))
+    spaced = F.trim(F.regexp_replace(text, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+    d = df.select(*keep, F.concat(F.lit(" "), spaced, F.lit(" ")).alias("_s"))
+    d = d.withColumn("_p", F.regexp_replace("_s", BRACKETS, ""))
+    t = F.regexp_replace("_p", r" [$€£]?[+-]?\p{N}[\p{N}.,:/-]*%?(?=[.,;:!? ])", f" {NUMBER}")
+    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+    t = F.regexp_replace(t, rf"<n> (?:{units})(?=[.,;:!? ])", f"{NUMBER} {UNIT}")
+    t = F.regexp_replace(t, r" \p{Lu}[\p{L}-]*", f" {NAME}")
+    tidy = lambda c: F.split(F.lower(F.regexp_replace(c, STOPS, "")), " ")
+    return d.select(*keep, F.split("_s", " ").alias("words"), tidy(t).alias("template"), tidy(F.col("_p")).alias("plain"))
 
 
 def _let(value: Column, body) -> Column:
@@ -73,20 +85,91 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def plain(text: Column) -> Column:
-    """Raw words lower-cased, marks dropped."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.split(F.translate(F.lower(t), MARKS, ""), " ")
-
-
-#: Ways to read a text; windows of the last one are met by their words alone.
-READINGS = (template, lambda text: template(text, True), plain)
-
-
-def _windows(tokens: Column, n: int) -> Column:
-    """xxhash64 of each window of n words."""
-    hashes = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n))))
-    return _let(tokens, hashes)
+def window_hashes(df: DataFrame, words: str, lengths: list[int], *keep: str) -> DataFrame:
+    """``keep`` and, for each length n, g{n}: the hashes of all windows of n entries of ``words``, by doubling."""
+    d = df.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("g1"))
+    done = {1}
+
+    def make(n: int) -> None:
+        nonlocal d
+        if n in done:
+            return
+        done.add(n)
+        a = 1 << ((n - 1).bit_length() - 1)  # a power of two below n
+        make(a)
+        make(n - a)
+        size = F.greatest(F.size(f"g{n - a}") - a, F.lit(0))
+        d = d.withColumn(f"g{n}", F.zip_with(F.slice(f"g{a}", 1, size), F.slice(f"g{n - a}", a + 1, size), lambda x, y: F.xxhash64(x, y)))
+
+    for n in lengths:
+        make(n)
+    return d.select(*keep, *[f"g{n}" for n in lengths])
+
+
+def _slot_value(kind: Column, word: Column) -> Column:
+    """A slot's value, without case and marks; one dollar, two dollars."""
+    w = F.lower(F.regexp_replace(word, rf"{BRACKETS}|{STOPS}", ""))
+    return F.when(kind == UNIT, F.regexp_replace(w, "s$", "")).otherwise(w)
+
+
+def _slots(template: Column, words: Column) -> Column:
+    """For each word 0, or the number of its slot value among the item's different ones."""
+    value = F.zip_with(template, words, lambda t, w: F.when(t.startswith("<"), F.concat(t, _slot_value(t, w))))
+    return _let(value, lambda v: F.transform(v, lambda x: F.coalesce(F.array_position(F.array_distinct(F.array_compact(v)), x), F.lit(0)).cast("int")))
+
+
+def _items(benchmark: DataFrame, window: int, short: int) -> DataFrame:
+    """class_id, item_id, template, plain, slots, n (window length)."""
+    has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    d = canonical(benchmark.filter(F.col("item_id").isNotNull() & has_words).select("item_id", "text").distinct(), "item_id")
+    d = d.select("item_id", *[F.slice(c, 2, F.size(c) - 2).alias(c) for c in ("words", "template", "plain")])
+    size = F.size("words")
+    n = F.when(size >= 3 * window - 3, window).when(size >= 3 * short - 3, short).otherwise(F.least(size, F.lit(window)))
+    d = d.select("item_id", "template", "plain", _slots(F.col("template"), F.col("words")).alias("slots"), n.cast("int").alias("n"))
+    d = stored(d.withColumn("key", F.to_json(F.struct("template", "slots"))), "items")
+    return d.join(d.groupBy("key").agg(F.min("item_id").alias("class_id")), "key").drop("key")
+
+
+def template_classes(benchmark: DataFrame, *, window: int = 8, short: int = 5) -> DataFrame:
+    """item_id, class_id: which template class each item belongs to; a class is named by its smallest item."""
+    return _items(benchmark, window, short).select("item_id", "class_id").distinct()
+
+
+def _grams(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """h, class_id, item_at, own (by the template), n, t, s: a window's hash, place, template words and slots."""
+    out = []
+    for n in lengths:
+        for words in ("template", "plain"):
+            g = window_hashes(items.filter(F.col("n") == n), words, [n], "class_id", "template", "slots").select("*", F.posexplode(f"g{n}").alias("item_at", "h"))
+            part = lambda c: F.slice(c, F.col("item_at") + 1, n)  # noqa: E731, B023
+            g = g.select("h", "class_id", "item_at", F.lit(words == "template").alias("own"), F.lit(n).alias("n"), part("template").alias("t"), part("slots").alias("s"))
+            literal = F.size(F.filter("t", lambda x: ~x.startswith("<"))) * 2 >= n
+            out.append(g.filter(literal) if words == "template" else g)
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def _byte_map(hashes: list[int]) -> bytes:
+    """One byte for each value of a hash's last bits, 1 where the list has it: 64 bytes a hash or more, up to 8 MB."""
+    size = 1 << min(23, max(12, (64 * len(hashes)).bit_length()))
+    at = bytearray(size)
+    for h in hashes:
+        at[h & (size - 1)] = 1
+    return bytes(at)
+
+
+def _met(docs: DataFrame, grams: DataFrame, lengths: list[int], small: bool) -> DataFrame:
+    """doc_id, _text (a hash of it), at, h: windows whose hash the benchmark has."""
+    keep = ("doc_id", "_text")
+    d = canonical(docs.withColumn("_text", F.xxhash64("text")), *keep).select(*keep, F.explode(F.array("template", "plain")).alias("x"))
+    d = window_hashes(d, "x", lengths, *keep)
+    hashes = grams.select("h").distinct()
+    if not small:
+        every = F.flatten(F.array(*[F.transform(f"g{n}", lambda h, i: F.struct(i.alias("at"), h.alias("h"))) for n in lengths]))
+        return d.select(*keep, F.inline(every)).join(hashes, "h", "left_semi").select(*keep, "at", "h").distinct()
+    known = _byte_map([r["h"] for r in hashes.collect()])
+    likely = lambda h: F.substring(F.lit(known), (h.bitwiseAND(len(known) - 1) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    marked = [F.filter(F.transform(f"g{n}", lambda h, i: F.when(likely(h), F.struct(i.alias("at"), h.alias("h")))), lambda m: m.isNotNull()) for n in lengths]
+    return d.select(*keep, F.inline(F.flatten(F.array(*marked)))).join(F.broadcast(hashes), "h", "left_semi").select(*keep, "at", "h").distinct()
 
 
 def find_leaks(
@@ -94,71 +177,43 @@ def find_leaks(
     benchmark: DataFrame,
     *,
     window: int = 8,
+    short: int = 5,
     coverage: float = 0.5,
     drift: int = 4,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
-    """doc_id, item_id, windows, item_windows, n_slots: pairs of a document and a benchmark item it holds.
-
-    Of several alignments of a pair the one that covers most windows is kept
-    (ties: the earlier place).
-    """
-    words = len(READINGS) - 1
-    text = F.col("text")
-    items = benchmark.filter(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) != "")
-    items = items.select("item_id", F.array(*[r(text) for r in READINGS]).alias("read"), raw_words(text).alias("words"))
-    items = stored(items.withColumn("n", F.least(F.size("words"), F.lit(window))), "items")
-    # Only windows with at least half literal words can identify an item by its template.
-    literal = lambda w: F.size(F.filter(w, lambda x: ~x.startswith("<"))) * 2 >= F.col("n")
-    grams = items.select("item_id", "n", F.posexplode("read").alias("reading", "t"))
-    grams = grams.select("item_id", "n", "reading", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.slice("t", i, F.col("n")))).alias("item_at", "w"))
-    grams = stored(grams.filter((F.col("reading") == words) | literal(F.col("w"))).select("item_id", "item_at", "reading", "n", F.xxhash64("w").alias("h")), "grams")
-    counted = grams.groupBy("item_id", "reading").agg(F.count(F.lit(1)).alias("total"))
-    totals = counted.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("reading", "total"))).alias("totals"))
+    """doc_id, item_id, windows, item_windows, n_slots: a document and the template class (by its smallest item) that it holds."""
+    docs = docs.select("doc_id", "text")
+    items = stored(_items(benchmark, window, short), "classes")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect()) or [window]  # ``window`` of them at most
+    grams = stored(_grams(items, lengths), "grams")
     small = grams.count() <= broadcast_rows
-    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    lengths = sorted(r["n"] for r in grams.select("n").distinct().collect())  # ``window`` of them at most
-
-    met = []
-    for k, read in enumerate(READINGS):
-        for n in lengths or [window]:
-            hashes = docs.select("doc_id", _windows(read(text), n).alias("hs")).select("doc_id", F.posexplode_outer("hs").alias("at", "h"))
-            met.append(hashes.join(side(grams.filter((F.col("reading") == k) & (F.col("n") == n))), "h"))
-    met = reduce(DataFrame.unionByName, met)
-    # Windows met by their words count in every reading.
-    met = met.withColumn("by", F.when(F.col("reading") == words, F.sequence(F.lit(0), F.lit(words - 1))).otherwise(F.array("reading")))
-    met = met.select("doc_id", "item_id", "item_at", "reading", (F.col("at") - F.col("item_at")).alias("shift"), F.explode("by").alias("by"))
-    # Each place of the item takes the match nearest to the alignment's own diagonal, which must have one.
-    near = met.withColumn("off", F.explode(F.sequence(F.lit(-drift), F.lit(drift))))
-    near = near.groupBy("doc_id", "item_id", "by", (F.col("shift") + F.col("off")).alias("centre"), "item_at").agg(
-        F.min_by("shift", F.struct(F.abs("off"), "shift")).alias("shift"), F.max(F.col("reading") == F.col("by")).alias("own")
-    )
-    runs = near.groupBy("doc_id", "item_id", "by", F.col("centre").alias("shift")).agg(
-        F.count(F.lit(1)).alias("windows"), F.count_if("own").alias("own"), F.count_if(F.col("shift") == F.col("centre")).alias("exact"), F.collect_list(F.struct("item_at", "shift")).alias("places")
-    ).filter("exact > 0")
-    runs = runs.join(side(totals), "item_id").withColumn("item_windows", F.col("totals")[words])
-    # Enough of all windows, or of those that the template can identify.
-    enough = (F.col("windows") >= coverage * F.col("item_windows")) | (F.col("own") >= coverage * F.col("totals")[F.col("by")])
-    runs = stored(runs.filter(enough).drop("totals", "own", "exact"), "runs")
-
-    # Slots: the documents that matched are read again, now with their words.
-    found = docs.select("doc_id", "text").join(runs, "doc_id")
-    found = found.join(side(items.select("item_id", "n", F.col("read").alias("i_read"), F.col("words").alias("i_words"))), "item_id")
-    read = F.when(F.col("by") == 0, READINGS[0](text)).otherwise(READINGS[1](text))
-    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", "places", "n", F.struct(read.alias("t"), raw_words(text).alias("w"), F.col("i_read")[F.col("by")].alias("it"), F.col("i_words").alias("iw")).alias("both"))
-    tidy = lambda w: F.translate(w, UPPER + MARKS, LOWER)
-    value = lambda s, w: F.when(s == UNIT, F.regexp_replace(tidy(w), "s$", "")).otherwise(tidy(w))  # noqa: E731  one dollar, two dollars
-
-    def slots(x: Column) -> Column:
-        """Pairs of an item's and the document's value of the same slot, over the words of the windows that matched."""
-        n = F.col("n")
-        words_of = lambda p: F.transform(F.sequence(F.lit(1), n), lambda k: F.struct((p["item_at"] + k).alias("i"), (p["item_at"] + p["shift"] + k).alias("d")))
-        at = F.array_distinct(F.flatten(F.transform("places", words_of)))
-        z = F.transform(at, lambda p: F.struct(F.get(x["it"], p["i"] - 1).alias("it"), F.get(x["t"], p["d"] - 1).alias("dt"), F.get(x["iw"], p["i"] - 1).alias("iw"), F.get(x["w"], p["d"] - 1).alias("dw")))
-        same = F.filter(z, lambda s: s["it"].startswith("<") & (s["it"] == s["dt"]))
-        return F.array_distinct(F.transform(same, lambda s: F.struct(value(s["it"], s["iw"]).alias("i"), value(s["it"], s["dw"]).alias("d"))))
-
-    found = found.select("doc_id", "item_id", "shift", "windows", "item_windows", _let(F.col("both"), slots).alias("pairs"))
-    kept = found.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs"))
-    best = F.max_by(F.struct("windows", "item_windows", F.size("pairs").alias("n_slots")), F.struct(F.col("windows"), -F.col("shift"))).alias("b")
-    return kept.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.windows", "b.item_windows", "b.n_slots")
+    side = F.broadcast if small else (lambda df: df)
+    totals = grams.groupBy("class_id").agg(F.count_distinct("item_at").alias("item_windows"), F.count_distinct(F.when(F.col("own"), F.col("item_at"))).alias("own_windows"))
+
+    met = stored(_met(docs, grams, lengths, small), "met")
+    which = stored(met.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).distinct(), "which")
+    texts = docs.withColumn("_text", F.xxhash64("text"))
+    one = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t"))
+    texts = texts.join(F.broadcast(which) if which.count() <= FEW_DOCS else which, one, "left_semi")
+    own = canonical(texts, "doc_id", "_text").select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), "words")
+    hits = met.join(own, one).join(side(grams), "h").select("doc_id", "class_id", "item_at", "own", (F.col("at") - F.col("item_at")).alias("shift"), "t", "s", F.slice("words", F.col("at") + 1, F.col("n")).alias("ws"))
+
+    pairs = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda k: F.struct(F.get("s", k).alias("i"), F.get("t", k).alias("t"), F.get("ws", k).alias("w")))
+    pairs = F.transform(F.filter(pairs, lambda p: p["i"] > 0), lambda p: F.struct(p["i"].alias("i"), _slot_value(p["t"], p["w"]).alias("v")))
+    # A document's matches stay together from here on: one shuffle.
+    hits = hits.select("doc_id", "class_id", "shift", F.struct("item_at", "shift", "own", pairs.alias("pairs")).alias("m")).repartition("doc_id")
+    lines = hits.groupBy("doc_id", "class_id", "shift").agg(F.collect_set("m").alias("ms"))
+    beside = Window.partitionBy("doc_id", "class_id").orderBy("shift").rangeBetween(-drift, drift)
+    lines = lines.withColumn("ms", F.flatten(F.collect_list("ms").over(beside)))
+    places = lambda ms: F.size(F.array_distinct(F.transform(ms, lambda m: m["item_at"])))
+    lines = lines.withColumn("windows", places(F.col("ms"))).withColumn("found", places(F.filter("ms", lambda m: m["own"]))).join(side(totals), "class_id")
+    # Enough of all windows, or of those that the template can identify if they are not a mere few of all.
+    lines = lines.filter(F.expr(f"windows >= {coverage} * item_windows or (found >= {coverage} * own_windows and found >= {coverage / 2} * item_windows)"))
+    # Each place of the item takes the match nearest to the alignment's own diagonal.
+    near = F.array_sort(F.transform("ms", lambda m: F.struct(m["item_at"].alias("at"), F.abs(m["shift"] - F.col("shift")).alias("off"), m["shift"].alias("shift"), m["pairs"].alias("pairs"))))
+    chosen = _let(near, lambda a: F.filter(a, lambda m, i: (i == 0) | (F.get(a, i - 1)["at"] != m["at"])))
+    lines = lines.withColumn("slots", F.array_distinct(F.flatten(F.transform(chosen, lambda m: m["pairs"]))))
+    lines = lines.filter(F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots"))
+    best = F.max_by(F.struct("windows", "item_windows", F.size("slots").alias("n_slots")), F.struct(F.col("windows"), -F.col("shift"))).alias("b")
+    return lines.groupBy("doc_id", "class_id").agg(best).select("doc_id", F.col("class_id").alias("item_id"), "b.windows", "b.item_windows", "b.n_slots")
