@@ -2,11 +2,12 @@
 
 The entropy scan takes candidate strings (runs of ``[A-Za-z0-9+/_=-]`` of at
 least ``window`` characters), keeps one count per character and moves the
-window by one character at a time: one count up, one down, and the sum of
+window by one character at a time: one count down, one up, and the sum of
 n*log2(n) changed by two table entries, so a string of any length costs one
 pass. A candidate is reported from the first to the last window whose entropy
 reaches the threshold of its character class (hex, alphanumeric, base64).
-Allow-listed candidates are suppressed; base matches never are.
+Allow-listed candidates are suppressed, allow-listed parts are cut out and the
+rest is scanned; base matches are never suppressed.
 
 Row-wise: no shuffle, one Arrow batch in memory. Defined results: a null text
 is an empty text (no spans, the hash of an empty string); repeated rows are
@@ -30,23 +31,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "entropy")
 
+WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Least bits a character over a window of 20, by character class.
+#: Least bits a character over a window of ``WINDOW``, by character class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Strings that look random but are not secrets.
-ALLOW = tuple(
-    re.compile(p)
-    for p in (
-        r"(?i)(.)\1{7,}",
-        r"(?i)example|placeholder|changeme|dummy|sample|lorem|xxxx",
-        r"^[0-9]+$",
-        r"^[A-Za-z]+$",
-        r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*$",
-        r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-        r"(?i)^sha(?:1|256|384|512)-",
-        r"(?i)abcdefghij|0123456789",
-    )
-)
+#: Whole candidates that look random but are not secrets: words and numbers, UUIDs, integrity hashes.
+ALLOW = tuple(re.compile(p) for p in (r"[0-9]+", r"[A-Za-z]+(?:[-_/=+][A-Za-z]+)*=*", r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"(?i)sha(?:1|256|384|512)-.*"))
+#: Parts that are no secret: runs of one character, sequences, and placeholder words that stand between separators.
+PARTS = re.compile(r"(?i)(.)\1{7,}|abcdefghij|0123456789|(?<![a-z0-9])(?:example|placeholder|changeme|dummy|sample|lorem|x{4,})(?![a-z0-9])")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -56,7 +48,7 @@ def char_class(s: str) -> str:
     return "alnum" if s.isalnum() else "base64"
 
 
-def entropy_span(s: str, window: int = 20, thresholds: dict[str, float] = THRESHOLDS) -> tuple[int, int] | None:
+def entropy_span(s: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> tuple[int, int] | None:
     """First start and last end of the windows that reach the class's threshold, or None."""
     least = thresholds[char_class(s)]
     log = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
@@ -64,14 +56,13 @@ def entropy_span(s: str, window: int = 20, thresholds: dict[str, float] = THRESH
     total, first, last = 0.0, None, 0
     whole = math.log2(window)
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += log[n + 1] - log[n] if n < window else 0.0
         if i >= window:
-            o = s[i - window]
-            n = counts[o]
-            counts[o] = n - 1
+            n = counts[s[i - window]]
+            counts[s[i - window]] = n - 1
             total += log[n - 1] - log[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += log[n + 1] - log[n]
         if i >= window - 1 and whole - total / window >= least - 1e-12:
             first = i - window + 1 if first is None else first
             last = i + 1
@@ -86,14 +77,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
+    """High-entropy spans of candidates; allowed parts are cut out, what lies between them is scanned on its own."""
     found = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        # A secret mixes letters and digits; plain words and numbers are on the allow list anyway.
-        if not re.search(r"[0-9]", s) or any(p.search(s) for p in ALLOW):
+        if any(p.fullmatch(m[0]) for p in ALLOW):
             continue
-        if span := entropy_span(s):
-            found.append((m.start() + span[0], m.start() + span[1], "entropy"))
+        edges = [m.start(), *[m.start() + x for part in PARTS.finditer(m[0]) for x in part.span()], m.end()]
+        for a, z in zip(edges[::2], edges[1::2], strict=True):
+            if z - a >= WINDOW and (span := entropy_span(text[a:z])):
+                found.append((a + span[0], a + span[1], "entropy"))
     return found
 
 
