@@ -7,19 +7,22 @@ every window of every text is scored and a document is as toxic as its worst
 window.
 
 Training uses at most ``per_class`` labelled documents of each class (chosen by
-a hash of the id) and at most ``windows`` windows of each; that bound is the
-whole of what the driver collects. Documents carry the label, not windows, so
-after a few passes over random windows each document is represented by its
-currently worst window. Scores are calibrated on document level at the labels'
-own base rate.
+a hash of the id), whole, one text for an id; that bound is the whole of what
+the driver collects. Documents carry the label, not windows, so after a third
+of the steps over random windows each document is represented by its currently
+worst window. The number of steps is a parameter and does not depend on the
+sample. Scores are calibrated on document level at the labels' own base rate.
 
 Scoring is row-wise over all texts: no shuffle; the weights (under 1 MB,
-whatever the corpus) are broadcast.
+whatever the corpus) are broadcast. A long text is scored in pieces that
+overlap like its windows, so memory does not grow with its length.
 
 Defined results: null and empty texts are one empty window and get its score; a
 null doc_id is hashed like an empty text; repeated rows are kept; null labels
-are not learnt from; without a label of either class every score is the share
-of positive labels (0 without labels); an empty table gives an empty result.
+are not learnt from; an id with several labels counts as toxic if one says so,
+and one with several texts is learnt from its smallest; without a label of
+either class every score is the share of positive labels (0 without labels); an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from .blobs import chunks
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, WORD_DIM, GRAM_DIM, HIDDEN = 8192, 8192, 8, 8, 8
 PART = 384 << 10  # bytes of text scored at a time
+PIECE = 2048  # windows of one text at a time
 f4 = np.float32
 
 
@@ -51,13 +55,24 @@ class Tokens:
     lens: np.ndarray  # tokens of each text
 
 
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words of ``PIECE`` windows at a time; together they have the windows of the whole."""
+    step = PIECE * STRIDE
+    for at in range(0, max(1, len(words) - (WINDOW - STRIDE)), step):
+        yield words[at : at + step + WINDOW - STRIDE]
+
+
 def tokenise(texts: list[str | None]) -> Tokens:
-    words: list[bytes] = []
-    lens = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = (t or "").encode().lower().split()
-        lens[i] = len(w)
-        words += w
+    return tokens_of([split_words(t) for t in texts])
+
+
+def tokens_of(texts: list[list[bytes]]) -> Tokens:
+    words = [w for t in texts for w in t]
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
     size = np.fromiter(map(len, words), np.int64, len(words))
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
     mixed = data[:-2] * np.uint32(0x9E3779B1) ^ data[1:-1] * np.uint32(0x85EBCA6B) ^ data[2:] * np.uint32(0xC2B2AE35)
@@ -74,6 +89,14 @@ def tokenise(texts: list[str | None]) -> Tokens:
     return Tokens(((word >> np.uint32(10)) % WORDS).astype(np.int64), (gram % GRAMS).astype(np.int64), at, size, lens)
 
 
+def some_tokens(t: Tokens, at: np.ndarray) -> Tokens:
+    """Tokens ``at`` as one text."""
+    size = t.size[at]
+    start = np.cumsum(size) - size
+    chars = np.repeat(t.start[at] - start, size) + np.arange(int(size.sum()))
+    return Tokens(t.word[at], t.gram[chars], start, size, np.array([len(at)]))
+
+
 def window_index(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token numbers of every window (-1: beyond the text) and the text of each window."""
     n = np.maximum(1, -(-(lens - (WINDOW - STRIDE)) // STRIDE))
@@ -189,59 +212,82 @@ class Network:
         np.add.at(g["gram"], t.gram, np.repeat(d_vec[:, WORD_DIM:] / np.maximum(t.size, 1)[:, None].astype(f4), t.size, axis=0))
         return g
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        t = tokenise(texts)
-        index, text = window_index(t.lens)
-        logit = np.concatenate([self.logits(self.vectors(t), part) for part in np.array_split(index, max(1, len(index) // 4096))])
-        worst = np.maximum.reduceat(logit, np.flatnonzero(np.diff(text, prepend=-1)))
-        return 1 / (1 + np.exp(-(self.scale * worst.astype(np.float64) + self.shift)))
-
+    def window_logits(self, t: Tokens, index: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Logits of windows in the order of their tokens; each part looks at its own tokens only."""
+        out = []
+        for at in range(0, len(index), step):
+            part = index[at : at + step]
+            used = part[part >= 0]
+            lo, hi = (int(used.min()), int(used.max()) + 1) if len(used) else (0, 0)
+            out.append(self.logits(self.vectors(some_tokens(t, np.arange(lo, hi))), np.where(part >= 0, part - lo, -1)))
+        return np.concatenate(out)
 
-def train(examples: list[tuple[list[str], int]], prior: float, *, passes: int = 24, rate: float = 0.02, batch: int = 128, seed: int = 7) -> Network:
-    """``examples``: windows of a document, as texts, and its label. ``prior``: the share of positive labels."""
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        worst = np.full(len(texts), -np.inf)
+        held: list[list[bytes]] = []
+        owner: list[int] = []
+
+        def flush() -> None:
+            t = tokens_of(held)
+            index, text = window_index(t.lens)
+            np.maximum.at(worst, np.array(owner)[text], self.window_logits(t, index))
+            held.clear()
+            owner.clear()
+
+        words = 0
+        for i, text in enumerate(texts):
+            for piece in pieces(split_words(text)):
+                held.append(piece)
+                owner.append(i)
+                words += len(piece)
+                if words > PIECE * STRIDE:
+                    flush()
+                    words = 0
+        if held:
+            flush()
+        return 1 / (1 + np.exp(-(self.scale * worst + self.shift)))
+
+
+def train(examples: list[tuple[str, int]], prior: float, *, steps: int = 384, refresh: int = 32, rate: float = 0.02, batch: int = 128, seed: int = 7) -> Network:
+    """``examples``: texts and labels. ``prior``: the share of positive labels. Worst windows are looked up anew every ``refresh`` steps."""
     net, rng = Network(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     label = np.array([y for _, y in examples], f4)
-    first = np.cumsum([0, *[len(w) for w, _ in examples]])
-    texts = [w for ws, _ in examples for w in ws]
-    passes = max(passes, min(200, passes * 1024 // len(examples)))  # few documents: more passes
-    step = 0
-
-    def window_logits() -> np.ndarray:
-        out = []
-        for a in range(0, len(texts), 2048):
-            t = tokenise(texts[a : a + 2048])
-            out.append(net.logits(net.vectors(t), window_index(t.lens)[0]))
-        return np.concatenate(out)
-
-    for k in range(passes):
-        if k * 3 >= passes:
-            lg = window_logits()
-            chosen = np.array([first[i] + int(np.argmax(lg[first[i] : first[i + 1]])) for i in range(len(examples))])
-            other = rng.random(len(examples)) < 0.3  # clean documents also show other windows
-            pick = np.array([rng.integers(first[i], first[i + 1]) for i in range(len(examples))])
-            chosen = np.where(other & (label == 0), pick, chosen)
-        else:
-            chosen = np.array([rng.integers(first[i], first[i + 1]) for i in range(len(examples))])
-        order = rng.permutation(len(examples))
-        for a in range(0, len(order), batch):
-            at = order[a : a + batch]
-            t = tokenise([texts[chosen[i]] for i in at])
-            keep = (rng.random((len(t.size), 1)) < 0.5).astype(f4)  # so that characters must do
-            tape: dict = {}
-            lg = net.logits(net.vectors(t, keep), window_index(t.lens)[0], tape)
-            g = net.gradients(tape, ((1 / (1 + np.exp(-lg)) - label[at]) / len(at)).astype(f4), t, keep)
-            step += 1
-            lr = rate * (1 - 0.9 * k / passes) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for key, x in g.items():
-                x = x + f4(1e-5) * net.p[key]
-                m[key] += f4(0.1) * (x - m[key])
-                v[key] += f4(0.001) * (x * x - v[key])
-                net.p[key] -= f4(lr) * m[key] / (np.sqrt(v[key]) + f4(1e-7))
-    lg = window_logits()
-    worst = np.array([lg[first[i] : first[i + 1]].max() for i in range(len(examples))], np.float64)
-    net.scale, net.shift = _calibrated(worst, label, prior)
+    t = tokenise([x for x, _ in examples])
+    index, text = window_index(t.lens)
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    count = np.diff(np.concatenate([first, [len(text)]]))
+    queue = np.empty(0, np.int64)
+    for step in range(1, steps + 1):
+        late = 3 * step > steps
+        if late and (step % refresh == 0 or 3 * (step - 1) <= steps):
+            lg = net.window_logits(t, index)
+            peak = np.maximum.reduceat(lg, first)
+            hit = np.flatnonzero(lg == peak[text])
+            worst = hit[np.searchsorted(text[hit], np.arange(len(label)))]
+        while len(queue) < batch:  # every document before any again
+            queue = np.concatenate([queue, rng.permutation(len(label))])
+        at, queue = queue[:batch], queue[batch:]
+        chosen = first[at] + (rng.random(batch) * count[at]).astype(np.int64)
+        if late:
+            other = (rng.random(batch) < 0.3) & (label[at] == 0)  # clean documents also show other windows
+            chosen = np.where(other, chosen, worst[at])
+        rows = index[chosen]
+        part = some_tokens(t, rows[rows >= 0])
+        local = np.where(rows >= 0, np.cumsum(rows >= 0).reshape(rows.shape) - 1, -1)
+        keep = (rng.random((len(part.size), 1)) < 0.5).astype(f4)  # so that characters must do
+        tape: dict = {}
+        lg = net.logits(net.vectors(part, keep), local, tape)
+        g = net.gradients(tape, ((1 / (1 + np.exp(-lg)) - label[at]) / batch).astype(f4), part, keep)
+        lr = rate * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for key, x in g.items():
+            x = x + f4(1e-5) * net.p[key]
+            m[key] += f4(0.1) * (x - m[key])
+            v[key] += f4(0.001) * (x * x - v[key])
+            net.p[key] -= f4(lr) * m[key] / (np.sqrt(v[key]) + f4(1e-7))
+    peak = np.maximum.reduceat(net.window_logits(t, index), first).astype(np.float64)
+    net.scale, net.shift = _calibrated(peak, label, prior)
     return net
 
 
@@ -264,34 +310,21 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _sampled_windows(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for i, text in zip(ids, texts, strict=True):
-                w = (text or "").encode().lower().split()
-                n = max(1, -(-(len(w) - (WINDOW - STRIDE)) // STRIDE))
-                at = np.arange(n) if n <= limit else np.random.default_rng(i or 0).choice(n, limit, replace=False)
-                rows.append([b" ".join(w[k * STRIDE : k * STRIDE + WINDOW]).decode() for k in at.tolist()])
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(rows, pa.list_(pa.string()))], names=["toxic", "windows"])
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1024, windows: int = 24) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1024, **training) -> Network | float:
     """A network, or the share of positive labels where a class has no example."""
-    known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("l_id"), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"))
+    known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     total = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     prior = (total[1] or 0) / total[0] if total[0] else 0.0
     order = (F.xxhash64("l_id"), F.col("l_id"))
     chosen = known.filter("toxic = 1").orderBy(*order).limit(per_class).union(known.filter("toxic = 0").orderBy(*order).limit(per_class))
-    # At most 2 * per_class rows: a proven bound for the broadcast.
-    picked = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["l_id"]).select(docs["doc_id"].cast("long"), docs["text"], "toxic")
-    rows = picked.mapInArrow(_sampled_windows(windows), "toxic int, windows array<string>").collect()
-    examples = sorted((list(r["windows"]), r["toxic"]) for r in rows)
+    # At most 2 * per_class rows, and as many texts: a proven bound for the broadcast and for the driver.
+    texts = docs.select(F.col("doc_id").alias("d_id"), "text")
+    picked = texts.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).groupBy("l_id", "toxic").agg(F.min("text").alias("text"))
+    examples = sorted((r["text"] or "", r["toxic"]) for r in picked.select("text", "toxic").collect())
     if not 0 < sum(y for _, y in examples) < len(examples):
         return prior
-    return train(examples, prior)
+    return train(examples, prior, **training)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, keep: bool = False, training: DataFrame | None = None, **options) -> DataFrame:
