@@ -76,6 +76,58 @@ def test_toxicity_edge_cases(frame, spark):
     assert toxicity.score_toxicity(frame([]), some).count() == 0
 
 
+def plain_score(net, text):
+    """The network word by word, in plain Python."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    n, sig = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    words = (text or "").encode().lower().split()
+
+    def vector(w):
+        t = toxicity.tokenise([w.decode()])
+        return np.concatenate([p["word"][t.word[0]], np.mean([p["gram"][g] for g in t.gram], axis=0)])
+
+    def states(xs, k):
+        h, out = np.zeros(n), []
+        for x in xs:
+            a, b = x @ p[f"W{k}"] + p[f"c{k}"], h @ p[f"U{k}"]
+            z, r = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
+            c = np.tanh(a[2 * n :] + r * b[2 * n :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    def logit(window):
+        if not window:
+            return p["bias"][0]
+        xs = [vector(w) for w in window]
+        h = np.concatenate([states(xs, "f"), states(xs[::-1], "b")[::-1]], axis=1)
+        e = np.exp(h @ p["att"])
+        return (e / e.sum()) @ h @ p["out"] + p["bias"][0]
+
+    windows = [words[a : a + toxicity.WINDOW] for a in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)]
+    return sig(net.scale * max(map(logit, windows)) + net.shift)
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass(monkeypatch):
+    net = toxicity.Network(5)
+    net.scale, net.shift = 1.7, -0.2
+    rng = np.random.default_rng(1)
+    texts = [None, "", "One", "a " * 33, *[" ".join(rng.choice(["ab", "Ünï", "words", "x1"], n)) for n in (7, 32, 57, 300)]]
+    want = [plain_score(net, t) for t in texts]
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+    monkeypatch.setattr(toxicity, "PIECE", 2)  # long texts in many pieces
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+
+
+def test_toxicity_learns_from_negative_and_repeated_ids(frame, spark):
+    bad, good = "you awful vile creature " * 60, "a calm and sunny day " * 60
+    rows = [(-i, bad if i % 2 else good) for i in range(1, 30)] + [(-1, bad)] * 20
+    labels = spark.createDataFrame([(-i, i % 2) for i in range(1, 30)] * 2, "doc_id long, toxic int")
+    net = toxicity.fit(frame(rows), labels, steps=60)
+    a, b = net.score([bad, good])
+    assert a > 0.5 > b
+
+
 # Language model --------------------------------------------------------------
 
 
@@ -203,10 +255,19 @@ def test_reputation_needs_evidence(spark):
 # Lines -----------------------------------------------------------------------
 
 
-def test_line_dedup_with_a_full_filter_is_exact(spark, sf):
+def test_line_dedup_is_exact_on_every_path(spark, sf):
+    """A full filter; a filter and keys too large to broadcast, in several slices."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    a = linededup.dedup_lines(docs, max_bits=1).orderBy("doc_id").collect()
-    assert a == linededup.dedup_lines(docs).orderBy("doc_id").collect()
+    docs = docs.union(docs.filter("doc_id % 40 = 0"))  # repeated rows
+    a = linededup.dedup_lines(docs).orderBy("doc_id", "text").collect()
+    assert sum(r.n_dropped for r in a)
+    assert a == linededup.dedup_lines(docs, bits_per_line=1e-9).orderBy("doc_id", "text").collect()
+    assert a == linededup.dedup_lines(docs, bits_per_line=3000, broadcast_bytes=0).orderBy("doc_id", "text").collect()
+
+
+def test_line_filters_follow_the_lines(frame):
+    d = frame([(i, "\n".join(f"{i} {k} " + "x" * 60 for k in range(500))) for i in range(40)])
+    assert linededup.filter_bits(d, 40, 16) == linededup.SLICE_BITS and linededup.filter_bits(d, 40, 160) == 7 * linededup.SLICE_BITS
 
 
 def test_line_dedup_edge_cases(frame):
@@ -237,10 +298,28 @@ def brute_secrets(text):
     return n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
 
 
+def brute_entropy(text):
+    """Spans by the definition of entropy, window by window."""
+    bits = lambda s: -sum(c / len(s) * math.log2(c / len(s)) for c in collections.Counter(s).values())
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if any(p.fullmatch(m[0]) for p in secrets.ALLOW):
+            continue
+        at = m.start()
+        for piece in re.split("\0+", secrets.PARTS.sub(lambda x: "\0" * len(x[0]), m[0])):
+            at = text.index(piece, at)
+            hit = [k for k in range(len(piece) - 19) if bits(piece[k : k + 20]) >= secrets.THRESHOLDS[secrets.char_class(piece)] - 1e-9]
+            out += [f"entropy:{at + hit[0]}:{at + hit[-1] + 20}"] if hit else []
+            at += len(piece)
+    return out
+
+
 def test_secrets_equal_brute_force(spark, sf):
-    want = {i: brute_secrets(t) for i, t in texts_of(spark, sf).items()}
-    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in queries.op8_secrets(spark, sf).collect()}
-    assert got == want
+    texts = texts_of(spark, sf)
+    rows = queries.op8_secrets(spark, sf).collect()
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows} == {i: brute_secrets(t) for i, t in texts.items()}
+    spans = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("entropy")] for r in rows}
+    assert spans == {i: brute_entropy(t or "") for i, t in texts.items()}
 
 
 def test_entropy_by_counts_equals_entropy_by_definition():
@@ -249,9 +328,12 @@ def test_entropy_by_counts_equals_entropy_by_definition():
         return (hit[0], hit[-1] + w) if hit else None
 
     rng = np.random.default_rng(0)
+    assert secrets.entropy_span("a" * 21) is None
     for _ in range(200):
-        s = "".join(rng.choice(list("abcdefghijKLMNOP0123456789+/")[: int(rng.integers(2, 28))], int(rng.integers(20, 90))))
+        s = "".join(rng.choice(list("abcdefghijKLMNOP0123456789+/")[: int(rng.integers(1, 28))], int(rng.integers(20, 90))))
         assert secrets.entropy_span(s) == plain(s)
+        text = f"ü {s} and/{s[:30]}example{s}-sample-{s} {s}{'z' * 9}{s}"
+        assert [f"{k}:{a}:{b}" for a, b, k in secrets.entropy_spans(text)] == brute_entropy(text)
 
 
 def test_secret_kinds_and_allow_list():
@@ -259,6 +341,11 @@ def test_secret_kinds_and_allow_list():
     assert n == 1 and spans == "assign:2:19,entropy:25:50"
     assert secrets.scan_text("example0123456789example0123456789")[4] == ""
     assert secrets.scan_text("ſecret=abcdefgh")[0] == 0
+    key = "kX9vQ2mZr7Lp4Wn8Tb3Yc6Hd1"
+    at = lambda text: secrets.scan_text(text)[4]
+    assert at(f"path/sample/{key}") == "entropy:11:37" and at(f"{key[:12]}sample{key[12:]}") == "entropy:0:31"
+    assert at(f"{key}AAAAAAAAAA{key}") == "entropy:0:25,entropy:35:60"
+    assert at("3f2b8c1d-9e4a-4b7c-8d2e-1f6a5b9c0e7d") == at("sha256-" + key) == at("plain/words/and-more_of-them") == at("example-" * 5) == ""
     assert secrets.scan_text(None) == (0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
 
 
