@@ -47,6 +47,7 @@ from .common import scratch_path, stored
 
 BITS = 64
 STEP = 1024  # more than any distance
+FEW_CELLS = 1 << 20  # names of cells that may be broadcast
 
 
 def shingle_hashes(text: str | None, n: int = 4, seed: int = 42) -> np.ndarray:
@@ -141,7 +142,7 @@ class Forest:
 
     def search(self, fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, node) pairs within the radius, a bounded number of queries at a time."""
-        step = max(16, (1 << 21) // max(self.largest, 256))
+        step = max(16, (1 << 19) // max(self.largest, 256))
         for at in range(0, len(fp), step):
             q = np.arange(at, min(at + step, len(fp)))
             node = np.fromiter((self.roots.get(g, -1) for g in group[q].tolist()), np.int64, len(q))
@@ -201,7 +202,7 @@ def whole_groups(work):
             if not b.num_rows:
                 continue
             held.append(tuple(_words_of(c) if name == "fp" else c.to_numpy(zero_copy_only=False) for name, c in zip(b.schema.names, b.columns, strict=True)))
-            if sum(len(x[0]) for x in held) < 65536:
+            if sum(len(x[0]) for x in held) < 32768:
                 continue
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if cols[0][0] != cols[0][-1] else 0
@@ -271,9 +272,11 @@ def link_fingerprints(nodes: DataFrame, *, radius: int = 4, shard: int = 2048, b
 def by_size(df: DataFrame, shard: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows of cells that fit one tree, and rows of larger ones with the cell's size."""
     df = stored(df, name)
-    large = df.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > shard)
-    marked = df.join(large, "cell", "left")
-    return marked.filter("size is null").drop("size"), marked.filter("size is not null")
+    large = stored(df.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > shard), "large")
+    if large.isEmpty():
+        return df, df.withColumn("size", F.lit(0).cast("long")).limit(0)
+    side = F.broadcast(large) if large.count() <= FEW_CELLS else large
+    return df.join(side, "cell", "left_anti"), df.join(side, "cell")
 
 
 def dealt(large: DataFrame, shard: int, leaders: int = 8) -> DataFrame:
