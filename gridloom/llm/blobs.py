@@ -22,7 +22,7 @@ BUCKET = 4 << 20  # bytes of text for each bucket
 def bucket_count(texts: DataFrame) -> int:
     """Buckets for the column ``text``, in proportion to its bytes, so that a bucket's size does not depend on the input."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, min(1 << 20, -(-total // BUCKET)))
+    return max(1, -(-total // BUCKET))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -64,3 +64,29 @@ def gathered(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[tuple[
 
 def per_bucket(df: DataFrame, run, schema: str) -> DataFrame:
     return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """An array in few bytes: differences if it is sorted, byte planes, zstd."""
+    x = np.ascontiguousarray(x)
+    if ascending and len(x):
+        x = np.concatenate([x[:1], x[1:] - x[:-1]])
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, dtype, ascending: bool = False) -> np.ndarray:
+    raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+    kind = np.dtype(dtype)
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
+def sent_packed(bucket: np.ndarray, *arrays: np.ndarray, extra: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """As ``sent``, packed; the first array is sorted within each bucket. ``extra``: further columns, one value each."""
+    cuts = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else []
+    for part in np.split(np.arange(len(bucket)), cuts):
+        if len(part):
+            a, z = part[0], part[-1] + 1
+            cols = [pa.array([packed(x[a:z], i == 0)], pa.binary()) for i, x in enumerate(arrays)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), *cols, *(extra or {}).values()], names=["bucket", *[f"a{i}" for i in range(len(arrays))], *(extra or {})])

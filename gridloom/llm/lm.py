@@ -1,52 +1,55 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, scored from memory-mapped sorted arrays.
+"""Interpolated modified Kneser-Ney n-gram model of order 2 or 3, counted in Spark, scored from memory-mapped sorted arrays.
+
+A text is padded with order - 1 starts, so every token ends one n-gram of the
+full order. Counts of that order are counts of occurrences, those of a lower
+order are numbers of different words that precede.
 
 Training
   1. Tasks hash their words (XXH3, 64 bits), sort and count them, and send each
      bucket (a hash range) one pair of arrays. A bucket's task merges them and
-     writes a file: sorted hashes and counts. A word's id is its rank.
-  2. The same for pairs (previous id, id): buckets are ranges of the previous
-     id; the few previous words frequent enough to fill a bucket alone (at most
-     four for each bucket) are spread by the word instead. A pair file holds
-     sorted 64-bit keys and counts; from it come the context statistics and
-     continuation counts, which are summed per id range into dense files.
-  3. Discounts come from the counts of counts, a few numbers per bucket.
-
-Scoring maps the files into memory, so a worker holds only the pages it
-touches, and looks up a few hundred thousand sorted keys at a time. Files lie
-in the folder that the cluster shares, are written under a temporary name and
-moved, so a lost or repeated task does no harm. Where that folder is not
-mounted, a worker copies a shard to an unlinked local file and maps that.
-
-Nothing but sums per bucket reaches the driver, and no task holds more than a
-bucket.
+     writes sorted hashes and counts. A word's id is its rank.
+  2. The same for n-grams of ids, packed. An n-gram goes to the bucket of its
+     next to last word, where the statistics of its context and the preceding
+     words of its last two are complete. Words frequent enough to fill a bucket
+     alone are spread by the whole n-gram instead; of these the bucket only
+     sends on partial sums, which meet by context and by pair of words.
+  3. Statistics of single words meet by id range. Discounts come from the
+     counts of counts, a few numbers per bucket.
+
+Scoring maps the files (module ``arrays``) into memory, so a worker holds only
+the pages it touches, and looks up a few hundred thousand keys at a time.
+
+The driver gets a few sums per bucket, about 100 bytes for 4 MB of text, and no
+task holds more than a bucket. Equal hashes of words count as one word, equal
+hashes of trigrams as one trigram; pairs are exact.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is
 hashed like an empty text; repeated rows are counted and scored each; with no
 training row every token is unknown and the model is uniform over one word
-(score 0); an empty table gives an empty result.
+(score 0); an empty table gives an empty result; other columns of the input are
+left out.
 """
 
 from __future__ import annotations
 
-import mmap
-import tempfile
-import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import bucket_count, chunks, gathered, per_bucket, sent as sent_rows
+from .arrays import PER_FILE, Reader, Writer
+from .blobs import bucket_count, chunks, sent_packed, unpacked
 from .common import scratch_path, stored
 
 END = b"\n"  # no word holds white space
 FLUSH = 4 << 20  # tokens of a task before they are sent
 DEFAULT_DISCOUNTS = (0.5, 1.0, 1.5)
+STATS = ("total", "n1", "n2", "n3")
+#: Where a row of statistics goes: contexts of two words, pairs of words, single words as contexts, single words.
+TO_CONTEXT, TO_PAIR, TO_WORD, TO_LAST = range(4)
 
 
 def held_out(doc_id: Column, folds: int = 10) -> Column:
@@ -54,44 +57,6 @@ def held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-# Files ---------------------------------------------------------------------
-
-
-def _fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if urlparse(uri).scheme else f"file://{uri}")
-
-
-def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
-    """One raw file for each array, moved into place when complete."""
-    for name, x in arrays.items():
-        fs, path = _fs(f"{uri}.{name}")
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        part = f"{path}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(part) as f:
-            f.write(np.ascontiguousarray(x).data)
-        fs.move(part, path)
-
-
-def map_array(uri: str, dtype) -> np.ndarray:
-    """A file as a read-only array over mapped memory."""
-    where = urlparse(uri)
-    if where.scheme in ("", "file"):
-        f = open(where.path, "rb")  # noqa: SIM115
-    else:
-        fs, path = _fs(uri)
-        f = tempfile.TemporaryFile()  # noqa: SIM115  unlinked: gone with the mapping
-        with fs.open_input_stream(path) as src:
-            while block := src.read(1 << 20):
-                f.write(block)
-        f.flush()
-    with f:
-        f.seek(0, 2)
-        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype) if f.tell() else np.empty(0, dtype)
-
-
-# Tokens --------------------------------------------------------------------
-
-
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, the end token after each text, and the number of tokens of each text."""
     flat: list[bytes] = []
@@ -104,16 +69,30 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)), lens
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = a * np.uint64(0x9E3779B97F4A7C15) + b
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+
+
+def gram_key(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
+    return _mixed(pair_key(w1, w2), w3.astype(np.uint64))
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys, and where in it each different one starts."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
 
 
-def _numbers(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+def _sums(start: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    return [np.add.reduceat(c.astype(np.int64), start) if len(start) else np.empty(0, np.int64) for c in columns]
 
 
 def _of_counts(c: np.ndarray) -> list[int]:
@@ -131,34 +110,27 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Model:
-    """Names, sizes and discounts; the arrays are mapped where they are used."""
+    """Sizes and discounts; the arrays are mapped where they are used."""
 
-    def __init__(self, root: str, buckets: int):
-        self.root, self.buckets = root, buckets
+    def __init__(self, root: str, buckets: int, order: int = 3):
+        self.root, self.buckets, self.order = root, buckets, order
         self.words: list[int] = [0] * buckets  # words of each hash range
-        self.train_tokens = self.texts = 0
-        self.hot: list[int] = []
-        self.d2 = self.d1 = DEFAULT_DISCOUNTS
-        self.pairs: set[int] = set()
+        self.train_tokens = 0
+        self.discounts = {n: DEFAULT_DISCOUNTS for n in range(1, order + 1)}
         self.cont_total, self.cont_kinds = 0, (0, 0, 0)
+        self.files = Reader(root)
 
     @property
     def n_words(self) -> int:
         return sum(self.words)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_maps"}
-
-    def mapped(self, kind: str, bucket: int, name: str, dtype) -> np.ndarray:
-        maps = self.__dict__.setdefault("_maps", {})
-        key = (kind, bucket, name)
-        if key not in maps:
-            maps[key] = map_array(f"{self.root}/{kind}-{bucket:05d}.{name}", dtype)
-        return maps[key]
-
-    def hash_bucket(self, h: np.ndarray) -> np.ndarray:
+    def range_bucket(self, h: np.ndarray) -> np.ndarray:
+        """The bucket of a hash, by its range."""
         return ((h >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
+    def key_bucket(self, key: np.ndarray) -> np.ndarray:
+        return self.range_bucket(_mixed(key, np.full(len(key), 7, np.uint64)))
+
     def id_range(self, b: int) -> tuple[int, int]:
         """Ids are dealt to buckets in equal ranges; one more than the words, for the start of a text."""
         n = self.n_words + 1
@@ -167,225 +139,348 @@ class Model:
     def id_bucket(self, i: np.ndarray) -> np.ndarray:
         return i.astype(np.int64) * self.buckets // (self.n_words + 1)
 
-    def pair_bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return np.where(np.isin(context, self.hot), self.id_bucket(word), self.id_bucket(context))
+    def frequent(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Words that would fill a bucket alone, and the start of a text."""
+        return (count > self.train_tokens / self.buckets) | (ids == self.n_words)
 
     def find_words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and count of each hash; -1 and 0 if unknown."""
         unique, back = np.unique(h, return_inverse=True)
         ids, counts = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
         starts = np.concatenate([[0], np.cumsum(self.words)])
-        edges = np.searchsorted(self.hash_bucket(unique), np.arange(self.buckets + 1))
-        for b in range(self.buckets):
+        edges = np.searchsorted(self.range_bucket(unique), np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
             a, z = edges[b], edges[b + 1]
-            if a < z and self.words[b]:
-                known = self.mapped("words", b, "hash", np.uint64)
+            if self.words[b]:
+                known = self.files.get("words", b, "hash", np.uint64)
                 at = np.minimum(np.searchsorted(known, unique[a:z]), len(known) - 1)
                 hit = known[at] == unique[a:z]
                 ids[a:z] = np.where(hit, starts[b] + at, -1)
-                counts[a:z] = np.where(hit, self.mapped("words", b, "count", np.int64)[at], 0)
+                counts[a:z] = np.where(hit, self.files.get("words", b, "count", np.int64)[at], 0)
         return ids[back], counts[back]
 
     def _by_bucket(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(bucket.astype(np.int32), kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            if edges[b] < edges[b + 1]:
-                yield b, order[edges[b] : edges[b + 1]]
-
-    def find_pairs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Counts of pairs; contexts and words must be known."""
-        key = context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
-        unique, back = np.unique(key, return_inverse=True)
-        counts = np.zeros(len(unique), np.int64)
-        c, w = (unique >> np.uint64(32)).astype(np.int64), (unique & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        for b, at in self._by_bucket(self.pair_bucket(c, w)):
-            if b in self.pairs:
-                known = self.mapped("pairs", b, "key", np.uint64)
-                place = np.minimum(np.searchsorted(known, unique[at]), len(known) - 1)
-                small = self.mapped("pairs", b, "count", np.uint8)[place]
-                n = small.astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        for part in np.split(order, cuts) if len(order) else []:
+            yield int(bucket[part[0]]), part
+
+    def look_up(self, kind: str, bucket: np.ndarray, name: str, key: np.ndarray, columns: tuple[str, ...]) -> np.ndarray:
+        """Columns x keys; zeros where a key is not there."""
+        out = np.zeros((len(columns), len(key)), np.int64)
+        for b, at in self._by_bucket(bucket):
+            known = self.files.get(kind, b, f"{name}_key", np.uint64)
+            if not len(known):
+                continue
+            place = np.minimum(np.searchsorted(known, key[at]), len(known) - 1)
+            hit = known[place] == key[at]
+            at, place = at[hit], place[hit]
+            for k, c in enumerate(columns):
+                small = self.files.get(kind, b, f"{name}_{c}", np.uint8)[place].astype(np.int64)
                 if (big := small == 255).any():
-                    n[big] = self.mapped("pairs", b, "large_count", np.int64)[np.searchsorted(self.mapped("pairs", b, "large", np.int64), place[big])]
-                counts[at] = np.where(known[place] == unique[at], n, 0)
-        return counts[back]
+                    large = self.files.get(kind, b, f"{name}_{c}_at", np.int64)
+                    small[big] = self.files.get(kind, b, f"{name}_{c}_large", np.int64)[np.searchsorted(large, place[big])]
+                out[k, at] = small
+        return out
 
     def by_id(self, name: str, ids: np.ndarray) -> np.ndarray:
         """A dense statistic of known ids."""
         out = np.zeros(len(ids), np.int64)
         for b, at in self._by_bucket(self.id_bucket(ids)):
-            out[at] = self.mapped("stats", b, name, np.int64)[ids[at] - self.id_range(b)[0]]
+            dense = self.files.get("dense", b, name, np.int64)
+            if len(dense):
+                out[at] = dense[ids[at] - self.id_range(b)[0]]
         return out
 
+    def contexts(self, ids: np.ndarray, count: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids of the two preceding words (starts before a text), and whether the nearer one is frequent."""
+        start = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        w2, w1, n2 = (np.concatenate([np.full(k, fill, np.int64), x[:-k]])[: len(x)] for x, k, fill in ((ids, 1, self.n_words), (ids, 2, self.n_words), (count, 1, 0)))
+        w2[start] = w1[start] = self.n_words
+        w1[start[lens > 1] + 1] = self.n_words
+        return w1, w2, self.frequent(w2, n2)
+
+    def _backed_off(self, n: int, p: np.ndarray, at: np.ndarray, stats: np.ndarray, count: np.ndarray) -> None:
+        """One order more for tokens ``at`` with the statistics of their contexts and their own counts."""
+        d = self.discounts[n]
+        total, *kinds = stats
+        seen = total > 0
+        at, total, c = at[seen], total[seen], count[seen]
+        mass = sum(x * k[seen] for x, k in zip(d, kinds, strict=True))
+        p[at] = np.maximum(c - np.array((0.0, *d))[np.minimum(c, 3)], 0) / total + mass / total * p[at]
+
     def log10_tokens(self, h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: count in training, log10 of the base, log10 of the model."""
         ids, count = self.find_words(h)
         v = self.n_words
         base = np.log10((count + 0.1) / (self.train_tokens + 0.1 * (v + 1)))
         p = np.full(len(h), 1.0)
+        if not v:
+            return count, base, np.log10(p)
         known = ids >= 0
-        if v:
-            g = sum(d * n for d, n in zip(self.d1, self.cont_kinds, strict=True)) / self.cont_total
-            p[:] = g / (v + 1)
-            unique, back = np.unique(ids[known], return_inverse=True)
-            c = self.by_id("cont", unique)
-            p[known] += (np.maximum(c - np.array((0.0, *self.d1))[np.minimum(c, 3)], 0) / self.cont_total)[back]
-            context = np.concatenate([[v], ids[:-1]])
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            context[starts] = v
-            seen = context >= 0
-            unique, back = np.unique(context[seen], return_inverse=True)
-            total = self.by_id("total", unique)
-            mass = sum(d * self.by_id(n, unique) for d, n in zip(self.d2, ("n1", "n2", "n3"), strict=True))
-            gamma = np.where(total > 0, mass / np.maximum(total, 1), 1.0)
-            p[seen] *= gamma[back]
-            both = np.flatnonzero(seen & known)
-            c = self.find_pairs(context[both], ids[both])
-            all_total = np.zeros(len(h), np.int64)
-            all_total[seen] = total[back]
-            p[both] += np.maximum(c - np.array((0.0, *self.d2))[np.minimum(c, 3)], 0) / np.maximum(all_total[both], 1)
+        d = self.discounts[1]
+        p[:] = sum(x * n for x, n in zip(d, self.cont_kinds, strict=True)) / self.cont_total / (v + 1)
+        c = self.by_id("last", ids[known])
+        p[known] += np.maximum(c - np.array((0.0, *d))[np.minimum(c, 3)], 0) / self.cont_total
+        w1, w2, hot = self.contexts(ids, count, lens)
+
+        at = np.flatnonzero(w2 >= 0)
+        unique, back = np.unique(w2[at], return_inverse=True)
+        stats = np.stack([self.by_id(s, unique)[back] for s in STATS])
+        pairs = np.zeros(len(h), np.int64)
+        for kind, some in (("grams", known & ~hot), ("hot", known & hot)):
+            x = np.flatnonzero(some & (w2 >= 0))
+            key = pair_key(w2[x], ids[x])
+            pairs[x] = self.look_up(kind, self.key_bucket(key) if kind == "hot" else self.id_bucket(w2[x]), "pair", key, ("n",))[0]
+        self._backed_off(2, p, at, stats, pairs[at])
+
+        if self.order == 3:
+            both = (w2 >= 0) & (w1 >= 0)
+            stats, grams = np.zeros((len(STATS), len(h)), np.int64), np.zeros(len(h), np.int64)
+            for kind, some in (("grams", both & ~hot), ("hot", both & hot)):
+                x = np.flatnonzero(some)
+                key = pair_key(w1[x], w2[x])
+                stats[:, x] = self.look_up(kind, self.key_bucket(key) if kind == "hot" else self.id_bucket(w2[x]), "context", key, STATS)
+            x = np.flatnonzero(both & known)
+            key = gram_key(w1[x], w2[x], ids[x])
+            grams[x] = self.look_up("grams", np.where(hot[x], self.key_bucket(key), self.id_bucket(w2[x])), "gram", key, ("n",))[0]
+            at = np.flatnonzero(both)
+            self._backed_off(3, p, at, stats[:, at], grams[at])
         return count, base, np.log10(p)
 
 
 # Training ------------------------------------------------------------------
 
 
-def train(texts: DataFrame, buckets: int | None = None) -> Model:
+def _table(name: str, keys: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Sorted keys and their numbers: a byte each, larger ones apart."""
+    out = {f"{name}_key": keys}
+    for c, x in columns.items():
+        large = np.flatnonzero(x >= 255)
+        out |= {f"{name}_{c}": np.minimum(x, 255).astype(np.uint8), f"{name}_{c}_at": large, f"{name}_{c}_large": x[large]}
+    return out
+
+
+def _kinds(n: np.ndarray) -> tuple[np.ndarray, ...]:
+    return n, n == 1, n == 2, n >= 3
+
+
+def _in_files(df: DataFrame) -> DataFrame:
+    """Buckets of one file in one task, in order."""
+    return df.repartition(F.floor(F.col("bucket") / PER_FILE)).sortWithinPartitions("bucket")
+
+
+def _collected(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Packed rows sorted by bucket -> each bucket and its arrays."""
+    now, held = None, []
+
+    def joined():
+        return now, [np.concatenate([unpacked(r[i], t, i == 0) for r in held]) for i, t in enumerate(dtypes)]
+
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[0] != now:
+                if held:
+                    yield joined()
+                now, held = row[0], []
+            held.append(row[1:])
+    if held:
+        yield joined()
+
+
+OUT = "bucket int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary, dest int, of_counts array<array<long>>"
+
+
+def _out(part: pa.RecordBatch | None, dest: int, bucket: int = 0, of_counts=None) -> pa.RecordBatch:
+    cols = list(part.columns) if part is not None else [pa.array([bucket], pa.int32())]
+    cols += [pa.nulls(1, pa.binary())] * (6 - len(cols))
+    return pa.RecordBatch.from_arrays([*cols, pa.array([dest], pa.int32()), pa.array([of_counts], pa.list_(pa.list_(pa.int64())))], names=["bucket", *[f"a{i}" for i in range(5)], "dest", "of_counts"])
+
+
+def train(texts: DataFrame, buckets: int | None = None, order: int = 3) -> Model:
     """``text`` -> a model in the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     buckets = buckets or bucket_count(texts)
-    model = Model(scratch_path(texts.sparkSession, "lm"), buckets)
+    model = Model(scratch_path(texts.sparkSession, "lm"), buckets, order)
 
-    def count_words(batches):
+    def in_parts(batches, prepare, flush):
         held, n = [], 0
-
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield from sent_rows(model.hash_bucket(keys), keys, counts.astype(np.uint32))
-
         for _, part in chunks(batches, 0):
-            h, _ = tokens(part)
-            held.append(h)
-            n += len(h)
+            held.append(prepare(*tokens(part)))
+            n += len(held[-1][0])
             if n > FLUSH:
-                yield from flush()
+                yield from flush([np.concatenate(x) for x in zip(*held, strict=True)])
                 held, n = [], 0
         if held:
-            yield from flush()
+            yield from flush([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def count_words(batches):
+        def flush(cols):
+            keys, counts = np.unique(cols[0], return_counts=True)
+            yield from sent_packed(model.range_bucket(keys), keys, counts.astype(np.uint32))
+
+        yield from in_parts(batches, lambda h, _: (h,), flush)
 
     def merge_words(batches):
-        rows = []
-        for b, (keys, counts) in gathered(batches, [np.uint64, np.uint32]):
-            keys, counts = _summed(keys, counts.astype(np.int64))
-            write_arrays(f"{model.root}/words-{b:05d}", {"hash": keys, "count": counts})
-            top = np.argsort(-counts, kind="stable")[:32]
-            rows.append((b, len(keys), int(counts.sum()), keys[top].view(np.int64).tolist(), counts[top].tolist()))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "n", "total", "top", "top_n"])
+        rows, files = [], Writer(model.root, "words")
+        for b, (keys, counts) in _collected(batches, [np.uint64, np.uint32]):
+            by, start = _groups(keys)
+            (counts,) = _sums(start, counts[by])
+            files.put(b, {"hash": keys[by][start], "count": counts})
+            rows.append((b, len(start), int(counts.sum())))
+        files.close()
+        cols = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bucket", "n", "total"])
 
     sent = texts.select("text").mapInArrow(count_words, "bucket int, a0 binary, a1 binary")
-    frequent: list[tuple[int, int]] = []
-    for r in per_bucket(sent, merge_words, "bucket long, n long, total long, top array<long>, top_n array<long>").collect():
+    for r in _in_files(sent).mapInArrow(merge_words, "bucket long, n long, total long").collect():
         model.words[r["bucket"]] = r["n"]
         model.train_tokens += r["total"]
-        frequent += zip(r["top"], r["top_n"], strict=True)
     if not model.train_tokens:
         return model
-    if model.n_words >= 1 << 32:
+    if model.n_words >= (1 << 32) - 1:
         raise ValueError("more than 2^32 words")
-    # Words frequent enough to weigh on a bucket: at most 4 for each bucket, as counts sum to the whole.
-    fill = model.train_tokens / (4 * buckets)
-    if hot := [h for h, n in frequent if n > fill]:
-        model.hot = sorted(model.find_words(np.array(hot, np.int64).view(np.uint64))[0].tolist())
-        model.__dict__.pop("_maps", None)
-    model.hot.append(model.n_words)  # the start of a text
-
-    def count_pairs(batches):
-        held, n = [], 0
 
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            c, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            bucket = model.pair_bucket(c, w)
-            order = np.argsort(bucket, kind="stable")
-            yield from sent_rows(bucket[order], keys[order], counts[order].astype(np.uint32))
+    def count_grams(batches):
+        def prepare(h, lens):
+            ids, count = model.find_words(h)
+            w1, w2, hot = model.contexts(ids, count, lens)
+            return *(x.astype(np.uint32) for x in (w1, w2, ids)), hot.astype(np.uint8)
+
+        def flush(cols):
+            w1, w2, w3, hot = cols
+            key = gram_key(w1, w2, w3) if order == 3 else pair_key(w2, w3)
+            key, first, counts = np.unique(key, return_index=True, return_counts=True)
+            w1, w2, w3, hot = (x[first] for x in (w1, w2, w3, hot))
+            bucket = np.where(hot == 1, model.key_bucket(key), model.id_bucket(w2))
+            by = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | w2.astype(np.uint64))
+            yield from sent_packed(bucket[by], w2[by], w1[by], w3[by], counts[by].astype(np.uint32), hot[by])
+
+        yield from in_parts(batches, prepare, flush)
+
+    def numbers(pair, n):
+        """Rows for single words that follow from counts of different pairs, and their counts of counts."""
+        by, start = _groups(pair >> np.uint64(32))
+        first = (pair[by][start] >> np.uint64(32)).astype(np.uint32)
+        stats = _sums(start, *(k[by] for k in _kinds(n)))
+        for part in sent_packed(model.id_bucket(first), first, *[s.astype(np.uint32) for s in stats]):
+            yield _out(part, TO_WORD)
+        last, c = np.unique((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
+        for part in sent_packed(model.id_bucket(last), last, c.astype(np.uint32)):
+            yield _out(part, TO_LAST)
+
+    def by_key(dest, key, *values):
+        bucket = model.key_bucket(key)
+        by = np.lexsort((key, bucket))
+        for part in sent_packed(bucket[by], key[by], *[v[by].astype(np.uint32) for v in values]):
+            yield _out(part, dest)
+
+    def merge_grams(batches):
+        files = Writer(model.root, "grams")
+        for b, (w2, w1, w3, count, hot) in _collected(batches, [np.uint32] * 4 + [np.uint8]):
+            key = gram_key(w1, w2, w3) if order == 3 else pair_key(w2, w3)
+            by, start = _groups(key)
+            (n,) = _sums(start, count[by])
+            key, w1, w2, w3, hot = (x[by][start] for x in (key, w1, w2, w3, hot))
+            arrays, of = {}, [_of_counts(n), [0] * 4]
+            for spread in (False, True):
+                at = np.flatnonzero(hot == spread)
+                pair = pair_key(w2[at], w3[at])
+                p_by, p_start = _groups(pair)
+                pairs = pair[p_by][p_start]
+                preceding = _sums(p_start, np.ones(len(at)) if order == 3 else n[at][p_by])[0]
+                if order == 3:
+                    context = pair_key(w1[at], w2[at])
+                    c_by, c_start = _groups(context)
+                    stats = _sums(c_start, *(k[c_by] for k in _kinds(n[at])))
+                    if spread:
+                        yield from by_key(TO_CONTEXT, context[c_by][c_start], *stats)
+                    else:
+                        arrays |= _table("context", context[c_by][c_start], dict(zip(STATS, stats, strict=True)))
+                if spread:
+                    yield from by_key(TO_PAIR, pairs, preceding)
+                else:
+                    arrays |= _table("pair", pairs, {"n": preceding})
+                    of[1] = _of_counts(preceding)
+                    yield from numbers(pairs, preceding)
+            if order == 3:
+                arrays |= _table("gram", key, {"n": n})
+            files.put(b, arrays)
+            yield _out(None, -1, b, of if order == 3 else [of[1]])
+        files.close()
+
+    def merge_hot(batches):
+        """What frequent words sent on: a bucket's contexts and pairs."""
+        files, now, held = Writer(model.root, "hot"), None, {}
+
+        def close():
+            arrays = {}
+            for dest, parts in held.items():
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                by, start = _groups(columns[0])
+                keys, sums = columns[0][by][start], _sums(start, *(c[by] for c in columns[1:]))
+                if dest == TO_CONTEXT:
+                    arrays |= _table("context", keys, dict(zip(STATS, sums, strict=True)))
+                else:
+                    arrays |= _table("pair", keys, {"n": sums[0]})
+                    yield from numbers(keys, sums[0])
+                    yield _out(None, -1, now, [[0] * 4, _of_counts(sums[0])] if order == 3 else [_of_counts(sums[0])])
+            files.put(now, arrays)
 
-        for _, part in chunks(batches, 0):
-            h, lens = tokens(part)
-            ids, _ = model.find_words(h)
-            context = np.concatenate([[model.n_words], ids[:-1]])
-            context[np.concatenate([[0], np.cumsum(lens)[:-1]])] = model.n_words
-            held.append(context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
-            n += len(h)
-            if n > FLUSH:
-                yield from flush()
-                held, n = [], 0
+        for batch in batches:
+            for b, *values, dest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if b != now:
+                    if held:
+                        yield from close()
+                    now, held = b, {}
+                held.setdefault(dest, []).append([unpacked(v, np.uint64 if i == 0 else np.uint32, i == 0) for i, v in enumerate(values) if v is not None])
         if held:
-            yield from flush()
-
-    def merge_pairs(batches):
-        """Writes pair files; sends context and continuation counts to their id ranges, and its counts of counts."""
-        for b, (keys, counts) in gathered(batches, [np.uint64, np.uint32]):
-            keys, counts = _summed(keys, counts.astype(np.int64))
-            large = np.flatnonzero(counts >= 255)
-            write_arrays(f"{model.root}/pairs-{b:05d}", {"key": keys, "count": np.minimum(counts, 255).astype(np.uint8), "large": large, "large_count": counts[large]})
-            yield from _counted(b, keys, counts)
-
-    def _counted(b, keys, counts):
-        c, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        stats = [np.add.reduceat(x, first) for x in (counts, counts == 1, counts == 2, counts >= 3)]
-        ids = c[first]
-        for part in sent_rows(model.id_bucket(ids), ids.astype(np.uint32), *[s.astype(np.int64) for s in stats]):
-            yield _padded(part, None)
-        ids, n = np.unique(w, return_counts=True)
-        for part in sent_rows(model.id_bucket(ids), ids.astype(np.uint32), n):
-            yield _padded(part, None)
-        yield _padded(pa.RecordBatch.from_arrays([pa.array([b], pa.int32())], names=["bucket"]), _of_counts(counts))
-
-    def _padded(part: pa.RecordBatch, of_counts) -> pa.RecordBatch:
-        cols = [*part.columns, *[pa.array([None], pa.binary())] * (6 - part.num_columns), pa.array([of_counts], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["bucket", "a0", "a1", "a2", "a3", "a4", "of_counts"])
-
-    sent = texts.select("text").mapInArrow(count_pairs, "bucket int, a0 binary, a1 binary")
-    counted = stored(per_bucket(sent, merge_pairs, "bucket int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary, of_counts array<long>"), "pair_counts")
-    made = counted.filter("of_counts is not null").select("bucket", *[F.col("of_counts")[i].alias(f"n{i + 1}") for i in range(4)])
-    sums = [0] * 4
-    for r in made.collect():
-        model.pairs.add(r["bucket"])
-        sums = [s + r[f"n{i + 1}"] for i, s in enumerate(sums)]
-    model.d2 = discounts(*sums)
-
-    def merge_stats(batches):
-        rows = []
-
-        def close(b, dense):
-            write_arrays(f"{model.root}/stats-{b:05d}", dict(zip(("total", "n1", "n2", "n3", "cont"), dense, strict=True)))
-            rows.append((b, int(dense[4].sum(dtype=np.int64)), int((dense[4] >= 3).sum()), *_of_counts(dense[4])))
-
-        now, dense = None, None
+            yield from close()
+        files.close()
+
+    sent = texts.select("text").mapInArrow(count_grams, "bucket int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary")
+    counted = stored(_in_files(sent).mapInArrow(merge_grams, OUT), "gram_counts")
+    spread = counted.filter(F.col("dest").isin(TO_CONTEXT, TO_PAIR)).drop("of_counts")
+    counted = counted.union(stored(_in_files(spread).mapInArrow(merge_hot, OUT), "hot_counts"))
+    sums = {n: [0] * 4 for n in range(2, order + 1)}
+    for r in counted.filter("dest = -1").select("of_counts").collect():
+        for n, of in zip(range(order, 1, -1), r["of_counts"], strict=True):
+            sums[n] = [s + x for s, x in zip(sums[n], of, strict=True)]
+    model.discounts |= {n: discounts(*x) for n, x in sums.items()}
+
+    def merge_words_of(batches):
+        """Dense statistics of id ranges."""
+        rows, files, now, dense = [], Writer(model.root, "dense"), None, None
+
+        def close():
+            files.put(now, dense)
+            last = dense["last"]
+            rows.append((int(last.sum()), int((last >= 3).sum()), *_of_counts(last)))
+
         for batch in batches:
-            for b, ids, *values in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+            for b, *values, dest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if b != now:
                     if dense is not None:
-                        close(now, dense)
+                        close()
                     lo, hi = model.id_range(b)
-                    now, dense = b, [np.zeros(hi - lo, np.int64) for _ in range(5)]
-                at = np.frombuffer(ids, np.uint32).astype(np.int64) - lo
-                for k, v in enumerate(values if values[1] is not None else [None] * 4 + values[:1]):
-                    if v is not None:
-                        dense[k][at] += np.frombuffer(v, np.int64)  # ids of one part are distinct
+                    now, dense = b, {n: np.zeros(hi - lo, np.int64) for n in (*STATS, "last")}
+                at = unpacked(values[0], np.uint32, True).astype(np.int64) - lo
+                for name, v in zip(STATS if dest == TO_WORD else ("last",), values[1:], strict=False):
+                    dense[name][at] += unpacked(v, np.uint32)  # ids of one part are distinct
         if dense is not None:
-            close(now, dense)
-        yield _numbers(rows, ["bucket", "sum", "n3p", "n1", "n2", "n3", "n4"])
-
-    parts = counted.filter("a0 is not null").drop("of_counts")
-    cont, kinds = [0] * 4, [0] * 3
-    for r in per_bucket(parts, merge_stats, "bucket long, sum long, n3p long, n1 long, n2 long, n3 long, n4 long").collect():
+            close()
+        files.close()
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sum", "n3p", "n1", "n2", "n3", "n4"])
+
+    parts = counted.filter(F.col("dest").isin(TO_WORD, TO_LAST)).drop("of_counts")
+    of, kinds = [0] * 4, [0] * 3
+    for r in _in_files(parts).mapInArrow(merge_words_of, "sum long, n3p long, n1 long, n2 long, n3 long, n4 long").collect():
         model.cont_total += r["sum"]
-        cont = [s + r[f"n{i + 1}"] for i, s in enumerate(cont)]
+        of = [s + r[f"n{i + 1}"] for i, s in enumerate(of)]
         kinds = [kinds[0] + r["n1"], kinds[1] + r["n2"], kinds[2] + r["n3p"]]
-    model.d1, model.cont_kinds = discounts(*cont), tuple(kinds)
+    model.discounts[1], model.cont_kinds = discounts(*of), tuple(kinds)
     return model
 
 
@@ -405,8 +500,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def kneser_ney_scores(docs: DataFrame, *, folds: int = 10, buckets: int | None = None) -> DataFrame:
+def kneser_ney_scores(docs: DataFrame, *, order: int = 3, folds: int = 10, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), folds).alias("held_out"))
-    model = train(d.filter(~F.col("held_out")), buckets)
+    model = train(d.filter(~F.col("held_out")), buckets, order)
     return score_texts(d, model)

@@ -131,43 +131,48 @@ def test_toxicity_learns_from_negative_and_repeated_ids(frame, spark):
 # Language model --------------------------------------------------------------
 
 
-def brute_lm(texts):
-    """A plain interpolated modified Kneser-Ney bigram model."""
+def brute_lm(texts, order):
+    """A plain interpolated modified Kneser-Ney model."""
     tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    uni, bi = collections.Counter(), collections.Counter()
+    grams = lambda w: [tuple(([None] * (order - 1) + w)[k : k + order]) for k in range(len(w))]
+    uni, counts = collections.Counter(), {order: collections.Counter()}
     for i, t in texts:
         if not held(i):
-            w = tok(t)
-            uni.update(w)
-            bi.update(zip([None, *w[:-1]], w, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    ctx, left = collections.defaultdict(list), collections.Counter(w for _, w in bi)
-    for (h, _), c in bi.items():
-        ctx[h].append(c)
-    of = lambda cs: lm.discounts(*[sum(c == k for c in cs) for k in (1, 2, 3, 4)])
-    d2, d1 = of(list(bi.values())), of(list(left.values()))
-    cut = lambda c, d: max(c - (0, *d)[min(c, 3)], 0) if c else 0
-    mass = lambda cs, d: sum(d[min(c, 3) - 1] for c in cs)
-
-    def p(h, w):
-        low = cut(left[w], d1) / len(bi) + mass(left.values(), d1) / len(bi) / (v + 1)
-        if h not in ctx:
-            return low
-        total = sum(ctx[h])
-        return (cut(bi[h, w], d2) if w in uni else 0) / total + mass(ctx[h], d2) / total * low
-
-    out = {}
+            uni.update(tok(t))
+            counts[order].update(grams(tok(t)))
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    d = {n: lm.discounts(*[sum(c == k for c in counts[n].values()) for k in (1, 2, 3, 4)]) for n in counts}
+    total, mass = collections.Counter(), collections.Counter()
+    for n, of in counts.items():
+        for g, c in of.items():
+            total[n, g[:-1]] += c
+            mass[n, g[:-1]] += d[n][min(c, 3) - 1]
+    v = len(uni)
+
+    def p(g):
+        n = len(g)
+        low = p(g[1:]) if n > 1 else 1 / (v + 1)
+        t = total[n, g[:-1]]
+        c = counts[n][g]
+        return (max(c - (0, *d[n])[min(c, 3)], 0) + mass[n, g[:-1]] * low) / t if t else low
+
+    out, n = {}, sum(uni.values())
     for i, t in texts:
         w = tok(t)
-        score = sum(math.log10(p(h, x)) for h, x in zip([None, *w[:-1]], w, strict=True))
-        out[i] = (held(i), len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), score)
+        out[i] = (held(i), len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), sum(math.log10(p(g)) for g in grams(w)))
     return out
 
 
-def test_lm_equals_plain_model(spark, sf):
-    want = brute_lm(list(texts_of(spark, sf).items()))
-    for r in queries.op4_lm(spark, sf).collect():
+@pytest.mark.parametrize(("order", "buckets"), [(3, None), (3, 19), (2, 5)])
+def test_lm_equals_plain_model(spark, sf, order, buckets):
+    """With more buckets, frequent words are spread and files hold several buckets."""
+    docs = table(spark, sf, "documents").filter("doc_id < 60")
+    want = brute_lm([(r.doc_id, r.text) for r in docs.collect()], order)
+    rows = lm.kneser_ney_scores(docs, order=order, buckets=buckets).collect()
+    assert len(rows) == len(want)
+    for r in rows:
         h, n, known, total, base, score = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, known, total)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
