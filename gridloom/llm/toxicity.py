@@ -86,7 +86,7 @@ def tokens_of(texts: list[list[bytes]]) -> Tokens:
     salted = gram * ((np.arange(len(gram)) - np.repeat(at, size)).astype(np.uint32) * np.uint32(2654435761) | np.uint32(1))
     word = np.add.reduceat(salted, at) if len(words) else np.empty(0, np.uint32)
     word = (word ^ (word >> np.uint32(16))) * np.uint32(0x7FEB352D)
-    return Tokens(((word >> np.uint32(10)) % WORDS).astype(np.int64), (gram % GRAMS).astype(np.int64), at, size, lens)
+    return Tokens(((word >> np.uint32(10)) % WORDS).astype(np.uint16), (gram % GRAMS).astype(np.uint16), at, size, lens)
 
 
 def some_tokens(t: Tokens, at: np.ndarray) -> Tokens:
@@ -249,13 +249,15 @@ class Network:
 
 
 def train(examples: list[tuple[str, int]], prior: float, *, steps: int = 384, refresh: int = 32, rate: float = 0.02, batch: int = 128, seed: int = 7) -> Network:
-    """``examples``: texts and labels. ``prior``: the share of positive labels. Worst windows are looked up anew every ``refresh`` steps."""
+    """``examples``: texts and labels; the list is emptied. ``prior``: the share of positive labels. Worst windows are looked up anew every ``refresh`` steps."""
     net, rng = Network(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     label = np.array([y for _, y in examples], f4)
     t = tokenise([x for x, _ in examples])
+    examples.clear()  # the texts are not needed any more
     index, text = window_index(t.lens)
+    index = index.astype(np.int32)
     first = np.flatnonzero(np.diff(text, prepend=-1))
     count = np.diff(np.concatenate([first, [len(text)]]))
     queue = np.empty(0, np.int64)
