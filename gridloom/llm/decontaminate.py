@@ -149,8 +149,8 @@ def _grams(items: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _byte_map(hashes: list[int]) -> bytes:
-    """One byte for each value of a hash's last bits, 1 where the list has it: 64 bytes a hash or more, up to 8 MB."""
-    size = 1 << min(23, max(12, (64 * len(hashes)).bit_length()))
+    """One byte for each value of a hash's last bits, 1 where the list has it: 16 bytes a hash or more."""
+    size = 1 << max(12, (16 * len(hashes) - 1).bit_length())
     at = bytearray(size)
     for h in hashes:
         at[h & (size - 1)] = 1
@@ -180,7 +180,7 @@ def find_leaks(
     short: int = 5,
     coverage: float = 0.5,
     drift: int = 4,
-    broadcast_rows: int = 500_000,
+    broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """doc_id, item_id, windows, item_windows, n_slots: a document and the template class (by its smallest item) that it holds."""
     docs = docs.select("doc_id", "text")
