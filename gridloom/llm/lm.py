@@ -10,8 +10,8 @@ Training
      writes sorted hashes and counts. A word's id is its rank.
   2. The same for n-grams of ids, packed. An n-gram goes to the bucket of its
      next to last word, where the statistics of its context and the preceding
-     words of its last two are complete. Words frequent enough to fill a bucket
-     alone are spread by the whole n-gram instead; of these the bucket only
+     words of its last two are complete. Words frequent enough to fill a few
+     buckets alone are spread by the whole n-gram instead; of these the bucket only
      sends on partial sums, which meet by context and by pair of words.
   3. Statistics of single words meet by id range. Discounts come from the
      counts of counts, a few numbers per bucket.
@@ -20,8 +20,10 @@ Scoring maps the files (module ``arrays``) into memory, so a worker holds only
 the pages it touches, and looks up a few hundred thousand keys at a time.
 
 The driver gets a few sums per bucket, about 100 bytes for 4 MB of text, and no
-task holds more than a bucket. Equal hashes of words count as one word, equal
-hashes of trigrams as one trigram; pairs are exact.
+task holds more than a few buckets' worth of n-grams. Words are told apart by
+64 bits of hash in counting and in lookups; n-grams exactly by ids (trigrams by
+64 bits) in counting, and by 40 bits among those of a bucket in lookups, where
+an unseen one passes for a seen one with a chance below one in a million.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is
 hashed like an empty text; repeated rows are counted and scored each; with no
@@ -47,6 +49,7 @@ from .common import scratch_path, stored
 END = b"\n"  # no word holds white space
 FLUSH = 4 << 20  # tokens of a task before they are sent
 DEFAULT_DISCOUNTS = (0.5, 1.0, 1.5)
+HOT = 4  # buckets' worth of tokens that a word may bring to its bucket
 STATS = ("total", "n1", "n2", "n3")
 #: Where a row of statistics goes: contexts of two words, pairs of words, single words as contexts, single words.
 TO_CONTEXT, TO_PAIR, TO_WORD, TO_LAST = range(4)
@@ -112,8 +115,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 class Model:
     """Sizes and discounts; the arrays are mapped where they are used."""
 
-    def __init__(self, root: str, buckets: int, order: int = 3):
-        self.root, self.buckets, self.order = root, buckets, order
+    def __init__(self, root: str, buckets: int, order: int = 3, hot: float = HOT):
+        self.root, self.buckets, self.order, self.hot = root, buckets, order, hot
         self.words: list[int] = [0] * buckets  # words of each hash range
         self.train_tokens = 0
         self.discounts = {n: DEFAULT_DISCOUNTS for n in range(1, order + 1)}
@@ -140,8 +143,8 @@ class Model:
         return i.astype(np.int64) * self.buckets // (self.n_words + 1)
 
     def frequent(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Words that would fill a bucket alone, and the start of a text."""
-        return (count > self.train_tokens / self.buckets) | (ids == self.n_words)
+        """Words that would fill a few buckets alone, and the start of a text."""
+        return (count > self.hot * self.train_tokens / self.buckets) | (ids == self.n_words)
 
     def find_words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and count of each hash; -1 and 0 if unknown."""
@@ -168,12 +171,22 @@ class Model:
     def look_up(self, kind: str, bucket: np.ndarray, name: str, key: np.ndarray, columns: tuple[str, ...]) -> np.ndarray:
         """Columns x keys; zeros where a key is not there."""
         out = np.zeros((len(columns), len(key)), np.int64)
+        h = _mixed(key, np.full(len(key), 11, np.uint64))
+        top, tail = (h >> np.uint64(32)).astype(np.uint32), (h >> np.uint64(24)).astype(np.uint8)
         for b, at in self._by_bucket(bucket):
-            known = self.files.get(kind, b, f"{name}_key", np.uint64)
+            known, tails = self.files.get(kind, b, f"{name}_key", np.uint32), self.files.get(kind, b, f"{name}_tail", np.uint8)
             if not len(known):
                 continue
-            place = np.minimum(np.searchsorted(known, key[at]), len(known) - 1)
-            hit = known[place] == key[at]
+            place = np.searchsorted(known, top[at])
+            hit = np.zeros(len(at), bool)
+            open_ = np.arange(len(at))
+            while len(open_):  # once, but where the first 32 bits are shared
+                open_ = open_[place[open_] < len(known)]
+                open_ = open_[known[place[open_]] == top[at[open_]]]
+                same = tails[place[open_]] == tail[at[open_]]
+                hit[open_[same]] = True
+                open_ = open_[~same]
+                place[open_] += 1
             at, place = at[hit], place[hit]
             for k, c in enumerate(columns):
                 small = self.files.get(kind, b, f"{name}_{c}", np.uint8)[place].astype(np.int64)
@@ -253,9 +266,12 @@ class Model:
 
 
 def _table(name: str, keys: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Sorted keys and their numbers: a byte each, larger ones apart."""
-    out = {f"{name}_key": keys}
+    """Keys as sorted hashes of 40 bits (32 and 8), and their numbers: a byte each, larger ones apart."""
+    h = _mixed(keys, np.full(len(keys), 11, np.uint64))
+    by = np.argsort(h)
+    out = {f"{name}_key": (h[by] >> np.uint64(32)).astype(np.uint32), f"{name}_tail": (h[by] >> np.uint64(24)).astype(np.uint8)}
     for c, x in columns.items():
+        x = x[by]
         large = np.flatnonzero(x >= 255)
         out |= {f"{name}_{c}": np.minimum(x, 255).astype(np.uint8), f"{name}_{c}_at": large, f"{name}_{c}_large": x[large]}
     return out
@@ -297,12 +313,12 @@ def _out(part: pa.RecordBatch | None, dest: int, bucket: int = 0, of_counts=None
     return pa.RecordBatch.from_arrays([*cols, pa.array([dest], pa.int32()), pa.array([of_counts], pa.list_(pa.list_(pa.int64())))], names=["bucket", *[f"a{i}" for i in range(5)], "dest", "of_counts"])
 
 
-def train(texts: DataFrame, buckets: int | None = None, order: int = 3) -> Model:
+def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: float = HOT) -> Model:
     """``text`` -> a model in the shared folder."""
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     buckets = buckets or bucket_count(texts)
-    model = Model(scratch_path(texts.sparkSession, "lm"), buckets, order)
+    model = Model(scratch_path(texts.sparkSession, "lm"), buckets, order, hot)
 
     def in_parts(batches, prepare, flush):
         held, n = [], 0
@@ -500,8 +516,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def kneser_ney_scores(docs: DataFrame, *, order: int = 3, folds: int = 10, buckets: int | None = None) -> DataFrame:
+def kneser_ney_scores(docs: DataFrame, *, order: int = 3, folds: int = 10, buckets: int | None = None, hot: float = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), folds).alias("held_out"))
-    model = train(d.filter(~F.col("held_out")), buckets, order)
+    model = train(d.filter(~F.col("held_out")), buckets, order, hot)
     return score_texts(d, model)

@@ -170,7 +170,7 @@ def test_lm_equals_plain_model(spark, sf, order, buckets):
     """With more buckets, frequent words are spread and files hold several buckets."""
     docs = table(spark, sf, "documents").filter("doc_id < 60")
     want = brute_lm([(r.doc_id, r.text) for r in docs.collect()], order)
-    rows = lm.kneser_ney_scores(docs, order=order, buckets=buckets).collect()
+    rows = lm.kneser_ney_scores(docs, order=order, buckets=buckets, hot=0.5).collect()
     assert len(rows) == len(want)
     for r in rows:
         h, n, known, total, base, score = want[r.doc_id]
