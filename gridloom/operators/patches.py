@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spatial import lattice_pairs
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through the shared folder (``spark.checkpoint.dir``; a temporary one only where none is set)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``; a temporary one only where none is set)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/gridloom-patches/{name}-{uuid.uuid4().hex[:12]}"
+    return where.rstrip("/")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gridloom-patches/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,8 +36,9 @@ def runs(df: DataFrame, entity: str, order: str, state: Column) -> DataFrame:
 
 
 def smooth3(df: DataFrame, entity: str, order: str, value: str) -> DataFrame:
-    """Centred mean of three, shrinking at the ends."""
-    return df.withColumn("smooth", F.avg(value).over(Window.partitionBy(entity).orderBy(order).rowsBetween(-1, 1)))
+    """Centred mean of three, shrinking at the ends; the sum of decimals is exact."""
+    w = Window.partitionBy(entity).orderBy(order).rowsBetween(-1, 1)
+    return df.withColumn("smooth", F.sum(value).over(w).cast("double") / F.count(value).over(w))
 
 
 def zero_crossings(df: DataFrame, entity: str, x: str, y: str) -> DataFrame:

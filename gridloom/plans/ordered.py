@@ -38,9 +38,11 @@ def q_gaps_islands_tiers(spark, sf):
     return windows.runs(cube.annual(spark, sf), "scope", "year", F.when(F.col("value") >= 180000, "high").otherwise("low"))
 
 
-@query("SELECT scope, year, round(avg(value) OVER (PARTITION BY scope ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS smooth FROM annual")
+@query("""SELECT scope, year, CAST(sum(CAST(value AS DECIMAL(18, 4))) OVER w AS DOUBLE) / count(*) OVER w AS smooth FROM annual
+WINDOW w AS (PARTITION BY scope ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def q_smooth3(spark, sf):
-    return windows.smooth3(cube.annual(spark, sf), "scope", "year", "value").select("scope", "year", R(F.col("smooth"), 2).alias("smooth"))
+    a = cube.annual(spark, sf).withColumn("value", F.col("value").cast("decimal(18,4)"))
+    return windows.smooth3(a, "scope", "year", "value").select("scope", "year", "smooth")
 
 
 @query("""
@@ -99,10 +101,12 @@ def q_topk_signature(spark, sf):
     return windows.top_k(m, "k", [F.abs("m").desc(), F.col("i")], 8).select("k", "i", "m", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT o.cell_id, o.year, round(100 * (avg(CASE WHEN b.lst < o.lst THEN 1.0 ELSE 0.0 END) + 0.5 * avg(CASE WHEN b.lst = o.lst THEN 1.0 ELSE 0.0 END)), 4) AS pct FROM obs o JOIN obs b ON b.year = o.year AND o.year = 1998 GROUP BY ALL")
+@query("""
+WITH g AS (SELECT year, lst, count(*) AS k FROM obs GROUP BY ALL), r AS (SELECT year, lst, k, coalesce(sum(k) OVER (PARTITION BY year ORDER BY lst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(k) OVER (PARTITION BY year) AS n FROM g)
+SELECT cell_id, year, round(100 * (below + k / 2) / r.n, 4) AS pct FROM obs JOIN r USING (year, lst)""")
 def q_percent_rank(spark, sf):
-    """Mid-rank percentile: ranks instead of a self-join."""
-    o = cube.observations(spark, sf).filter("year = 1998")
+    """Mid-rank percentile within each frame: ranks instead of a self-join."""
+    o = cube.observations(spark, sf)
     w = Window.partitionBy("year")
     below = F.rank().over(w.orderBy("lst")) - 1
     equal = F.count(F.lit(1)).over(Window.partitionBy("year", "lst"))
