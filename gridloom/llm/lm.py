@@ -47,7 +47,7 @@ from .blobs import bucket_count, chunks, sent_packed, unpacked
 from .common import scratch_path, stored
 
 END = b"\n"  # no word holds white space
-FLUSH = 4 << 20  # tokens of a task before they are sent
+FLUSH = 1 << 20  # tokens of a task before they are sent
 DEFAULT_DISCOUNTS = (0.5, 1.0, 1.5)
 HOT = 4  # buckets' worth of tokens that a word may bring to its bucket
 STATS = ("total", "n1", "n2", "n3")
@@ -322,14 +322,20 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
 
     def in_parts(batches, prepare, flush):
         held, n = [], 0
+
+        def columns():
+            out = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            return out
+
         for _, part in chunks(batches, 0):
             held.append(prepare(*tokens(part)))
             n += len(held[-1][0])
             if n > FLUSH:
-                yield from flush([np.concatenate(x) for x in zip(*held, strict=True)])
-                held, n = [], 0
+                yield from flush(columns())
+                n = 0
         if held:
-            yield from flush([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from flush(columns())
 
     def count_words(batches):
         def flush(cols):
@@ -362,13 +368,13 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
         def prepare(h, lens):
             ids, count = model.find_words(h)
             w1, w2, hot = model.contexts(ids, count, lens)
-            return *(x.astype(np.uint32) for x in (w1, w2, ids)), hot.astype(np.uint8)
+            w1, w2, w3 = (x.astype(np.uint32) for x in (w1, w2, ids))
+            return gram_key(w1, w2, w3) if order == 3 else pair_key(w2, w3), w1, w2, w3, hot.astype(np.uint8)
 
         def flush(cols):
-            w1, w2, w3, hot = cols
-            key = gram_key(w1, w2, w3) if order == 3 else pair_key(w2, w3)
-            key, first, counts = np.unique(key, return_index=True, return_counts=True)
-            w1, w2, w3, hot = (x[first] for x in (w1, w2, w3, hot))
+            by, start = _groups(cols[0])
+            counts, first = np.diff(np.append(start, len(by))), by[start]
+            key, w1, w2, w3, hot = (x[first] for x in cols)
             bucket = np.where(hot == 1, model.key_bucket(key), model.id_bucket(w2))
             by = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | w2.astype(np.uint64))
             yield from sent_packed(bucket[by], w2[by], w1[by], w3[by], counts[by].astype(np.uint32), hot[by])
