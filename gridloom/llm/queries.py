@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, linededup, lm, mixing, secrets, simhash, substrings, toxicity, urlfilter
+from . import ann, decontaminate, lexical, linededup, lm, mixing, negatives, packing, secrets, simhash, substrings, toxicity, urlfilter
 from .common import table
 
 
@@ -55,8 +55,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has a wrong label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_ann, op3_toxicity, op4_lm, op5_mixing, op6_urlfilter, op7_linededup, op8_secrets, op9_substrings, op10_decontaminate)}
+    first = (op1_simhash, op2_ann, op3_toxicity, op4_lm, op5_mixing, op6_urlfilter, op7_linededup, op8_secrets, op9_substrings, op10_decontaminate)
+    return {f.__name__: f for f in (*first, op11_hard_negatives, op12_packing, op13_lexical)}
 
 
 #: Lower-casing of A-Z alone, as SQL text.
@@ -117,5 +135,45 @@ FROM p LEFT JOIN fits f ON f.page_id = p.page_id AND f.nth = 1 LEFT JOIN low l O
 )
 
 
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+_TERMS = f"unnest(regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+OP13 = f"""
+WITH tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} AS term FROM documents) GROUP BY ALL
+), len AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS terms FROM tf GROUP BY doc_id
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(terms) AS BIGINT) AS total FROM len
+), df AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term
+), norm AS (
+  SELECT doc_id, 100 - 50 + (50 * terms * docs) // total AS m FROM len, whole
+), asked AS (
+  SELECT DISTINCT item_id, {_TERMS} AS term FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN norm USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op6_urlfilter": OP6, "op7_linededup": OP7}
+    return {"op11_hard_negatives": OP11, "op13_lexical": OP13, "op5_mixing": mixing.ORACLE, "op6_urlfilter": OP6, "op7_linededup": OP7}
