@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stored
 from .spatial import lattice_pairs
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``; a temporary one only where none is set)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridloom-patches/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def patches(cells: DataFrame, cls: str, rounds: int = 100) -> DataFrame:
     """cell_id, class, patch (the smallest cell_id of the patch).
 
@@ -35,13 +16,13 @@ def patches(cells: DataFrame, cls: str, rounds: int = 100) -> DataFrame:
     of that label, so a patch of n cells settles in about log n rounds.
     """
     pairs = lattice_pairs(cells, 1, ["cell_id", cls]).filter(F.col(cls) == F.col(f"{cls}_b"))
-    edges = _written(pairs.select("cell_id", F.col("cell_id_b").alias("near")), "edges")
-    label = _written(cells.select("cell_id", cls, F.col("cell_id").alias("patch")), "labels")
+    edges = stored(pairs.select("cell_id", F.col("cell_id_b").alias("near")), "edges")
+    label = stored(cells.select("cell_id", cls, F.col("cell_id").alias("patch")), "labels")
     for _ in range(rounds):
         near = edges.join(label.select(F.col("cell_id").alias("near"), F.col("patch").alias("p")), "near").groupBy("cell_id").agg(F.min("p").alias("p"))
         low = label.join(near, "cell_id", "left").select("cell_id", cls, F.least("patch", "p").alias("q"), F.col("patch").alias("old"))
         jump = low.select(F.col("cell_id").alias("q"), F.col("q").alias("r"))
-        new = _written(low.join(jump, "q", "left").select("cell_id", cls, F.least("q", "r").alias("patch"), (F.least("q", "r") < F.col("old")).alias("moved")), "labels")
+        new = stored(low.join(jump, "q", "left").select("cell_id", cls, F.least("q", "r").alias("patch"), (F.least("q", "r") < F.col("old")).alias("moved")), "labels")
         label = new.drop("moved")
         if not new.filter("moved").limit(1).count():
             return label

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import grid
-from ..operators.patches import shared_folder
+from ..operators.scratch import new_path
 from ..sources import cube
 from .registry import query
 
@@ -366,7 +365,7 @@ def q_honest_skill(spark, sf):
 @query("SELECT year, count(*) AS n, round(sum(w), 2) AS w FROM obs GROUP BY year")
 def q_partitioned_parquet(spark, sf):
     """Written as zstd Parquet, partitioned by frame, and read back."""
-    path = f"{shared_folder(spark)}/gridloom-products/{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "products")
     cube.observations(spark, sf).repartition("year").write.option("compression", "zstd").partitionBy("year").parquet(path)
     back = spark.read.schema("cell_id long, lst double, w double, n long, year long").parquet(path)
     return back.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 2).alias("w"))
@@ -375,7 +374,7 @@ def q_partitioned_parquet(spark, sf):
 @query("SELECT scope, year, round(value, 2) AS value FROM annual")
 def q_timeline_csv(spark, sf):
     """Timelines written as CSV with a header and read back."""
-    path = f"{shared_folder(spark)}/gridloom-products/{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "products")
     cube.annual(spark, sf).select("scope", "year", R(F.col("value"), 2).alias("value")).write.csv(path, header=True)
     return spark.read.csv(path, header=True, schema="scope long, year long, value double")
 

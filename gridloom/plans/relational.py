@@ -233,12 +233,27 @@ def q_haversine(spark, sf):
     return c.select("cell_id", R(S.haversine_km(F.lit(28.0), F.lit(77.0), F.lit(28.0) + F.col("row") * 0.01, F.lit(77.0) + F.col("col") * 0.01)).alias("km"))
 
 
-@query("""
-WITH k AS (SELECT cell_id, radians(28.0 + row * 0.01) AS phi, radians(77.0 + col * 0.01) - radians(75.0) AS lam, 0.0066943799901413165::DOUBLE AS e2 FROM cells),
-s AS (SELECT *, e2 / (1 - e2) AS ep2, sin(phi) AS si, cos(phi) AS co, tan(phi) * tan(phi) AS tt FROM k),
-u AS (SELECT *, 6378137.0 / sqrt(1 - e2 * si * si) AS n, ep2 * co * co AS cc, lam * co AS a FROM s)
-SELECT cell_id, round(0.9996 * n * (a + (1 - tt + cc) * pow(a, 3) / 6 + (5 - 18 * tt + tt * tt + 72 * cc - 58 * ep2) * pow(a, 5) / 120) + 500000.0, 3) AS east FROM u""")
+#: Third flattening, rectifying radius times scale, and the coefficients to the plane, as numbers.
+_UTM = f"{S._N!r}::DOUBLE AS n, {S._RADIUS!r}::DOUBLE AS radius"
+
+
+@query(f"""
+WITH k AS (SELECT cell_id, sin(radians(28.0 + row * 0.01)) AS s, radians(2.0 + col * 0.01) AS lam, {_UTM} FROM cells),
+g AS (SELECT *, sqrt(4 * n) / (1 + n) AS e FROM k),
+t AS (SELECT *, tan(2 * atan(sqrt((1 + s) / (1 - s)) * pow((1 - e * s) / (1 + e * s), e / 2)) - pi() / 2) AS t FROM g),
+u AS (SELECT *, atan2(t, cos(lam)) AS xi, 0.5 * ln((sqrt(1 + t * t) + sin(lam)) / (sqrt(1 + t * t) - sin(lam))) AS eta FROM t)
+SELECT cell_id, round(500000 + radius * (eta + list_sum([a[2] * cos(2 * a[1] * xi) * (exp(2 * a[1] * eta) - exp(-2 * a[1] * eta)) / 2 for a in [[1, {S.TO_PLANE[0]!r}], [2, {S.TO_PLANE[1]!r}], [3, {S.TO_PLANE[2]!r}]]])), 3) AS east,
+ round(radius * (xi + list_sum([a[2] * sin(2 * a[1] * xi) * (exp(2 * a[1] * eta) + exp(-2 * a[1] * eta)) / 2 for a in [[1, {S.TO_PLANE[0]!r}], [2, {S.TO_PLANE[1]!r}], [3, {S.TO_PLANE[2]!r}]]])), 3) AS north FROM u""")
 def q_utm_forward(spark, sf):
     c = cube.cells(spark, sf)
-    east, _ = S.utm_forward(F.lit(28.0) + F.col("row") * 0.01, F.lit(77.0) + F.col("col") * 0.01, 43)
-    return c.select("cell_id", R(east, 3).alias("east"))
+    east, north = S.utm_forward(F.lit(28.0) + F.col("row") * 0.01, F.lit(77.0) + F.col("col") * 0.01, 43)
+    return c.select("cell_id", R(east, 3).alias("east"), R(north, 3).alias("north"))
+
+
+@query("SELECT cell_id, round((28.0 + row * 0.01)::DOUBLE, 7) AS lat, round((77.0 + col * 0.01)::DOUBLE, 7) AS lon FROM cells")
+def q_utm_inverse(spark, sf):
+    """Projected and back: the degrees it began with."""
+    c = cube.cells(spark, sf)
+    lat, lon = S.utm_inverse(*S.utm_forward(F.lit(28.0) + F.col("row") * 0.01, F.lit(77.0) + F.col("col") * 0.01, 43), 43)
+    return c.select("cell_id", R(lat, 7).alias("lat"), R(lon, 7).alias("lon"))
+
