@@ -106,6 +106,11 @@ def unit_hash(a: Column, b: Column) -> Column:
     return ((left * right) % 2147483647) / F.lit(2147483647.0)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lerp(a: Column, b: Column, m: Column) -> Column:
     """a at m <= 0, b at m >= 1; in between both must be there."""
     return F.when(m <= 0, a).when(m >= 1, b).otherwise(a + (b - a) * m)

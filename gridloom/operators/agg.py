@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+from .scratch import stored
+
 
 def block_mean(df: DataFrame, parent: list[str], value: str, per_block: int, least_share: float) -> DataFrame:
     """Mean and count of the valid values of each block; null where too few are valid."""
@@ -48,13 +51,11 @@ def scope_bridge(df: DataFrame, scopes: dict[str, Column]) -> DataFrame:
 
 
 def frame_stats(df: DataFrame, value: str, hot: float) -> DataFrame:
-    """Mean, p90, count and share of hot cells for each scope and frame."""
-    return df.groupBy("scope", "year").agg(
-        F.avg(value).alias("mean"),
-        F.percentile(value, F.lit(0.9)).alias("p90"),
-        F.count(value).alias("n"),
-        F.avg(F.when(F.col(value) >= hot, 1.0).otherwise(0.0)).alias("hot_share"),
-    )
+    """Mean, p90, count and share of hot cells for each scope and frame; a scope may hold all cells, so p90 is by selection."""
+    df = stored(df.select("scope", "year", value), "scopes")
+    rest = df.groupBy("scope", "year").agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.avg(F.when(F.col(value) >= hot, 1.0).otherwise(0.0)).alias("hot_share"))
+    high = order.quantiles(df, ["scope", "year"], F.col(value), [0.9]).select("scope", "year", F.col("q")[0].alias("p90"))
+    return rest.join(high, ["scope", "year"], "left")
 
 
 def in_all_frames(df: DataFrame, cell: str, frame: str, valid: Column, frames: DataFrame) -> DataFrame:

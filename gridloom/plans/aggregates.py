@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import agg, spatial
+from ..operators import agg, order, spatial
+from ..operators.scratch import stored
 from ..sources import cube
 from .registry import query
 
@@ -90,7 +91,7 @@ SELECT year, count(*) FILTER (WHERE lst >= (SELECT t FROM q) - 0.00001) AS hot_c
 def q_hot_core(spark, sf):
     """Cells at or above the reference period's p90."""
     o = cube.observations(spark, sf)
-    t = o.filter("year between 1995 and 1997").select(F.percentile("lst", F.lit(0.9)))
+    t = order.quantiles(o.filter("year between 1995 and 1997"), [], F.col("lst"), [0.9]).select(F.col("q")[0])
     return o.groupBy("year").agg(F.count_if(F.col("lst") >= t.scalar() - 0.00001).alias("hot_cells"))
 
 
@@ -109,7 +110,8 @@ def q_uhi(spark, sf):
 def q_domains_quantiles(spark, sf):
     """Display domain over the union of products, rounded outwards."""
     v = cube.observations(spark, sf).select(F.col("lst").alias("v")).unionByName(cube.cells(spark, sf).select(F.col("elev").alias("v")))
-    return v.agg(F.floor(F.percentile("v", F.lit(0.005))).cast("double").alias("lo"), F.ceil(F.percentile("v", F.lit(0.995))).cast("double").alias("hi"))
+    q = order.quantiles(v, [], F.col("v"), [0.005, 0.995])
+    return q.select(F.floor(F.col("q")[0]).cast("double").alias("lo"), F.ceil(F.col("q")[1]).cast("double").alias("hi"))
 
 
 @query("""
@@ -177,8 +179,10 @@ def q_rollup_scopes(spark, sf):
 @query("""SELECT year, round(min(lst), 4) AS lo, round(quantile_cont(lst, 0.01), 4) AS p01, round(quantile_cont(lst, 0.5), 4) AS p50, round(quantile_cont(lst, 0.99), 4) AS p99, round(max(lst), 4) AS hi,
  round(avg(lst), 4) AS mean, round(stddev_samp(lst), 4) AS sd, count(*) AS n FROM obs GROUP BY year""")
 def q_feature_stats(spark, sf):
-    q = lambda x: R(F.percentile("lst", F.lit(x)))
-    return cube.observations(spark, sf).groupBy("year").agg(R(F.min("lst")).alias("lo"), q(0.01).alias("p01"), q(0.5).alias("p50"), q(0.99).alias("p99"), R(F.max("lst")).alias("hi"), R(F.avg("lst")).alias("mean"), R(F.stddev_samp("lst")).alias("sd"), F.count(F.lit(1)).alias("n"))
+    o = stored(cube.observations(spark, sf).select("year", "lst"), "observations")
+    g = o.groupBy("year").agg(R(F.min("lst")).alias("lo"), R(F.max("lst")).alias("hi"), R(F.avg("lst")).alias("mean"), R(F.stddev_samp("lst")).alias("sd"), F.count(F.lit(1)).alias("n"))
+    q = order.quantiles(o, ["year"], F.col("lst"), [0.01, 0.5, 0.99]).select("year", *[R(F.col("q")[i]).alias(p) for i, p in enumerate(("p01", "p50", "p99"))])
+    return g.join(q, "year")
 
 
 @query("""

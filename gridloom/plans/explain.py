@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import neighbours, scenario, treeshap
+from ..operators import neighbours, order, scenario, treeshap
+from ..operators.scratch import stored
 from ..sources import cube
 from .models import BASE, TREES, _features
 from .registry import query
@@ -36,8 +37,8 @@ def q_applicability_by_fold(spark, sf):
     """How far a fold's cells lie from the training rows of the others, and how many lie outside the area of applicability."""
     c = cube.cells(spark, sf).withColumn("fold", F.col("district") % 5)
     c = c.withColumn("v", neighbours.weighted(F.array(F.col("built"), F.col("elev") / 1000, F.col("row") / 80), F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0))))
-    d = neighbours.nearest_of_other_group(c, "cell_id", "fold", "v").join(c.select("cell_id", "fold"), "cell_id")
-    q = d.agg(F.percentile("distance", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0]))
+    d = stored(neighbours.nearest_of_other_group(c, "cell_id", "fold", "v").join(c.select("cell_id", "fold"), "cell_id"), "distances")
+    q = order.quantiles(d, [], F.col("distance"), [0.25, 0.75]).select(F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0]))
     return d.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), R(F.avg("distance"), 6).alias("mean_distance"), R(F.max("distance"), 6).alias("most"), F.count_if(F.col("distance") > q.scalar()).alias("outside"))
 
 
@@ -75,3 +76,24 @@ SELECT cls, g::BIGINT AS g, h::BIGINT AS h, round(avg(abs(x)), 6) + 0.0 AS mean_
 def q_tree_interactions(spark, sf):
     c = cube.cells(spark, sf)
     return treeshap.mean_interactions(c, _explainer(c), "cls", _features()).withColumn("mean_abs", R(F.col("mean_abs"), 6))
+
+
+@query("""
+WITH x AS (SELECT CASE WHEN built <= 0.3 THEN 0.0::DOUBLE WHEN built > 0.8 THEN 1.0::DOUBLE ELSE built END AS x, lst FROM obs JOIN cells USING (cell_id)),
+a AS (SELECT x FROM x GROUP BY x HAVING count(*) * 8 >= (SELECT count(*) FROM x)), k AS (SELECT greatest(1, 8 - count(*)) AS k FROM a),
+c AS (SELECT unnest(quantile_cont(x, [0, 1 / 6.0, 2 / 6.0, 3 / 6.0, 4 / 6.0, 5 / 6.0, 1])) AS e FROM x WHERE x NOT IN (SELECT x FROM a) AND (SELECT k FROM k) = 6),
+e AS (SELECT DISTINCT e FROM (SELECT e FROM c UNION ALL SELECT x FROM a UNION ALL SELECT nextafter(x, 1e300::DOUBLE) FROM a UNION ALL SELECT min(x) FROM x UNION ALL SELECT max(x) FROM x)),
+s AS (SELECT e, lead(e) OVER (ORDER BY e) AS z, max(e) OVER () AS top FROM e), b AS (SELECT e, count(*) AS n, avg(lst) AS y FROM s JOIN x ON x.x >= s.e AND (x.x < s.z OR (s.z = s.top AND x.x = s.top)) GROUP BY e),
+w AS (SELECT *, row_number() OVER (ORDER BY e) AS i, e IN (SELECT x FROM a) AS atom FROM b),
+j AS (SELECT least(p.i, q.i) AS spot FROM w p JOIN w q ON abs(p.i - q.i) = 1 AND NOT p.atom AND NOT q.atom WHERE (SELECT count(*) FROM w) = 9 ORDER BY p.n, p.i, q.n, q.i LIMIT 1),
+m AS (SELECT i - (i > coalesce((SELECT spot FROM j), 99))::INT AS i, min(e) AS e, sum(n)::BIGINT AS n, sum(n * y) / sum(n) AS y FROM w GROUP BY 1)
+SELECT i - 1 AS bin, round(e, 6) AS low, n, round(y, 4) AS mean FROM m""")
+def q_atom_aware_bins(spark, sf):
+    """Curve over quantile bins in which values that many rows share are bins of their own."""
+    j = cube.observations(spark, sf).join(cube.cells(spark, sf), "cell_id")
+    x = F.when(F.col("built") <= 0.3, 0.0).when(F.col("built") > 0.8, 1.0).otherwise(F.col("built"))
+    d = stored(j.select(x.alias("x"), "lst"), "atoms")
+    edges = order.atom_edges(d, F.col("x"), 8)
+    b = d.groupBy(order.bin_of(F.col("x"), edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"), R(F.avg("lst")).alias("mean"))
+    low = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 1)
+    return b.select(F.col("bin").cast("long").alias("bin"), R(low, 6).alias("low"), "n", "mean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import grid, spatial
+from ..operators import grid, moran, spatial
 from ..sources import cube
 from .registry import query
 
@@ -93,6 +93,27 @@ def q_morans_i(spark, sf):
     return spatial.morans_i(c, edges, "cell_id", "elev").select(R(F.col("moran_i"), 6).alias("moran_i"), "n_cells")
 
 
+_MIX = "((((({a}) * 73856093 + ({b}) * 19349663) % 2147483647) * ((({a}) * 83492791 + ({b}) * 2654435) % 1000003 + 1)) % 2147483647)"
+_MIRROR = f"((({_MIX.format(a='k * 64 + t', b='7919::BIGINT')} % n - x) % n + n) % n)"
+_SWAP = f"CASE WHEN ({_MIX.format(a=f'greatest(x, {_MIRROR}) + 1', b='k * 64 + t')} // 1024) % 2 = 1 THEN {_MIRROR} ELSE x END"
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n, avg(elev) AS m FROM cells), z AS (SELECT cell_id, row, col, elev - m AS z, n FROM cells, n),
+p AS (SELECT cell_id, n, k, 0::BIGINT AS t, cell_id AS x FROM z, range(1, 20) r(k)),
+{", ".join(f"p{t + 1} AS (SELECT cell_id, n, k, t + 1 AS t, {_SWAP} AS x FROM p{t or ''})" for t in range(moran.ROUNDS))},
+f AS (SELECT p.cell_id, k, z.z FROM p{moran.ROUNDS} p JOIN z ON z.cell_id = p.x UNION ALL SELECT cell_id, 0, z FROM z),
+e AS (SELECT a.cell_id, b.cell_id AS near, count(*) OVER (PARTITION BY a.cell_id) AS d FROM cells a JOIN cells b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.cell_id <> b.cell_id),
+i AS (SELECT f.k, (SELECT count(*) FROM z) / (SELECT count(DISTINCT cell_id) FROM e)::DOUBLE * sum(f.z * g.z / d) / (SELECT sum(z * z) FROM z) AS i FROM e JOIN f USING (cell_id) JOIN f g ON g.cell_id = e.near AND g.k = f.k GROUP BY f.k),
+r AS (SELECT (SELECT i FROM i WHERE k = 0) AS own, avg(i) AS mean, stddev_pop(i) AS sd, count(*) FILTER (WHERE i >= (SELECT i FROM i WHERE k = 0)) AS r FROM i WHERE k > 0)
+SELECT (SELECT count(*) FROM z) AS n, round(own, 6) AS moran_i, round(-1.0::DOUBLE / ((SELECT count(*) FROM z) - 1), 8) AS expected_i, round((own - mean) / sd, 4) + 0.0 AS z, round((least(r, 19 - r) + 1) / 20.0, 6)::DOUBLE AS p, least(r, 19 - r) AS larger FROM r""")
+def q_moran_permutation(spark, sf):
+    """z and p of Moran's I from 19 permutations of the cells."""
+    c = cube.cells(spark, sf)
+    out = moran.moran_test(c, spatial.lattice_pairs(c, 1, ["cell_id"]), "cell_id", "elev", 19)
+    return out.select("n", R(F.col("moran_i"), 6).alias("moran_i"), R(F.col("expected_i"), 8).alias("expected_i"), R(F.col("z")).alias("z"), R(F.col("p"), 6).alias("p"), "larger")
+
+
 @query("""
 WITH s AS (SELECT avg(elev) AS m, stddev_pop(elev) AS sd FROM cells), z AS (SELECT cell_id, row, col, (elev - m) / sd AS z FROM cells, s),
 p AS (SELECT sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2) AS d, a.z * b.z AS zz FROM z a JOIN z b ON abs(a.row - b.row) <= 6 AND abs(a.col - b.col) <= 6 AND a.cell_id < b.cell_id)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import regress, scenario, spatial
+from ..operators import order, regress, scenario, spatial
 from ..sources import cube
 from .registry import query
 
@@ -118,9 +118,8 @@ def q_di_threshold(spark, sf):
     """Area of applicability: distances beyond Q75 + 1.5 IQR."""
     e = cube.table(spark, sf, "embeddings")
     d = spatial.nearest_centroid(e, spatial.centroids(e, "label", "embedding"), "vec_id", "embedding")
-    q = d.agg(F.percentile("distance", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("t")).first()
-    t = F.lit(q["t"] if q["t"] is not None else None).cast("double")
-    return d.agg(F.count_if(F.col("distance") > t).alias("outside"), R(t).alias("threshold"), F.count(F.lit(1)).alias("n"))
+    q = order.quantiles(d, [], F.col("distance"), [0.25, 0.75]).select(F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0]))
+    return d.agg(F.count_if(F.col("distance") > q.scalar()).alias("outside"), F.count(F.lit(1)).alias("n")).select("outside", R(q.scalar()).alias("threshold"), "n")
 
 
 @query("""
@@ -219,9 +218,9 @@ WITH q AS (SELECT quantile_cont(built, [0.2, 0.4, 0.6, 0.8]) AS e FROM cells), t
 SELECT bin::INTEGER AS bin, round(avg(built), 5) AS x, round(avg(lst), 4) AS y, count(*) AS n FROM t GROUP BY 1""")
 def q_binned_curve(spark, sf):
     """Dependence curve over quantile bins."""
-    e = cube.cells(spark, sf).select(F.percentile("built", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("e")).first()["e"] or []
-    k = F.size(F.filter(F.array(*[F.lit(x) for x in e]).cast("array<double>"), lambda x: x <= F.col("built")))
-    return _joined(spark, sf).groupBy(k.alias("bin")).agg(R(F.avg("built"), 5).alias("x"), R(F.avg("lst")).alias("y"), F.count(F.lit(1)).alias("n"))
+    e = order.quantiles(cube.cells(spark, sf), [], F.col("built"), [0.2, 0.4, 0.6, 0.8]).select("q")
+    k = F.size(F.filter("edges", lambda x: x <= F.col("built")))
+    return _joined(spark, sf).withColumn("edges", e.scalar()).groupBy(k.alias("bin")).agg(R(F.avg("built"), 5).alias("x"), R(F.avg("lst")).alias("y"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import grid
+from ..operators import grid, order
 from ..operators.scratch import new_path
 from ..sources import cube
 from .registry import query
@@ -276,7 +276,7 @@ WITH m AS (SELECT quantile_cont(elev, 0.5) AS m FROM cells WHERE district % 5 <>
 def q_median_impute(spark, sf):
     """Missing values take the median of the training rows only."""
     c = cube.cells(spark, sf).withColumn("x", F.when(F.col("cell_id") % 7 != 0, F.col("elev")))
-    m = c.filter("district % 5 <> 0").select(F.percentile("x", F.lit(0.5)))
+    m = order.quantiles(c.filter("district % 5 <> 0"), [], F.col("x"), [0.5]).select(F.col("q")[0])
     return c.select("cell_id", F.round(F.coalesce("x", m.scalar()), 3).alias("elev"))
 
 
