@@ -7,12 +7,19 @@ a block share a normal factor with weight sqrt(rho), each has its own with
 sqrt(1 - rho), and the sum's probability picks from the sorted residuals of the
 cell's error class. A cell's draws are one array; per scope they are averaged
 draw by draw, which keeps what blocks and shared parameters have in common.
+
+The functions on columns and those on Arrow batches are the same; a batch of
+cells makes all its draws at once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,19 +57,58 @@ def pick(values: Column, u: Column) -> Column:
     return F.when(n > 0, F.get(values, F.least(F.floor(u * n), n - 1).cast("int")))
 
 
-def correlated_errors(cell: Column, block: Column, residuals: Column, rho: float, draws: int, seed: int) -> Column:
-    """An array of one error for each draw 1..``draws`` from the cell's sorted ``residuals``; zero where it has none."""
+def _mixed(a, b):
+    """As ``mixed``, on whole arrays."""
+    return (a * 73856093 + b * 19349663) % 2147483647 * ((a * 83492791 + b * 2654435) % 1000003 + 1) % 2147483647
+
+
+def _uniform(seed: int, stream: int, of: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """of x draws."""
+    return (_mixed(_mixed(np.int64(seed * 16 + stream), of)[:, None], draw[None]) + 0.5) / 2147483647.0
+
+
+def _normal(seed: int, stream: int, of: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    return np.sqrt(-2 * np.log(_uniform(seed, stream, of, draw))) * np.cos(2 * math.pi * _uniform(seed, stream + 1, of, draw))
+
 
-    def error(d: Column) -> Column:
-        z = math.sqrt(rho) * normal(seed, 0, block, d) + math.sqrt(1 - rho) * normal(seed, 2, cell, d)
-        return F.coalesce(pick(residuals, probability(z)), F.lit(0.0))
+def _probability(z: np.ndarray) -> np.ndarray:
+    t = 1 / (1 + SLOPE * np.abs(z))
+    tail = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * sum(c * t**k for k, c in enumerate(TERMS, 1))
+    return np.where(z < 0, tail, 1 - tail)
 
-    return F.transform(F.sequence(F.lit(1), F.lit(draws)), error)
 
+def _errors(cell: np.ndarray, block: np.ndarray, residuals: pa.ListArray, rho: float, draw: np.ndarray, seed: int) -> np.ndarray:
+    """cells x draws: each from its cell's sorted residuals; zero where it has none."""
+    z = math.sqrt(1 - rho) * _normal(seed, 2, cell, draw)
+    blocks, at = np.unique(block, return_inverse=True)
+    z += (math.sqrt(rho) * _normal(seed, 0, blocks, draw))[at]
+    n = pa.compute.fill_null(residuals.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
+    pool = np.append(residuals.flatten().to_numpy(zero_copy_only=False).astype(float), 0.0)
+    first = (np.cumsum(n) - n[:, 0])[:, None]
+    return np.where(n > 0, pool[np.where(n > 0, first + np.minimum(np.floor(_probability(z) * n).astype(np.int64), n - 1), len(pool) - 1)], 0.0)
 
-def shared_draw(values: Column, stream: int, draw: Column, seed: int) -> Column:
-    """The parameter (a model, a sensitivity) that a draw takes from an array of them; the same for every cell."""
-    return pick(values, uniform(seed, stream, F.lit(0), draw))
+
+def project(df: DataFrame, keys: list[str], *, cell: Column, block: Column, residuals: Column, base: Column, pattern: Column, models: list[float], betas: list[float], rho: float, draws: int, seed: int) -> DataFrame:
+    """keys, draws: base + pattern * (a model's change) * (a sensitivity) + error for each draw 1..``draws``.
+
+    Which model and sensitivity a draw takes is the same for all cells; ``cell``
+    and ``block`` are whole numbers from 0, ``residuals`` a sorted array of the
+    cell's error class (none: no error). Rows stay where they are.
+    """
+    n, draw = len(keys), np.arange(1, draws + 1, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = [np.array(x, float)[np.minimum((_uniform(seed, stream, np.zeros(1, np.int64), draw)[0] * len(x)).astype(np.int64), len(x) - 1)] for stream, x in ((4, models), (5, betas))]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                cell, block, base, pattern = (b.column(n + i).to_numpy(zero_copy_only=False) for i in range(4))
+                x = base[:, None] + pattern[:, None] * (taken[0] * taken[1])[None] + _errors(cell, block, b.column(n + 4), rho, draw, seed)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * draws), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], lists], names=[*keys, "draws"])
+
+    rows = df.select(*keys, cell.cast("long").alias("_c"), block.cast("long").alias("_b"), base.cast("double").alias("_x"), pattern.cast("double").alias("_p"), residuals.alias("_r"))
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", draws array<double>")
 
 
 def array_quantile(values: Column, p: float) -> Column:
@@ -73,12 +119,6 @@ def array_quantile(values: Column, p: float) -> Column:
     return lo + (hi - lo) * (h - F.floor(h))
 
 
-def project(df: DataFrame, *, base: Column, pattern: Column, models: Column, betas: Column, errors: Column, seed: int) -> DataFrame:
-    """Adds ``draws``: base + pattern * (a model's change) * (a sensitivity) + error, for each draw."""
-    step = F.transform(F.sequence(F.lit(1), F.size(errors)), lambda d: shared_draw(models, 4, d, seed) * shared_draw(betas, 5, d, seed))
-    return df.withColumn("_b", base).withColumn("_p", pattern).withColumn("_e", errors).withColumn("draws", F.zip_with("_e", step, lambda e, s: F.col("_b") + F.col("_p") * s + e)).drop("_b", "_p", "_e")
-
-
 def scope_draws(df: DataFrame, scope: str) -> DataFrame:
     """scope, draw, mean: averages of each draw over a scope's cells; they combine before the shuffle."""
     d = df.select(scope, F.posexplode("draws").alias("draw", "x"))

@@ -43,9 +43,10 @@ def _projected(spark, sf):
     o = cube.observations(spark, sf).join(c, "cell_id")
     res = order.quantiles(o, ["k"], F.col("lst") - F.col("elev"), [i / 20 for i in range(21)]).select("k", F.col("q").alias("residuals"))
     c = c.join(F.broadcast(res), "k", "left")  # five error classes
-    errors = draws.correlated_errors(F.col("cell_id"), grid.block_id(10, cube.WIDTH), F.col("residuals"), RHO, DRAWS, SEED)
-    few = lambda xs: F.array(*[F.lit(x) for x in xs])
-    return draws.project(c, base=F.col("elev"), pattern=10 * F.sqrt("built"), models=few(MODELS), betas=few(BETAS), errors=errors, seed=SEED)
+    return draws.project(
+        c, ["cell_id", "district"], cell=F.col("cell_id"), block=grid.block_id(10, cube.WIDTH), residuals=F.col("residuals"), base=F.col("elev"),
+        pattern=10 * F.sqrt("built"), models=MODELS, betas=BETAS, rho=RHO, draws=DRAWS, seed=SEED,
+    )
 
 
 @query(f"{_PROJECTED} SELECT cell_id, round(quantile_cont(v, 0.05), 4) AS p05, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.95), 4) AS p95 FROM e GROUP BY cell_id")
