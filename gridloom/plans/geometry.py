@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import grid, moran, spatial
+from ..operators import grid, moran, spatial, tiles
 from ..sources import cube
 from .registry import query
 
@@ -18,6 +18,12 @@ def _lattice(spark, sf):
     return grid.dense(c).join(c, ["row", "col"], "left")
 
 
+def _boxes(spark, sf, size):
+    """Cells with the statistics of their box, by tiles."""
+    c = cube.cells(spark, sf)
+    return tiles.box_stats(c, "elev", size).join(c, ["row", "col"])
+
+
 def _box(size: int, value: str) -> str:
     h = size // 2
     return f"""SELECT a.cell_id, round({value}, 4) + 0.0 AS v FROM cells a JOIN cells b ON abs(a.row - b.row) <= {h} AND abs(a.col - b.col) <= {h} GROUP BY a.cell_id, a.elev"""
@@ -25,22 +31,22 @@ def _box(size: int, value: str) -> str:
 
 @query(_box(3, "avg(b.elev)"))
 def q_box_mean_3(spark, sf):
-    return grid.box_mean(_lattice(spark, sf), "elev", 3).filter("cell_id is not null").select("cell_id", R(F.col("box_mean")).alias("v"))
+    return _boxes(spark, sf, 3).select("cell_id", R(F.col("mean")).alias("v"))
 
 
 @query(_box(15, "avg(b.elev)"))
 def q_box_mean_15(spark, sf):
-    return grid.box_mean(_lattice(spark, sf), "elev", 15).filter("cell_id is not null").select("cell_id", R(F.col("box_mean")).alias("v"))
+    return _boxes(spark, sf, 15).select("cell_id", R(F.col("mean")).alias("v"))
 
 
 @query(_box(7, "stddev_pop(b.elev)"))
 def q_box_std_7(spark, sf):
-    return grid.box_std(_lattice(spark, sf), "elev", 7).filter("cell_id is not null").select("cell_id", R(F.col("box_std")).alias("v"))
+    return _boxes(spark, sf, 7).select("cell_id", R(F.col("std")).alias("v"))
 
 
 @query(_box(7, "a.elev - avg(b.elev)"))
 def q_tpi_7(spark, sf):
-    return grid.box_mean(_lattice(spark, sf), "elev", 7).filter("cell_id is not null").select("cell_id", R(F.col("elev") - F.col("box_mean")).alias("v"))
+    return _boxes(spark, sf, 7).select("cell_id", R(F.col("elev") - F.col("mean")).alias("v"))
 
 
 @query("""SELECT a.cell_id, round(sqrt(min((a.row - b.row) ** 2 + (a.col - b.col) ** 2)), 6) AS km FROM cells a, cells b WHERE b.built >= 0.98 GROUP BY a.cell_id""")
@@ -158,3 +164,25 @@ def q_patch_density(spark, sf):
 
     p = patches(cube.cells(spark, sf).select("cell_id", "row", "col", "cls"), "cls")
     return p.groupBy("cls").agg(F.count_distinct("patch").alias("patches"))
+
+
+@query("""
+WITH px AS (SELECT row AS r, col AS c, row // 5 AS pr, col // 5 AS pc, dense_rank() OVER (ORDER BY cls) AS cls, cell_id FROM cells),
+win AS (SELECT w.pr AS wr, w.pc AS wc, px.* FROM (SELECT DISTINCT pr, pc FROM px) w JOIN px ON abs(px.pr - w.pr) <= 1 AND abs(px.pc - w.pc) <= 1),
+e AS (SELECT a.wr, a.wc, a.cell_id AS a, b.cell_id AS b FROM win a JOIN win b ON a.wr = b.wr AND a.wc = b.wc AND a.cls = b.cls AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+reach AS (SELECT wr, wc, a, b FROM e UNION SELECT r.wr, r.wc, r.a, e.b FROM reach r JOIN e ON r.wr = e.wr AND r.wc = e.wc AND r.b = e.a),
+pat AS (SELECT wr, wc, count(DISTINCT m) AS n_patches FROM (SELECT wr, wc, a, min(b) AS m FROM reach GROUP BY ALL) GROUP BY ALL),
+val AS (SELECT wr, wc, count(*) AS n_valid, count(DISTINCT cls) AS present FROM win GROUP BY ALL),
+adj AS (SELECT a.wr, a.wc, a.cls AS x, b.cls AS y FROM win a JOIN win b ON a.wr = b.wr AND a.wc = b.wc AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+num AS (SELECT wr, wc, x, y, count(*) AS n FROM adj GROUP BY ALL), shr AS (SELECT *, n / sum(n) OVER (PARTITION BY wr, wc) AS p FROM num),
+ent AS (SELECT wr, wc, -sum(p * ln(p)) AS h, sum(n) FILTER (WHERE x <> y) / 2 AS unlike FROM shr GROUP BY ALL)
+SELECT wr AS cell_row, wc AS cell_col, n_valid, n_patches, CASE WHEN n_valid >= 0.5 * 225 THEN round(100 * n_patches / n_valid::DOUBLE, 6) END AS pd,
+ CASE WHEN n_valid >= 0.5 * 225 THEN round(coalesce(unlike, 0) * 100 / n_valid, 6) END AS ed, CASE WHEN n_valid >= 0.5 * 225 THEN round(CASE WHEN present = 1 THEN 100 ELSE 100 * (1 - h / (2 * ln(present::DOUBLE))) END, 6) END AS contag
+FROM val JOIN pat USING (wr, wc) JOIN ent USING (wr, wc)""")
+def q_landscape_windows(spark, sf):
+    """Patch and edge density and contagion of 15 x 15 pixel windows around coarse cells of 5 x 5."""
+    c = cube.cells(spark, sf)
+    names = c.agg(F.array_sort(F.collect_set("cls")).alias("k")).scalar()  # a fixed few classes
+    px = c.withColumn("names", names).withColumn("code", F.array_position("names", F.col("cls")))
+    out = tiles.landscape(px, "code", 6, 5, 3)
+    return out.withColumns({n: R(F.col(n), 6) for n in ("pd", "ed", "contag")})
