@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import draws, grid, order
+from ..operators import draws, grid, order, trends
 from ..operators.scratch import stored
 from ..sources import cube
 from .registry import query
@@ -63,3 +63,56 @@ def q_scope_draws(spark, sf):
     m = stored(draws.scope_draws(_projected(spark, sf), "district"), "scopes")
     g = m.groupBy("district").agg(F.count(F.lit(1)).alias("n_draws"), R(F.avg("mean")).alias("m"), R(F.stddev_pop("mean")).alias("spread"), F.collect_list("mean").alias("all"))
     return g.select("district", "n_draws", F.col("m").alias("mean"), *[R(draws.array_quantile(F.col("all"), p)).alias(n) for n, p in (("p05", 0.05), ("p95", 0.95))], "spread")
+
+
+def _sen(source: str, entity: str, x: str, y: str) -> str:
+    return f"""
+WITH s AS (SELECT {entity} AS e, {x} AS x, {y} AS y FROM {source}), c AS (SELECT e, count(*) AS n FROM s GROUP BY e HAVING count(*) >= 5),
+t AS (SELECT e, (SELECT coalesce(sum(k * (k - 1) * (2 * k + 5)), 0) FROM (SELECT count(*) AS k FROM s q WHERE q.e = c.e GROUP BY x)) + (SELECT coalesce(sum(k * (k - 1) * (2 * k + 5)), 0) FROM (SELECT count(*) AS k FROM s q WHERE q.e = c.e GROUP BY y)) AS t, n FROM c),
+p AS (SELECT e, list_sort(list((b.y - a.y) / (b.x - a.x))) AS l FROM s a JOIN s b USING (e) WHERE a.x < b.x GROUP BY e),
+k AS (SELECT e, n, l, len(l) AS m, 1.959963984540054::DOUBLE * sqrt((n * (n - 1) * (2 * n + 5) - t) / 18.0) AS z FROM t JOIN p USING (e))
+SELECT e AS {entity.split(" ")[-1]}, round((l[(m - 1) // 2 + 1] + l[m // 2 + 1]) / 2, 4) + 0.0 AS slope, round(l[greatest(round((m - z) / 2)::BIGINT - 1, 0) + 1], 4) + 0.0 AS lo, round(l[least(round((m + z) / 2)::BIGINT, m - 1) + 1], 4) + 0.0 AS hi, n FROM k"""
+
+
+def _rounded(d):
+    return d.withColumns({n: R(F.col(n)) for n in ("slope", "lo", "hi")})
+
+
+@query(_sen("annual", "scope", "year", "value"))
+def q_trend_interval(spark, sf):
+    """Theil-Sen slope of each scope's years with its 95 % interval."""
+    return _rounded(trends.theil_sen(cube.annual(spark, sf), "scope", "year", "value"))
+
+
+@query(_sen("events", "event_type", "epoch(ts) / 86400", "value"))
+def q_trend_interval_long(spark, sf):
+    """The same for series of any length, by slope selection."""
+    e = cube.table(spark, sf, "events").withColumn("day", F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6)
+    return _rounded(trends.theil_sen(e, "event_type", "day", "value"))
+
+
+_MONTHLY = """m AS (SELECT CAST(c_nationkey AS BIGINT) AS scope, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS month, avg(o_totalprice) / 1000 AS y, avg(c_acctbal) / 1000 AS a, count(*)::DOUBLE AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+_START = _MIXED.format(a=_MIXED.format(a=f"{SEED * 16}::BIGINT", b="scope"), b="(r * 4096 + j)")
+_BETA = "CASE WHEN abs(caa * cbb - cab * cab) > 1e-12 * abs(caa * cbb) THEN (cay * cbb - cby * cab) / (caa * cbb - cab * cab) END"
+_COV = "covar_pop(a, a) AS caa, covar_pop(b, b) AS cbb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby"
+
+
+@query(f"""
+WITH {_MONTHLY}, s AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY scope) AS n FROM m),
+f AS (SELECT scope, n FROM s GROUP BY scope, n HAVING n >= 6 AND max(a) > min(a)),
+k AS (SELECT scope, n, least(6, n) AS size, ceil(n / least(6, n))::BIGINT AS k, r FROM f, (SELECT unnest(range(0, 100)) AS r)),
+j AS (SELECT *, unnest(range(0, k)) AS j FROM k),
+t AS (SELECT *, floor((({_START}) + 0.5) / 2147483647.0::DOUBLE * (n - size + 1))::BIGINT AS first, CASE WHEN j = k - 1 THEN n - size * (k - 1) ELSE size END AS len FROM j),
+d AS (SELECT t.scope, t.r, {_COV} FROM t JOIN s ON s.scope = t.scope AND s.i >= t.first AND s.i < t.first + t.len GROUP BY t.scope, t.r),
+b AS (SELECT scope, {_BETA} AS b FROM d), q AS (SELECT scope, quantile_cont(b, 0.025) AS lo, quantile_cont(b, 0.975) AS hi, count(b) AS used FROM b GROUP BY scope),
+w AS (SELECT scope, n, {_COV} FROM s GROUP BY scope, n), o AS (SELECT scope, n, {_BETA} AS beta FROM w WHERE scope IN (SELECT scope FROM f))
+SELECT scope, n, round(coalesce(beta, 1), 5) + 0.0 AS beta, round(coalesce(lo, 0.5), 5) + 0.0 AS lo, round(coalesce(hi, 1.5), 5) + 0.0 AS hi, coalesce(used, 0) AS used, beta IS NULL AS fallback
+FROM (SELECT DISTINCT scope, n FROM s) LEFT JOIN o USING (scope, n) LEFT JOIN q USING (scope)""")
+def q_sensitivity_interval(spark, sf):
+    """Sensitivity of monthly prices to the mean balance beside the number of orders, with a moving-block interval."""
+    o, c = cube.table(spark, sf, "orders"), cube.table(spark, sf, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"])
+    m = j.groupBy(F.col("c_nationkey").cast("long").alias("scope"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("month"))
+    m = stored(m.agg((F.avg("o_totalprice") / 1000).alias("y"), (F.avg("c_acctbal") / 1000).alias("a"), F.count(F.lit(1)).cast("double").alias("b")), "months")
+    out = trends.block_bootstrap(m, "scope", "month", "y", "a", "b", block=6, draws=100, seed=SEED)
+    return out.withColumns({n: R(F.col(n), 5) for n in ("beta", "lo", "hi")})
