@@ -42,9 +42,10 @@ from .common import stored
 #: The characters with the White_Space property.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 RUN = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+WORD = re.compile(f" [^{SPACE}]")
 EDGE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 SLICE = 1 << 20  # characters of a text encoded at a time
-KEPT = 1 << 18  # distinct runs whose ids a task remembers
+KEPT = 1 << 20  # distinct runs whose ids a worker remembers
 
 
 @lru_cache(maxsize=4)
@@ -70,10 +71,11 @@ def slices(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """Token ids (little-endian 32-bit) of texts."""
+    """Token ids (little-endian 32-bit) of texts. Of the runs met last, up to ``KEPT`` keep their ids, in two generations."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
@@ -89,14 +91,37 @@ class Encoder:
         return [b"".join(x) for x in out]
 
     def _add(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        runs = {r: 0 for _, of in held for r in of}
-        if len(self.known) + len(runs) > KEPT:
-            self.known.clear()
-        new = [r for r in runs if r not in self.known]
-        for run, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[run] = np.array(e.ids, "<u4").tobytes()
-        for i, of in held:
-            out[i].append(b"".join(map(self.known.__getitem__, of)))
+        found = [list(map(self.known.get, of)) for _, of in held]
+        lacks = {r: self.older.get(r) for (_, of), got in zip(held, found, strict=True) if None in got for r, ids in zip(of, got, strict=True) if ids is None}
+        new = [r for r, ids in lacks.items() if ids is None]
+        lacks.update(zip(new, self._encoded(new), strict=True))
+        for (i, of), got in zip(held, found, strict=True):
+            out[i].append(b"".join([lacks[r] if ids is None else ids for r, ids in zip(of, got, strict=True)] if None in got else got))
+        self.known.update(lacks)
+        if len(self.known) > KEPT // 2:
+            self.known, self.older = {}, self.known
+
+
+    def _encoded(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs. Those of one space and a word are joined by line ends, which are tokens of their own there, to be encoded many at once."""
+        out: dict[int, bytes] = {}
+        words = [i for i, r in enumerate(runs) if WORD.match(r)]
+        groups = [words[a : a + 64] for a in range(0, len(words), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([runs[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.line_end)).tolist()
+            raw = ids.tobytes()
+            out.update(zip(group, [raw[a:z] for a, z in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)], strict=True))
+        rest = [i for i in range(len(runs)) if i not in out]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([runs[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return [out[i] for i in range(len(runs))]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, which runs many tasks."""
+    return Encoder(path)
 
 
 def _pieces(path: str, capacity: int, end: int):
@@ -104,7 +129,7 @@ def _pieces(path: str, capacity: int, end: int):
     kinds = [None, pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, seen = _encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         last = np.array([end], "<u4").tobytes()
         for part, texts in chunks(batches, 1):
             of, cols = [], [[] for _ in names[1:]]
@@ -191,8 +216,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian 32-bit), ids_crc32, sequence_id, offset: one row for each piece.
 
-    ``tokenizer``: path of a tokenizer file on driver and workers. Documents end
-    with ``end``; those of more than ``capacity`` tokens are cut, the first piece
+    ``tokenizer``: path, on driver and workers, of a byte-level BPE file, whose
+    words begin with the white space before them. Documents end with ``end``; those of more than ``capacity`` tokens are cut, the first piece
     being the shorter one.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
