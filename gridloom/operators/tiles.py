@@ -41,11 +41,12 @@ def tiled(df: DataFrame, size: int, halo: int) -> DataFrame:
     return df.withColumn("tile_row", F.explode(needs("row"))).withColumn("tile_col", F.explode(needs("col")))
 
 
-def per_tile(df: DataFrame, size: int, halo: int, by: list[str], value: str, work: Callable, schema: str) -> DataFrame:
+def per_tile(df: DataFrame, size: int, halo: int, by: list[str], value: str, work: Callable, schema: str, only: DataFrame | None = None) -> DataFrame:
     """``work(rows, cols, values, own)`` for each tile and ``by``, on a square array with NaN for missing; it yields named arrays.
 
     ``rows`` and ``cols``: numbers of the array's first row and column. The
-    array's own part starts at ``halo``.
+    array's own part starts at ``halo``. ``only``: the tiles (tile_row,
+    tile_col) to work on; by default all.
     """
     keys = [*by, "tile_row", "tile_col"]
     names = [f.split()[0] for f in schema.split(", ")]
@@ -92,6 +93,8 @@ def per_tile(df: DataFrame, size: int, halo: int, by: list[str], value: str, wor
         yield made.select(names) if names else made
 
     rows = tiled(df.select(*by, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("_value")), size, halo)
+    if only is not None:
+        rows = rows.join(only, ["tile_row", "tile_col"], "left_semi")
     rows = rows.select(*keys, "row", "col", "_value").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     return rows.mapInArrow(run, schema)
 
@@ -103,7 +106,7 @@ def _box(x: np.ndarray, size: int) -> np.ndarray:
     return s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]
 
 
-def box_stats(df: DataFrame, value: str, size: int, by: tuple[str, ...] = (), tile: int = 256) -> DataFrame:
+def box_stats(df: DataFrame, value: str, size: int, by: tuple[str, ...] = (), tile: int = 256, only: DataFrame | None = None) -> DataFrame:
     """by, row, col, mean, std, n of the valid cells of the box around each cell that has a row; null where there is none."""
     h = size // 2
 
@@ -121,7 +124,7 @@ def box_stats(df: DataFrame, value: str, size: int, by: tuple[str, ...] = (), ti
         return {"row": i + r0 + h, "col": j + c0 + h, "mean": null(mean), "std": null(std), "n": n.astype(np.int64)}
 
     keys = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in by)
-    return per_tile(df, tile, h, list(by), value, work, keys + "row long, col long, mean double, std double, n long")
+    return per_tile(df, tile, h, list(by), value, work, keys + "row long, col long, mean double, std double, n long", only)
 
 
 def patch_count(windows: np.ndarray) -> np.ndarray:
