@@ -108,7 +108,9 @@ def _two_slopes(s: Column) -> Column:
     n, a, b, y, aa, bb, ab, ay, by = (F.element_at(s, i) for i in range(1, 10))
     caa, cbb, cab, cay, cby = aa - a * a / n, bb - b * b / n, ab - a * b / n, ay - a * y / n, by - b * y / n
     det = caa * cbb - cab * cab
-    return F.when(F.abs(det) > 1e-12 * F.abs(caa * cbb), (cay * cbb - cby * cab) / F.nullif(det, F.lit(0.0)))
+    # What is left of a constant or collinear regressor is rounding.
+    varies = (caa > 1e-9 * aa) & (cbb > 1e-9 * bb) & (det > 1e-9 * caa * cbb)
+    return F.when(varies, (cay * cbb - cby * cab) / F.nullif(det, F.lit(0.0)))
 
 
 def block_bootstrap(df: DataFrame, entity: str, order: str, y: str, x1: str, x2: str, *, block: int, draws: int, seed: int, least: int = 6) -> DataFrame:
@@ -116,7 +118,7 @@ def block_bootstrap(df: DataFrame, entity: str, order: str, y: str, x1: str, x2:
 
     ``entity`` is a whole number from 0. Rows with a null in any column take no
     part; ties of ``order`` go by the values. A series of under ``least`` rows,
-    or without spread in x1, has slope 1 and interval 0.5 to 1.5. Replicates whose
+    or whose regressors do not vary apart, has slope 1 and interval 0.5 to 1.5. Replicates whose
     regressors are collinear do not count (``used`` counts the others).
     """
     s = df.select(F.col(entity).cast("long").alias("e"), F.col(order).alias("o"), *[F.col(c).cast("double").alias(k) for c, k in ((x1, "a"), (x2, "b"), (y, "y"))]).dropna()

@@ -93,7 +93,7 @@ def q_trend_interval_long(spark, sf):
 
 _MONTHLY = """m AS (SELECT CAST(c_nationkey AS BIGINT) AS scope, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS month, avg(o_totalprice) / 1000 AS y, avg(c_acctbal) / 1000 AS a, count(*)::DOUBLE AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 _START = _MIXED.format(a=_MIXED.format(a=f"{SEED * 16}::BIGINT", b="scope"), b="(r * 4096 + j)")
-_BETA = "CASE WHEN abs(caa * cbb - cab * cab) > 1e-12 * abs(caa * cbb) THEN (cay * cbb - cby * cab) / (caa * cbb - cab * cab) END"
+_BETA = "CASE WHEN caa * cbb - cab * cab > 1e-9 * caa * cbb THEN (cay * cbb - cby * cab) / (caa * cbb - cab * cab) END"
 _COV = "covar_pop(a, a) AS caa, covar_pop(b, b) AS cbb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby"
 
 
