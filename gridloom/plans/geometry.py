@@ -155,11 +155,7 @@ WITH RECURSIVE e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM cells a JOIN cel
 reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
 SELECT c.cls, count(DISTINCT p.patch) AS patches FROM (SELECT a, min(b) AS patch FROM reach GROUP BY a) p JOIN cells c ON c.cell_id = p.a GROUP BY c.cls""".replace("WITH RECURSIVE e AS", "WITH e AS"))
 def q_patch_density(spark, sf):
-    """8-connected patches of each class.
-
-    Labels spread along rows and columns by window minima over runs, in rounds
-    that write their result, until nothing changes.
-    """
+    """8-connected patches of each class, by rounds of pointer jumping that write their result until nothing changes."""
     from ..operators.patches import patches
 
     p = patches(cube.cells(spark, sf).select("cell_id", "row", "col", "cls"), "cls")

@@ -135,7 +135,7 @@ def q_check_waterfall(spark, sf):
     """Additivity of contributions split in two halves."""
     e = cube.table(spark, sf, "embeddings")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    off = total(F.col("embedding")) - (total(F.slice("embedding", 1, 32)) + total(F.slice("embedding", 33, 1000)))
+    off = total(F.col("embedding")) - (total(F.slice("embedding", 1, 32)) + total(F.slice("embedding", F.lit(33), F.size("embedding"))))
     return e.filter(F.abs(off) > 0.001).select("vec_id")
 
 
@@ -185,6 +185,18 @@ def q_stream_windows(spark, sf):
     return windows.run_to_end(windows.hourly(windows.read_events(spark, sf)), spark)
 
 
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, round(arg_max(value, (ts, event_id)), 4) AS value FROM events GROUP BY user_id", cube=False)
+def q_keyed_ingestion(spark, sf):
+    """The newest event of each user, by a resumable file stream."""
+    from ..operators.scratch import new_path
+    from ..streaming import ingest, windows
+
+    e, target = windows.read_events(spark, sf), new_path(spark, "ingested")
+    spark.createDataFrame([], e.schema).write.parquet(target)
+    ingest.ingest(e, ["user_id"], ["ts", "event_id"], target, new_path(spark, "ingest")).awaitTermination()
+    return ingest.ingested(spark, e.schema, ["user_id"], ["ts", "event_id"], target).select("user_id", "event_id", R(F.col("value")).alias("value"))
+
+
 @query("SELECT cell_id, 'Polygon' AS kind, '[[' || col || ',' || row || '],[' || (col + 1) || ',' || row || '],[' || (col + 1) || ',' || (row + 1) || '],[' || col || ',' || (row + 1) || '],[' || col || ',' || row || ']]' AS ring FROM cells")
 def q_cell_polygons(spark, sf):
     """Counter-clockwise rings over the shared corner lattice."""

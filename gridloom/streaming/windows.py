@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import new_path
+
 
 def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
     """The event log as a stream of files."""
@@ -34,10 +33,11 @@ def sessions(events: DataFrame, gap: str = "1 hour", delay: str = "1 hour") -> D
 def run_to_end(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """Run a stream over all that its source has now and return the result table.
 
-    ``complete`` output, so windows that the watermark has not closed are in it too.
+    ``complete`` output, so windows that the watermark has not closed are in it
+    too; each batch replaces the table in the shared folder.
     """
-    name = f"stream_{uuid.uuid4().hex[:8]}"
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where.rstrip('/')}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path = new_path(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    sink = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    sink.option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
