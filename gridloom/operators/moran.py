@@ -10,6 +10,10 @@ site travel as one array.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,29 @@ def permuted(i: Column, key: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), whole(i), swap)
 
 
+def _all_permuted(permutations: int):
+    """Rows of (site, n) -> (site, k, from) for each permutation; as ``permuted``, on whole arrays."""
+
+    def mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        return (a * 73856093 + b * 19349663) % 2147483647 * ((a * 83492791 + b * 2654435) % 1000003 + 1) % 2147483647
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = np.arange(1, permutations + 1, dtype=np.int64)[None]
+        step = max(1, (1 << 18) // permutations)
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                site, n = (b.column(i).slice(at, step).to_numpy() for i in (0, 1))
+                x, n = np.broadcast_to(site[:, None], (len(site), permutations)), n[:, None]
+                for turn in range(ROUNDS):
+                    key = k * 64 + turn
+                    mirror = (mix(key, 7919) % n - x) % n
+                    x = np.where(mix(np.maximum(x, mirror) + 1, key) // 1024 % 2 == 1, mirror, x)
+                cols = [np.repeat(site, permutations), np.tile(k[0], len(site)), x.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["site", "k", "from"])
+
+    return run
+
+
 def moran_test(values: DataFrame, edges: DataFrame, site: str, value: str, permutations: int) -> DataFrame:
     """n, moran_i, expected_i, z, p, larger: one row.
 
@@ -49,8 +76,7 @@ def moran_test(values: DataFrame, edges: DataFrame, site: str, value: str, permu
     v = stored(values.select(F.col(site).cast("long").alias("site"), F.col(value).cast("double").alias("x")), "sites")
     whole = v.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), (F.count("x") * F.var_pop("x")).alias("ss"))
     z = v.crossJoin(F.broadcast(whole)).select("site", "n", (F.col("x") - F.col("m")).alias("z"))  # one row of totals
-    keys = F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long"))
-    sent = z.withColumn("k", F.explode(keys)).select("site", "k", permuted(F.col("site"), F.col("k"), F.col("n")).alias("from"))
+    sent = z.select("site", "n").mapInArrow(_all_permuted(permutations), "site long, k long, `from` long")
     got = sent.join(z.select(F.col("site").alias("from"), F.col("z").alias("v")), "from").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("p"))
     field = z.join(got, "site").select("site", F.concat(F.array("z"), F.transform("p", lambda x: x["v"])).alias("f"))
     field = stored(field, "fields")  # the values themselves, then every permutation of them

@@ -38,8 +38,8 @@ def at_most(r: np.ndarray) -> int:
         left_end = (block[right] * width)  # end of the block to the left
         below = np.searchsorted(key, (block[right] - 1) * (n + 1) + order[right], "left")
         total += int((left_end - below).sum())
-        pair = place // (2 * width)
-        order = order[np.lexsort((order, pair))]
+        first = place // (2 * width) * (n + 1)
+        order = np.sort(first + order) - first
         width *= 2
     return total
 
