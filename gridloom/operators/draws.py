@@ -67,7 +67,8 @@ def _uniform(seed: int, stream: int, of: np.ndarray, draw: np.ndarray) -> np.nda
     return (_mixed(_mixed(np.int64(seed * 16 + stream), of)[:, None], draw[None]) + 0.5) / 2147483647.0
 
 
-def _normal(seed: int, stream: int, of: np.ndarray, draw: np.ndarray) -> np.ndarray:
+def normals(seed: int, stream: int, of: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """As ``normal``: of x draws."""
     return np.sqrt(-2 * np.log(_uniform(seed, stream, of, draw))) * np.cos(2 * math.pi * _uniform(seed, stream + 1, of, draw))
 
 
@@ -79,9 +80,9 @@ def _probability(z: np.ndarray) -> np.ndarray:
 
 def _errors(cell: np.ndarray, block: np.ndarray, residuals: pa.ListArray, rho: float, draw: np.ndarray, seed: int) -> np.ndarray:
     """cells x draws: each from its cell's sorted residuals; zero where it has none."""
-    z = math.sqrt(1 - rho) * _normal(seed, 2, cell, draw)
+    z = math.sqrt(1 - rho) * normals(seed, 2, cell, draw)
     blocks, at = np.unique(block, return_inverse=True)
-    z += (math.sqrt(rho) * _normal(seed, 0, blocks, draw))[at]
+    z += (math.sqrt(rho) * normals(seed, 0, blocks, draw))[at]
     n = pa.compute.fill_null(residuals.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
     pool = np.append(residuals.flatten().to_numpy(zero_copy_only=False).astype(float), 0.0)
     first = (np.cumsum(n) - n[:, 0])[:, None]

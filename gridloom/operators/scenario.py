@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import unit_hash
+from .draws import normals
 
 
 def rebalance(parts: list[str], target: str, delta: Column) -> dict[str, Column]:
@@ -82,7 +83,7 @@ def monte_carlo(df: DataFrame, n: int, seed: int, quantiles: tuple[float, ...] =
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 ids, base, spread = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                z = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(n) for i in ids]) if len(ids) else np.empty((0, n))
+                z = normals(seed, 0, ids.astype(np.int64), np.arange(1, n + 1, dtype=np.int64))
                 q = np.quantile(base[:, None] + spread[:, None] * z, quantiles, axis=1) if len(ids) else np.empty((len(quantiles), 0))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in q]], names=["cell_id", *names])
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import draws
+from gridloom.operators import draws, scenario
 
 
 def test_uniform_and_normal_moments(spark):
@@ -61,3 +61,11 @@ def test_models_and_sensitivities_are_shared(spark):
 def test_picks(spark):
     d = spark.createDataFrame([([1.0, 2.0, 3.0], 0.0), ([1.0, 2.0, 3.0], 0.34), ([1.0, 2.0, 3.0], 1.0), ([], 0.5), (None, 0.5)], "v array<double>, u double")
     assert [r.p for r in d.select(draws.pick(F.col("v"), F.col("u")).alias("p")).collect()] == [1.0, 2.0, 3.0, None, None]
+
+
+def test_monte_carlo_quantiles_of_any_id(spark):
+    d = spark.createDataFrame([(-3, 10.0, 2.0), (5, 0.0, 1.0)], "cell_id long, base double, spread double")
+    got = {r.cell_id: r for r in scenario.monte_carlo(d, 4000, 7).collect()}
+    assert (got[-3].p05, got[-3].p50, got[-3].p95) == (pytest.approx(10 - 3.29, abs=0.2), pytest.approx(10, abs=0.15), pytest.approx(10 + 3.29, abs=0.2))
+    assert got[5].p95 - got[5].p05 == pytest.approx(3.29, abs=0.15)
+    assert scenario.monte_carlo(d.limit(0), 10, 7).count() == 0
