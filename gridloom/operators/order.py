@@ -74,6 +74,34 @@ def quantiles(df: DataFrame, by: list[str], value: Column, probs: list[float], *
     return out.select(*[F.col(f"_g.{k}").alias(c) for c, k in zip(by, keys, strict=True)], "n", F.array(*[interpolated(p) for p in probs]).alias("q"))
 
 
+def running(df: DataFrame, by: list[str], along: list[str], amount: Column, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``amount`` over the rows of its group that come before it; ``along`` orders a group, nulls first.
+
+    Rows are cut into ranges of (group, order), a range adds up its own rows, and
+    what the ranges before it hold is added: a few groups use all tasks. Rows that
+    are equal in ``along`` share a range; count them together first where they may be many.
+    """
+    cut = df.withColumn("_running_amount", amount).repartitionByRange(*by, *along).withColumn("_running_part", F.spark_partition_id())
+    cut = stored(cut, "ranges")
+    w = Window.partitionBy("_running_part", *by).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy("_running_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.groupBy("_running_part", *by).agg(F.sum("_running_amount").alias("_running_sum")).withColumn("_running_prior", F.coalesce(F.sum("_running_sum").over(ahead), F.lit(0)))  # a row for each range and group in it
+    whole = whole.select(F.col("_running_part").alias("_running_p"), *[F.col(c).alias(f"_running_b{i}") for i, c in enumerate(by)], "_running_prior")
+    same = [F.col(c).eqNullSafe(F.col(f"_running_b{i}")) for i, c in enumerate(by)]
+    d = cut.withColumn("_running_own", F.coalesce(F.sum("_running_amount").over(w), F.lit(0))).join(whole, [F.col("_running_part") == F.col("_running_p"), *same])
+    return d.select(*df.columns, (F.col("_running_own") + F.col("_running_prior")).alias(name))
+
+
+def ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, below, equal, n: of each value of a group the number of smaller and of equal ones, and the group's size; nulls take no part."""
+    g = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("equal"))
+    r = stored(running(g, by, [value], F.col("equal"), "below"), "ranks")
+    whole = r.groupBy(*[F.col(c).alias(f"_running_b{i}") for i, c in enumerate(by)]).agg(F.sum("equal").alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_running_b{i}")) for i, c in enumerate(by)]
+    j = r.join(whole, same) if by else r.crossJoin(F.broadcast(whole))  # one row
+    return j.select(*by, value, "below", "equal", "n")
+
+
 def atom_edges(df: DataFrame, value: Column, bins: int, *, small: int = 1 << 16) -> list[float]:
     """Edges of at most about ``bins`` bins (the last one closed): a value that holds 1/bins of all rows is a bin of its own, the rest is cut at quantiles.
 

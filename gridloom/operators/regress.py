@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+from .scratch import stored
+
 
 def ols_by(df: DataFrame, by: list[str], x: str, y: str, least: int = 2) -> DataFrame:
-    """Slope, intercept and R2 by group; groups under ``least`` rows or without spread take the pooled line."""
-    own = df.groupBy(*by).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"))
-    pooled = df.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a")).first()
+    """Slope, intercept and R2 by group; groups under ``least`` rows or without spread take the pooled line.
+
+    The pooled line comes from the groups' own centred sums: rows are read once.
+    """
+    own = df.groupBy(*by).agg(
+        F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"),
+        F.regr_count(y, x).alias("_k"), F.regr_avgx(y, x).alias("_x"), F.regr_avgy(y, x).alias("_y"), F.regr_sxx(y, x).alias("_xx"), F.regr_sxy(y, x).alias("_xy"),
+    )
+    own = stored(own, "lines")
+    k = F.col("_k")
+    mean = own.agg((F.sum(k * F.col("_x")) / F.sum(k)).alias("_mx"), (F.sum(k * F.col("_y")) / F.sum(k)).alias("_my"))
+    dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
+    line = own.crossJoin(F.broadcast(mean)).agg(F.try_divide(F.sum(F.col("_xy") + k * dx * dy), F.sum(F.col("_xx") + k * dx * dx)).alias("_pb"), F.max("_mx").alias("_px"), F.max("_my").alias("_py"))
     few = (F.col("n") < least) | F.col("_b").isNull()
-    return own.select(*by, "n", F.when(few, F.lit(pooled["b"])).otherwise(F.col("_b")).alias("slope"), F.when(few, F.lit(pooled["a"])).otherwise(F.col("_a")).alias("intercept"), F.when(~few, F.col("r2")).alias("r2"))
+    d = own.crossJoin(F.broadcast(line))  # one row
+    return d.select(*by, "n", F.when(few, F.col("_pb")).otherwise(F.col("_b")).alias("slope"), F.when(few, F.col("_py") - F.col("_pb") * F.col("_px")).otherwise(F.col("_a")).alias("intercept"), F.when(~few, F.col("r2")).alias("r2"))
 
 
 def shrunk_residual(df: DataFrame, by: str, residual: str, k: float) -> DataFrame:
@@ -23,9 +37,10 @@ def shrunk_residual(df: DataFrame, by: str, residual: str, k: float) -> DataFram
 def leave_one_out(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """RMSE of each group under the line fitted without it, from sums alone."""
     sums = {"n": F.lit(1.0), "x": F.col(x), "y": F.col(y), "xx": F.col(x) * F.col(x), "xy": F.col(x) * F.col(y), "yy": F.col(y) * F.col(y)}
-    own = df.groupBy(group).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
-    total = own.agg(*[F.sum(k).alias(k) for k in sums]).first()
-    o = {k: F.lit(total[k] or 0.0) - F.col(k) for k in sums}
+    own = stored(df.groupBy(group).agg(*[F.sum(c).alias(k) for k, c in sums.items()]), "sums")
+    total = own.agg(*[F.sum(k).alias(f"_{k}") for k in sums])
+    own = own.crossJoin(F.broadcast(total))  # one row
+    o = {k: F.col(f"_{k}") - F.col(k) for k in sums}
     d = o["n"] * o["xx"] - o["x"] * o["x"]
     b = F.try_divide(o["n"] * o["xy"] - o["x"] * o["y"], d)
     a = (o["y"] - b * o["x"]) / o["n"]
@@ -68,24 +83,23 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from average ranks.
 
     Ranks come from counts per distinct score, so a tie is one row; the running
-    sum runs over distinct scores.
+    sum runs over ranges of scores (``order.running``), not in one task.
     """
     g = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("_rank", before + (F.col("_n") + 1) / 2)
+    r = order.running(g, [], ["_s"], F.col("_n"), "_before").withColumn("_rank", F.col("_before") + (F.col("_n") + 1) / 2)
     s = r.agg(F.sum(F.col("_rank") * F.col("_p")).alias("rp"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     p, n = F.col("p"), F.col("n") - F.col("p")
     return s.select(F.try_divide(F.col("rp") - p * (p + 1) / 2, (p * n).cast("double")).alias("auc"), p.alias("n_positive"), n.alias("n_negative"))
 
 
 def average_rank(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
-    """Rank within the group, ties sharing their mean."""
-    w = Window.partitionBy(by)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(by, value)) - 1) / 2)
+    """Rank within the group, ties sharing their mean; null for null."""
+    r = order.ranks(df, [by], value).select(F.col(by).alias("_g"), F.col(value).alias("_v"), (F.col("below") + (F.col("equal") + 1) / 2).alias(name))
+    return df.join(r, F.col(by).eqNullSafe(F.col("_g")) & (F.col(value) == F.col("_v")), "left").drop("_g", "_v")
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    d = average_rank(average_rank(df, by, x, "_rx"), by, y, "_ry")
+    d = average_rank(average_rank(stored(df.select(by, x, y), "pairs"), by, x, "_rx"), by, y, "_ry")
     return d.groupBy(by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def rank_bump(df: DataFrame, frame: str, value: str, tie: str) -> DataFrame:
     """Rank within each frame, 1 = highest; nulls are not ranked."""
@@ -58,12 +60,11 @@ def theil_sen(df: DataFrame, entity: str, x: str, y: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, q: float, how: str = "floor") -> DataFrame:
-    """The value at rank floor or round of q * (n - 1), counted from 0."""
-    n = Window.partitionBy(by)
-    k = F.lit(q) * (F.count(value).over(n) - 1)
+    """The value at rank floor or round of q * (n - 1), counted from 0; ranks come from counts of distinct values, range by range."""
+    k = F.lit(q) * (F.col("n") - 1)
     k = F.floor(k) if how == "floor" else F.floor(k + 0.5)
-    d = df.filter(F.col(value).isNotNull()).withColumn("_k", k.cast("long")).withColumn("_r", F.row_number().over(n.orderBy(value)) - 1)
-    return d.filter("_r = _k").select(by, F.col(value).alias("quantile"))
+    r = order.ranks(df, [by], value)
+    return r.filter((F.col("below") <= k) & (k < F.col("below") + F.col("equal"))).select(by, F.col(value).alias("quantile"))
 
 
 def interpolate(knots: DataFrame, points: DataFrame, by: str, x: str, y: str, geometric: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import order, regress, scenario, spatial
+from ..operators.scratch import stored
 from ..sources import cube
 from .registry import query
 
@@ -30,7 +31,9 @@ def q_calibration_by_class(spark, sf):
 
 @query("WITH m AS (SELECT year, avg(lst) AS m FROM obs GROUP BY year) SELECT cell_id, round(avg(lst - m) * count(*) / (count(*) + 3.0), 4) + 0.0 AS shrunk, count(*) AS n FROM obs JOIN m USING (year) GROUP BY cell_id")
 def q_shrunk_residual(spark, sf):
-    o = cube.observations(spark, sf).withColumn("res", F.col("lst") - F.avg("lst").over(Window.partitionBy("year")))
+    o = stored(cube.observations(spark, sf).select("cell_id", "year", "lst"), "values")
+    mean = o.groupBy("year").agg(F.avg("lst").alias("mean"))
+    o = o.join(F.broadcast(mean), "year").withColumn("res", F.col("lst") - F.col("mean"))  # one row a frame
     return regress.shrunk_residual(o, "cell_id", "res", 3.0).withColumn("shrunk", R(F.col("shrunk")))
 
 
@@ -81,8 +84,9 @@ def q_lbase(spark, sf):
 @query("SELECT cell_id, year, round(elev - avg(elev) FILTER (WHERE cell_id % 3 = 0) OVER (PARTITION BY year), 4) + 0.0 AS recentred FROM obs JOIN cells USING (cell_id)")
 def q_oof_recentred(spark, sf):
     """Predictions less their mean over a frame's fixed cells."""
-    mean = F.avg(F.when(F.col("cell_id") % 3 == 0, F.col("elev"))).over(Window.partitionBy("year"))
-    return _joined(spark, sf).select("cell_id", "year", R(F.col("elev") - mean).alias("recentred"))
+    j = stored(_joined(spark, sf).select("cell_id", "year", "elev"), "predictions")
+    mean = j.filter("cell_id % 3 = 0").groupBy("year").agg(F.avg("elev").alias("mean"))
+    return j.join(F.broadcast(mean), "year", "left").select("cell_id", "year", R(F.col("elev") - F.col("mean")).alias("recentred"))  # one row a frame
 
 
 @query("""

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import regress, windows
+from ..operators import order, regress, windows
+from ..operators.scratch import stored
 from ..sources import cube
 from .registry import query
 
@@ -106,11 +107,9 @@ WITH g AS (SELECT year, lst, count(*) AS k FROM obs GROUP BY ALL), r AS (SELECT
 SELECT cell_id, year, round(100 * (below + k / 2) / r.n, 4) AS pct FROM obs JOIN r USING (year, lst)""")
 def q_percent_rank(spark, sf):
     """Mid-rank percentile within each frame: ranks instead of a self-join."""
-    o = cube.observations(spark, sf)
-    w = Window.partitionBy("year")
-    below = F.rank().over(w.orderBy("lst")) - 1
-    equal = F.count(F.lit(1)).over(Window.partitionBy("year", "lst"))
-    return o.select("cell_id", "year", R(100 * (below + equal / 2) / F.count(F.lit(1)).over(w)).alias("pct"))
+    o = stored(cube.observations(spark, sf).select("cell_id", "year", "lst"), "values")
+    r = order.ranks(o, ["year"], "lst")
+    return o.join(r, ["year", "lst"]).select("cell_id", "year", R(100 * (F.col("below") + F.col("equal") / 2) / F.col("n")).alias("pct"))
 
 
 @query("SELECT scope, min(year) FILTER (WHERE value > 185000) AS first_year FROM annual GROUP BY scope")
@@ -120,9 +119,11 @@ def q_first_year_above(spark, sf):
 
 @query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r % greatest(1, n // 50) = 0", cube=False)
 def q_stride_sample(spark, sf):
-    w = Window.partitionBy("event_type")
-    e = cube.table(spark, sf, "events").withColumn("r", F.row_number().over(w.orderBy("event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    return e.filter(F.expr("r % greatest(1, n div 50) = 0")).select("event_type", "event_id", "value")
+    """Every k-th event of each type, k a fiftieth of the type's events; numbers come from ranges of (type, event)."""
+    e = order.running(cube.table(spark, sf, "events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"], F.lit(1), "r")
+    e = stored(e, "numbered")
+    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return e.join(n, "event_type").filter(F.expr("r % greatest(1, n div 50) = 0")).select("event_type", "event_id", "value")
 
 
 @query("SELECT scope, year, value FROM (SELECT scope, year, round(value, 2) AS value, row_number() OVER (PARTITION BY year ORDER BY value DESC, scope) AS r FROM annual) WHERE r <= 3")

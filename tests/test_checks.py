@@ -137,7 +137,7 @@ def test_series_and_fans(spark):
     assert of(a, b, b) == {"scope_frame_unique": [(0, 2)]}
 
     at = "scope long, scenario string, year long, p05 double, p25 double, p50 double, p75 double, p95 double, baseline double, total double, parts array<double>"
-    fan = lambda *x: broken(checks.fans(spark.createDataFrame([(0, "a", 2050, *x)], at)))
+    fan = lambda *x: broken(checks.fans(spark.createDataFrame([(0, "a", 2050, *[float(v) if isinstance(v, int) else v for v in x])], at)))
     ok = [0.5, 0.25, 0.25, 0.0]
     assert fan(1, 2, 3, 4, 5, 2.5, 0.51, ok) == {} and fan(None, 2, 1, 4, 5, None, None, None) == {} and fan(1, 1, 1, 1, 1, 0.0, 1.0, [0.0] * 4) == {}
     at_ = [(0, "a", 2050)]

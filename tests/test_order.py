@@ -85,3 +85,35 @@ def test_atom_aware_edges(spark, bins):
 def test_edges_of_nothing(spark):
     d = spark.createDataFrame([(None,), (float("nan"),)], "v double")
     assert order.atom_edges(d, F.col("v"), 4) == [0.0, 0.0]
+
+
+def test_running_sums_and_ranks(spark):
+    """Against plain counting: a hot group, ties, null keys and values, more ranges than values, and names of other columns."""
+    r = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else None if i % 5 == 0 else "g" + str(i % 4), i, None if i % 41 == 0 else float(r.integers(0, 12)), "x") for i in range(900)]
+    d = spark.createDataFrame(rows, "k string, i long, v double, extra string").repartition(5)
+    got = order.running(d, ["k"], ["i"], F.col("i") + 1, "sum").collect()
+    assert got[0].asDict().keys() == {"k", "i", "v", "extra", "sum"} and len(got) == len(rows)
+    for q in got:
+        assert q["sum"] == sum(i + 1 for k, i, _, _ in rows if k == q.k and i < q.i)
+    for q in order.ranks(d, ["k"], "v").collect():
+        mine = [v for k, _, v, _ in rows if k == q.k and v is not None]
+        assert (q.below, q.equal, q.n) == (sum(v < q.v for v in mine), mine.count(q.v), len(mine))
+    alone = {q.v: q.below for q in order.ranks(d, [], "v").collect()}
+    values = [v for _, _, v, _ in rows if v is not None]
+    assert alone == {v: sum(u < v for u in values) for v in set(values)}
+    assert order.running(d.limit(0), ["k"], ["i"], F.lit(1)).count() == 0 and order.ranks(d.filter("v is null"), ["k"], "v").count() == 0
+
+
+def test_pooled_line_from_group_sums(spark):
+    from gridloom.operators import regress
+
+    r = np.random.default_rng(8)
+    rows = [(k, float(x), float(2 * x + k + r.normal())) for k in range(5) for x in r.normal(1e4, 1, 12)] + [(9, 3.0, 1.0), (8, 1.0, None)]
+    d = spark.createDataFrame(rows, "k int, x double, y double")
+    x, y = np.array([(x, y) for _, x, y in rows if y is not None]).T
+    slope, intercept = np.polyfit(x - x.mean(), y, 1)
+    got = {q.k: q for q in regress.ols_by(d, ["k"], "x", "y").collect()}
+    for k in (8, 9):
+        assert got[k].slope == pytest.approx(slope, rel=1e-9) and got[k].intercept == pytest.approx(intercept - slope * x.mean(), rel=1e-7, abs=1e-5) and got[k].r2 is None
+    assert got[1].slope == pytest.approx(np.polyfit(*(lambda a: (a[:, 0] - 1e4, a[:, 1]))(np.array([(x, y) for k, x, y in rows if k == 1])), 1)[0], rel=1e-6)
