@@ -25,7 +25,7 @@ def query(sql: str | None = None, cube: bool = True):
 
 
 def _load() -> None:
-    from . import aggregates, checks, curves, explain, geometry, levels, models, ordered, places, products, projections, relational, scenarios  # noqa: F401
+    from . import aggregates, checks, curves, domains, explain, geometry, levels, models, ordered, places, products, projections, relational, scenarios  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
