@@ -11,14 +11,16 @@ def lattice_pairs(df: DataFrame, reach: int, keep: list[str], by: tuple[str, ...
 
     The plane is cut into tiles of ``reach`` cells. A point is sent to its own
     tile and the eight around it, and pairs are met by an equi-join on the tile,
-    so the work follows the local density, not the square of the table.
+    so the work follows the local density, not the square of the table. The join
+    merges: the nine copies look small to the planner, and a broadcast would pass
+    them through the driver.
     """
     tile = lambda c: F.floor(F.col(c) / reach).cast("long")
     a = df.select(*by, *keep, "row", "col", tile("row").alias("_tr"), tile("col").alias("_tc"))
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     b = df.select(*by, *[F.col(k).alias(f"{k}_b") for k in keep], F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.explode(near).alias("_k"))
     b = b.withColumn("_tr", F.floor(F.col("row_b") / reach).cast("long") + F.col("_k.i")).withColumn("_tc", F.floor(F.col("col_b") / reach).cast("long") + F.col("_k.j")).drop("_k")
-    pairs = a.join(b, [*by, "_tr", "_tc"]).filter((F.abs(F.col("row") - F.col("row_b")) <= reach) & (F.abs(F.col("col") - F.col("col_b")) <= reach))
+    pairs = a.join(b.hint("merge"), [*by, "_tr", "_tc"]).filter((F.abs(F.col("row") - F.col("row_b")) <= reach) & (F.abs(F.col("col") - F.col("col_b")) <= reach))
     d2 = F.pow(F.col("row") - F.col("row_b"), 2) + F.pow(F.col("col") - F.col("col_b"), 2)
     return pairs.filter((F.col("row") != F.col("row_b")) | (F.col("col") != F.col("col_b"))).withColumn("d2", d2).drop("_tr", "_tc")
 
@@ -34,7 +36,7 @@ def morans_i(values: DataFrame, edges: DataFrame, key: str, value: str) -> DataF
     m = values.agg(F.avg(value)).first()[0] or 0.0
     z = values.select(F.col(key), (F.col(value) - m).alias("z"))
     zb = z.select(F.col(key).alias(f"{key}_b"), F.col("z").alias("z_b"))
-    e = edges.select(key, f"{key}_b").join(z, key).join(zb, f"{key}_b")
+    e = edges.select(key, f"{key}_b").join(z.hint("merge"), key).join(zb.hint("merge"), f"{key}_b")  # never all sites in the driver
     lag = e.groupBy(key).agg((F.max("z") * F.avg("z_b")).alias("c"))
     cross = lag.agg(F.sum("c").alias("cross"), F.count(F.lit(1)).cast("double").alias("s0"))
     whole = z.agg(F.sum(F.col("z") * F.col("z")).alias("ss"), F.count(F.lit(1)).cast("double").alias("n"))
