@@ -77,12 +77,12 @@ def moran_test(values: DataFrame, edges: DataFrame, site: str, value: str, permu
     whole = v.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), (F.count("x") * F.var_pop("x")).alias("ss"))
     z = v.crossJoin(F.broadcast(whole)).select("site", "n", (F.col("x") - F.col("m")).alias("z"))  # one row of totals
     sent = z.select("site", "n").mapInArrow(_all_permuted(permutations), "site long, k long, `from` long")
-    got = sent.join(z.select(F.col("site").alias("from"), F.col("z").alias("v")), "from").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("p"))
-    field = z.join(got, "site").select("site", F.concat(F.array("z"), F.transform("p", lambda x: x["v"])).alias("f"))
+    got = sent.join(z.select(F.col("site").alias("from"), F.col("z").alias("v")).hint("merge"), "from").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("p"))
+    field = z.join(got.hint("merge"), "site").select("site", F.concat(F.array("z"), F.transform("p", lambda x: x["v"])).alias("f"))
     field = stored(field, "fields")  # the values themselves, then every permutation of them
     pairs = edges.select(F.col(site).cast("long").alias("site"), F.col(f"{site}_b").cast("long").alias("near"))
     degree = pairs.groupBy("site").agg(F.count(F.lit(1)).alias("d"))
-    met = pairs.join(degree, "site").join(field, "site").join(field.select(F.col("site").alias("near"), F.col("f").alias("g")), "near")
+    met = pairs.join(degree.hint("merge"), "site").join(field.hint("merge"), "site").join(field.select(F.col("site").alias("near"), F.col("f").alias("g")).hint("merge"), "near")
     part = met.select(F.posexplode(F.zip_with("f", "g", lambda a, b: a * b)).alias("k", "c"), "d").groupBy("k").agg(F.sum(F.col("c") / F.col("d")).alias("cross"))
     s0 = degree.agg(F.count(F.lit(1)).cast("double").alias("s0"))
     i = part.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(s0)).select("k", "n", F.try_divide(F.col("n") / F.col("s0") * F.col("cross"), F.col("ss")).alias("i"))

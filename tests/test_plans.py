@@ -26,3 +26,8 @@ def test_neighbours_merge(cells):
 
 def test_values_of_morans_i_merge(cells):
     assert "BroadcastHashJoin" not in plan(spatial.morans_i(cells, spatial.lattice_pairs(cells, 1, ["cell_id"]), "cell_id", "v"))
+
+
+def test_permuted_values_merge(cells):
+    d = moran.moran_test(cells, spatial.lattice_pairs(cells, 1, ["cell_id"]), "cell_id", "v", 9)
+    assert "BroadcastHashJoin" not in plan(d)
