@@ -31,3 +31,10 @@ def test_values_of_morans_i_merge(cells):
 def test_permuted_values_merge(cells):
     d = moran.moran_test(cells, spatial.lattice_pairs(cells, 1, ["cell_id"]), "cell_id", "v", 9)
     assert "BroadcastHashJoin" not in plan(d)
+
+
+def test_labels_of_patches_merge(cells, monkeypatch):
+    seen, stored = [], patches.stored
+    monkeypatch.setattr(patches, "stored", lambda df, name: (seen.append(plan(df)), stored(df, name))[1])
+    assert patches.patches(cells.select("cell_id", "row", "col", "cls"), "cls").count() == 60
+    assert len(seen) > 2 and not any("BroadcastHashJoin" in p for p in seen)
