@@ -57,13 +57,13 @@ def distance(df: DataFrame, target: Column, size: float = 1.0) -> DataFrame:
     a row, the least of (column offset, that column's distance). A cell meets
     the columns of its own row, never all targets.
     """
-    w = Window.partitionBy("col").orderBy("row")
+    w, back = Window.partitionBy("col").orderBy("row"), Window.partitionBy("col").orderBy(F.desc("row"))  # frames that only grow: one pass each
     hit = F.when(target, F.col("row"))
     d = df.withColumn("_up", F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_down", F.first(hit, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    d = d.withColumn("_down", F.last(hit, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("_v", F.least(F.col("row") - F.col("_up"), F.col("_down") - F.col("row")))
     line = d.groupBy("row").agg(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("col", "_v"))).alias("_line"))
-    out = d.join(line, "row")
+    out = d.join(line.hint("merge"), "row")
     near = F.array_min(F.transform("_line", lambda p: (p["col"] - F.col("col")) * (p["col"] - F.col("col")) + p["_v"] * p["_v"]))
     return out.withColumn("distance", F.sqrt(near.cast("double")) * size).drop("_up", "_down", "_v", "_line")
 

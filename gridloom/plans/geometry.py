@@ -15,7 +15,7 @@ R = S.fixed
 def _lattice(spark, sf):
     """The dense lattice; cells beyond the last one are null."""
     c = cube.cells(spark, sf).drop("district")
-    return grid.dense(c).join(c, ["row", "col"], "left")
+    return grid.dense(c).join(c.hint("merge"), ["row", "col"], "left")  # never all cells in the driver
 
 
 def _boxes(spark, sf, size):

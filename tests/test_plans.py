@@ -4,8 +4,9 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.operators import moran, patches, scenario, spatial
+from gridloom.operators import grid, moran, patches, scenario, spatial
 
 
 def plan(df):
@@ -44,3 +45,8 @@ def test_running_frames_only_grow(cells):
     """A frame from the current row to the end is summed anew for every row."""
     d = cells.selectExpr("cell_id", "cls", "v AS cap", "v + 1 AS a", "60D AS demand")
     assert "currentrow$(), unboundedfollowing$()" not in plan(scenario.allocate(d, "cls", "cap", "a", "demand"))
+
+
+def test_distance_by_frames_that_only_grow(cells):
+    text = plan(grid.distance(cells, F.col("v") > 5))
+    assert "currentrow$(), unboundedfollowing$()" not in text and "BroadcastHashJoin" not in text
