@@ -171,7 +171,7 @@ def q_lstb_round_trip(spark, sf):
     from ..sources import lstb
 
     c = cube.cells(spark, sf).select("cell_id", "row", "col", "elev")
-    cols = [lstb.Column("cell_id", "i32"), lstb.Column("row", "i16"), lstb.Column("col", "i16"), lstb.Column("elev", "i32", scale=0.01)]
+    cols = [lstb.Column("cell_id", "i32"), lstb.Column("row", "i32"), lstb.Column("col", "i16"), lstb.Column("elev", "i32", scale=0.01)]
     path = lstb.write(c, cols, kind="cells")
     return lstb.read(spark, path).select(F.col("cell_id").cast("long").alias("cell_id"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), R(F.col("elev"), 2).alias("elev"))
 
