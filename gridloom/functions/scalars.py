@@ -94,6 +94,17 @@ def utm_inverse(east: Column, north: Column, zone: int) -> tuple[Column, Column]
     return F.degrees(lat), F.degrees(F.atan2(F.sinh(over), F.cos(up))) + (6 * zone - 183)
 
 
+def folded(lat: Column) -> tuple[Column, Column]:
+    """A latitude of any number of degrees as one from -90 to 90, and the half-turns that it was folded by."""
+    turns = F.floor((lat + 90) / 180)
+    return F.when(turns % 2 == 0, lat - 180 * turns).otherwise(180 * turns - lat), turns
+
+
+def unfolded(lat: Column, turns: Column) -> Column:
+    """The latitude that ``folded`` began with."""
+    return 180 * turns + F.when(turns % 2 == 0, lat).otherwise(-lat)
+
+
 def normal_name(c: Column) -> Column:
     """Lower-case letters and digits with single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]+", " "), r" +", " "))

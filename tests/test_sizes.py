@@ -12,3 +12,9 @@ def test_container_holds_rows_beyond_16_bits(spark, tmp_path):
     part(spark, tmp_path, [0, 819_174, 819_200, 1_199_999])
     got = registry.queries()["q_lstb_round_trip"](spark, str(tmp_path)).collect()
     assert sorted(r.row for r in got) == [0, 32_766, 32_768, 47_999]
+
+
+def test_degrees_beyond_the_poles_come_back(spark, tmp_path):
+    part(spark, tmp_path, [3, 154_999, 155_003, 155_030, 400_013, 605_001, 1_199_999])
+    for r in registry.queries()["q_utm_inverse"](spark, str(tmp_path)).collect():
+        assert (r.lat, r.lon) == (round(28 + r.cell_id // 25 * 0.01, 7), round(77 + r.cell_id % 25 * 0.01, 7))
