@@ -137,14 +137,16 @@ WITH p AS (SELECT event_id, (event_id * 37 % 300) / 10.0::DOUBLE AS y, (event_id
 m AS (SELECT event_id, cell_id, (y - row) ** 2 + (x - col) ** 2 AS d2 FROM p JOIN cells ON abs(row - floor(y)) <= 2 AND abs(col - floor(x)) <= 2)
 SELECT event_id, arg_min(cell_id, (round(d2, 6), cell_id)) AS nearest FROM m GROUP BY event_id""")
 def q_cell_locator(spark, sf):
-    """Nearest cell of a point, from the cells of the bins around it."""
-    e = F.col("event_id")
-    p = cube.table(spark, sf, "events").select("event_id", (e * 37 % 300 / 10.0).alias("y"), (e * 53 % 240 / 10.0).alias("x"))
+    """Nearest cell of a point, from the cells of the bins around it: a bin's cells are one array, so a point stays one row."""
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
-    p = p.withColumn("k", F.explode(around)).withColumn("row", F.floor("y") + F.col("k.i")).withColumn("col", F.floor("x") + F.col("k.j"))
-    m = p.join(cube.cells(spark, sf).select("cell_id", "row", "col"), ["row", "col"])
-    d2 = F.round(F.pow(F.col("y") - F.col("row"), 2) + F.pow(F.col("x") - F.col("col"), 2), 6)
-    return m.groupBy("event_id").agg(F.min_by("cell_id", F.struct(d2, "cell_id")).alias("nearest"))
+    c = cube.cells(spark, sf).select("cell_id", "row", "col").withColumn("k", F.explode(around))
+    bins = c.groupBy((F.col("row") + F.col("k.i")).alias("br"), (F.col("col") + F.col("k.j")).alias("bc")).agg(F.collect_list(F.struct("row", "col", "cell_id")).alias("near"))
+    e = F.col("event_id")
+    p = cube.table(spark, sf, "events").select("event_id").distinct().select("event_id", (e * 37 % 300 / 10.0).alias("y"), (e * 53 % 240 / 10.0).alias("x"))
+    p = p.withColumn("br", F.floor("y")).withColumn("bc", F.floor("x"))
+    d2 = lambda c: F.round(F.pow(F.col("y") - c["row"], 2) + F.pow(F.col("x") - c["col"], 2), 6)
+    least = F.array_min(F.transform("near", lambda c: F.struct(d2(c).alias("d2"), c["cell_id"].alias("cell_id"))))
+    return p.join(bins.hint("merge"), ["br", "bc"]).select("event_id", least["cell_id"].alias("nearest"))
 
 
 @query("""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import grid, moran, patches, scenario, spatial
+from gridloom.plans import registry
 
 
 def plan(df):
@@ -50,3 +51,8 @@ def test_running_frames_only_grow(cells):
 def test_distance_by_frames_that_only_grow(cells):
     text = plan(grid.distance(cells, F.col("v") > 5))
     assert "currentrow$(), unboundedfollowing$()" not in text and "BroadcastHashJoin" not in text
+
+
+def test_a_located_point_stays_one_row(spark, sf):
+    text = plan(registry.queries()["q_cell_locator"](spark, sf))
+    assert "min_by" not in text and "BroadcastHashJoin" not in text
