@@ -281,6 +281,12 @@ def _kinds(n: np.ndarray) -> tuple[np.ndarray, ...]:
     return n, n == 1, n == 2, n >= 3
 
 
+def sending_order(bucket: np.ndarray, w2: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """By bucket, word and the word before it, which packs in fewer bytes than by bucket and word."""
+    by = np.argsort(w2.astype(np.uint64) << np.uint64(32) | w1.astype(np.uint64))
+    return by[np.argsort(bucket[by], kind="stable")]
+
+
 def _in_files(df: DataFrame) -> DataFrame:
     """Buckets of one file in one task, in order."""
     return df.repartition(F.floor(F.col("bucket") / PER_FILE)).sortWithinPartitions("bucket")
@@ -376,7 +382,7 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
             counts, first = np.diff(np.append(start, len(by))), by[start]
             key, w1, w2, w3, hot = (x[first] for x in cols)
             bucket = np.where(hot == 1, model.key_bucket(key), model.id_bucket(w2))
-            by = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | w2.astype(np.uint64))
+            by = sending_order(bucket, w2, w1)
             yield from sent_packed(bucket[by], w2[by], w1[by], w3[by], counts[by].astype(np.uint32), hot[by])
 
         yield from in_parts(batches, prepare, flush)

@@ -223,6 +223,13 @@ def test_mixing_edge_cases(spark):
     assert [r.taken for r in mixing.mix_sources(d.filter("size(split(text, 'x')) > 9")).collect()] == []
 
 
+def test_grams_are_sent_in_order_of_both_words():
+    r = np.random.default_rng(2)
+    bucket, w2, w1 = (r.integers(0, n, 500).astype(np.uint32) for n in (3, 7, 90))
+    by = lm.sending_order(bucket, w2, w1)
+    assert list(zip(bucket[by], w2[by], w1[by], strict=True)) == sorted(zip(bucket, w2, w1, strict=True))
+
+
 # URLs ------------------------------------------------------------------------
 
 
