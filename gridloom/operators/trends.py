@@ -1,7 +1,7 @@
 """Intervals of trends and sensitivities.
 
 * ``theil_sen``: the median of all pairwise slopes and its interval without the
-  pairs. A slope of given rank is found by bisection, where one count of
+  pairs. A slope of given rank is found by closing in on it, where one count of
   inversions tells how many slopes lie below a value: n log n a step, and a task
   holds a series, not its pairs. Short series use their pairs, with equal results.
 * ``block_bootstrap``: moving-block bootstrap of a fit on two regressors. Sums of
@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -21,43 +22,106 @@ from pyspark.sql import functions as F
 from .draws import array_quantile, uniform
 
 SHORT = 512
+DRAWN = 1 << 16  # pairs
+MOVED = 2048  # rows of which all pairs are compared
 #: Fixed value: the normal quantile of a two-sided 95 % interval.
 Z95 = 1.959963984540054
 
 
+def _by_value(r: np.ndarray) -> np.ndarray:
+    """Places in order of value, of equal values the last first."""
+    return len(r) - 1 - np.argsort(r[::-1], kind="stable")
+
+
 def at_most(r: np.ndarray) -> int:
-    """Pairs i < j with r[j] <= r[i]: inversions, equal values among them, by merging sorted blocks."""
+    """Pairs i < j with r[j] <= r[i]: inversions, equal values among them.
+
+    Values become ranks, which are parted stably by one bit after the other, the highest first:
+    an inversion is a one before a zero of the same part. A part's first place is its smallest rank.
+    """
     n = len(r)
-    rank = np.unique(r, return_inverse=True)[1].astype(np.int64)
-    place, total, width = np.arange(n), 0, 1
-    order = rank.copy()
-    while width < n:
-        block = place // width
-        key = block * (n + 1) + order  # sorted within blocks of ``width``
-        right = block % 2 == 1
-        left_end = (block[right] * width)  # end of the block to the left
-        below = np.searchsorted(key, (block[right] - 1) * (n + 1) + order[right], "left")
-        total += int((left_end - below).sum())
-        first = place // (2 * width) * (n + 1)
-        order = np.sort(first + order) - first
-        width *= 2
-    return total
-
-
-def slope_of_rank(x: np.ndarray, y: np.ndarray, rank: int, twins: int) -> float:
-    """The ``rank``-th smallest slope (from 0) of a series sorted by x, then y; ``twins`` pairs are equal in both."""
+    v = np.arange(-(-n // 8) * 8, dtype=np.int64 if n >= 1 << 31 else np.int32)  # what fills up is in order
+    v[_by_value(r)] = v[:n].copy()
+    total = 0
+    for k in range(max(n - 1, 0).bit_length() - 1, 2, -1):
+        one = (v >> k) & 1
+        start = v >> (k + 1) << (k + 1)
+        ones = np.cumsum(one, dtype=v.dtype) - one
+        ones -= ones[start]
+        zero = one == 0
+        total += int(ones[zero].sum(dtype=np.int64))
+        to = np.where(zero, np.arange(len(v), dtype=v.dtype) - ones, start + (1 << k) + ones)
+        parted = np.empty_like(v)
+        parted[to] = v
+        v = parted
+    v = v.reshape(-1, 8)
+    return total + sum(int(np.count_nonzero(v[:, :-d] > v[:, d:])) for d in range(1, 8))
+
+
+def slopes_of_ranks(x: np.ndarray, y: np.ndarray, ranks: list[int], twins: int, pairs: int) -> dict[int, float]:
+    """The slopes of the given ranks (from 0) of a series sorted by x, then y; ``twins`` pairs are equal in both, ``pairs`` differ in x.
+
+    Exact counts bound each rank from both sides, and each is of use to all ranks. Slopes of
+    drawn pairs say where to count first, then the counts themselves, until the rows that are left
+    are few enough to compare all; halving makes sure of an end.
+    """
     x = x - x[len(x) // 2]
-    gap = np.diff(np.unique(x)).min()
-    hi = float(np.ptp(y) / gap) + 1.0
-    lo = -hi
-    while True:
-        mid = lo + (hi - lo) / 2
-        if not lo < mid < hi or hi - lo <= 1e-15 * max(abs(lo), abs(hi)):
-            return mid
-        if at_most(y - mid * x) - twins > rank:
-            hi = mid
-        else:
-            lo = mid
+    top = float(np.ptp(y) / np.diff(np.unique(x)).min()) + 1.0
+    at, below = [-top, top], [0, pairs]  # numbers of slopes up to a value, both ascending
+
+    def count(mid: float) -> None:
+        k = bisect.bisect_left(at, mid)
+        if at[k] != mid:
+            n = at_most(y - mid * x) - twins
+            at.insert(k, mid)
+            below.insert(k, min(max(n, below[k - 1]), below[k]))
+
+    rng = np.random.default_rng(len(x))
+    i, j = rng.integers(0, len(x), (2, DRAWN))
+    differ = x[i] != x[j]
+    drawn = np.sort((y[j] - y[i])[differ] / (x[j] - x[i])[differ])
+    for rank in ranks if len(drawn) else []:
+        for off in (-2, 2):
+            k = rank / pairs * len(drawn) + off * math.sqrt(len(drawn))
+            count(min(max(float(drawn[int(min(max(k, 0), len(drawn) - 1))]), -top), top))
+
+    def between(lo: float, hi: float) -> np.ndarray | None:
+        """The slopes that are counted up to ``hi`` and not up to ``lo``, if few rows change places between the two."""
+        old, new = _by_value(y - lo * x), _by_value(y - hi * x)
+        place = np.empty(len(x), np.int64)
+        place[new] = np.arange(len(x))
+        last = np.maximum.accumulate(place[old])
+        closed = last == np.arange(len(x))  # all up to here stay among themselves
+        moved = ~(closed & np.concatenate([[True], closed[:-1]]))
+        if np.count_nonzero(moved) > MOVED:
+            return None
+        rows = old[moved]
+        a, b = np.nonzero(np.triu(rows[:, None] < rows[None], 1) & (place[rows][:, None] > place[rows][None]))
+        a, b = rows[a], rows[b]
+        return np.sort((y[b] - y[a]) / (x[b] - x[a]))
+
+    def search(rank: int) -> float:
+        turn, halve, tried = 0, False, 1 << 17
+        while True:
+            k = bisect.bisect_right(below, rank, 1, len(below) - 1)
+            lo, hi, width = at[k - 1], at[k], below[k] - below[k - 1]
+            mid = lo + (hi - lo) / 2
+            if not lo < mid < hi or hi - lo <= 1e-15 * max(abs(lo), abs(hi)):
+                return mid
+            if 0 < width <= tried // 2:
+                slopes, tried = between(lo, hi), width
+                if slopes is not None:
+                    return float(slopes[rank - below[k - 1]])
+            if not halve and width > 16:  # a little below the rank, or above it
+                aim = rank - below[k - 1] + (-1, 1)[turn % 2] * width**0.75
+                guess = lo + (hi - lo) * min(max(aim / width, 0.01), 0.99)
+                turn += 1
+                mid = guess if lo < guess < hi else mid
+            count(mid)
+            k = bisect.bisect_right(below, rank, 1, len(below) - 1)
+            halve = not halve and at[k] - at[k - 1] > (hi - lo) / 4
+
+    return {rank: search(rank) for rank in ranks}
 
 
 def _ties(v: np.ndarray) -> int:
@@ -65,6 +129,12 @@ def _ties(v: np.ndarray) -> int:
     return int(sum(k * (k - 1) * (2 * k + 5)))
 
 
+def _pairs_in_runs(cut: np.ndarray) -> int:
+    """Pairs of rows in the same run of a sorted column; ``cut``: where the next row is another."""
+    k = np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(cut)]]))
+    return int((k * (k - 1) // 2).sum())
+
+
 def theil_sen_of(x: np.ndarray, y: np.ndarray, least: int, short: int = SHORT) -> tuple[float, float, float] | None:
     """Median slope and its 95 % limits by Kendall's variance; None for under ``least`` values or one x alone."""
     n = len(x)
@@ -72,8 +142,8 @@ def theil_sen_of(x: np.ndarray, y: np.ndarray, least: int, short: int = SHORT) -
         return None
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    same = lambda v: int(sum(k * (k - 1) // 2 for k in np.unique(v, axis=0, return_counts=True)[1].tolist()))
-    pairs = n * (n - 1) // 2 - same(x)
+    new_x = np.diff(x) != 0
+    pairs = n * (n - 1) // 2 - _pairs_in_runs(new_x)
     spread = Z95 * math.sqrt(max(n * (n - 1) * (2 * n + 5) - _ties(x) - _ties(y), 0) / 18)
     upper, lower = min(round((pairs + spread) / 2), pairs - 1), max(round((pairs - spread) / 2) - 1, 0)
     ranks = sorted({(pairs - 1) // 2, pairs // 2, lower, upper})
@@ -83,8 +153,7 @@ def theil_sen_of(x: np.ndarray, y: np.ndarray, least: int, short: int = SHORT) -
         slopes = np.sort((y[j] - y[i])[dx > 0] / dx[dx > 0])
         of = {k: float(slopes[k]) for k in ranks}
     else:
-        twins = same(np.stack([x, y], axis=1))
-        of = {k: slope_of_rank(x, y, k, twins) for k in ranks}
+        of = slopes_of_ranks(x, y, ranks, _pairs_in_runs(new_x | (np.diff(y) != 0)), pairs)
     return (of[(pairs - 1) // 2] + of[pairs // 2]) / 2, of[lower], of[upper]
 
 
@@ -100,6 +169,8 @@ def theil_sen(df: DataFrame, entity: str, x: str, y: str, least: int = 5, short:
 
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     rows = df.select(F.col(entity).alias("_e"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter(finite(F.col("_x")) & finite(F.col("_y")))
+    # A number of its own, for else small tables are put into one task, however long their work takes.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_e")
     return rows.groupBy("_e").applyInArrow(run, f"`{entity}` {kind}, slope double, lo double, hi double, n long")
 
 
