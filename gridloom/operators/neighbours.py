@@ -58,7 +58,8 @@ def _to_pivots(pivots):
         for b in batches:
             if b.num_rows:
                 x, p = _matrix(b.columns[-1]), pivots.value
-                cell = np.concatenate([_squares(x[a : a + 4096], p).argmin(axis=1) for a in range(0, len(x), 4096)])
+                step = max(1, ROOM // len(p))
+                cell = np.concatenate([_squares(x[a : a + step], p).argmin(axis=1) for a in range(0, len(x), step)])
                 radius = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64()), pa.array(radius)], names=[*b.schema.names, "cell", "radius"])
 
@@ -71,8 +72,9 @@ def _visits(pivots, cells, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner, outer, only = cells.value
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            step = max(1, ROOM // len(inner))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 x, group = _matrix(part.column("v")), part.column("grp").to_numpy(zero_copy_only=False)
                 d = np.sqrt(_squares(x, pivots.value))
                 d = np.where((only[None] == group[:, None]) | (outer[None] < 0), np.inf, d)  # nothing of another group there
@@ -84,8 +86,11 @@ def _visits(pivots, cells, first: bool):
                     best, seen = part.column("best").to_numpy(zero_copy_only=False), part.column("seen").to_numpy(zero_copy_only=False)
                     bound = np.maximum(d - outer[None], inner[None] - d)
                     i, j = np.nonzero(np.isfinite(d) & (bound <= best[:, None] * (1 + 1e-9) + 1e-9 * (1 + d.min(axis=1))[:, None]) & (np.arange(len(inner))[None] != seen[:, None]))
-                rows = part.take(pa.array(i)).select(["query", "grp", "best", "v"])
-                yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(np.sqrt(((x[i] - pivots.value[j]) ** 2).sum(axis=1))), *rows.columns], names=["cell", "radius", "query", "grp", "best", "v"])
+                some = max(1, ROOM // x.shape[1]) if x.size else 1  # where little is pruned, a row goes to most cells
+                for c in range(0, len(i), some):
+                    q, k = i[c : c + some], j[c : c + some]
+                    rows = part.take(pa.array(q)).select(["query", "grp", "best", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(np.sqrt(((x[q] - pivots.value[k]) ** 2).sum(axis=1))), *rows.columns], names=["cell", "radius", "query", "grp", "best", "v"])
 
     return run
 

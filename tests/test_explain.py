@@ -3,8 +3,10 @@
 import math
 import random
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,17 @@ def test_few_features_are_pruned(spark):
     assert np.mean([v for _, _, v in got.values()]) < 0.08 * len(rows)
 
 
+def test_visits_leave_in_pieces():
+    """A row that goes to every cell is not held as often as there are cells."""
+    r = np.random.default_rng(3)
+    x, pivots = r.normal(size=(2000, 64)), r.normal(size=(64, 64))
+    v = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype=np.int32), pa.array(x.ravel()))
+    given = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array(np.arange(2000) % 5), pa.array(np.full(2000, 99.0)), pa.array(np.zeros(2000, np.int64)), v], names=["query", "grp", "best", "seen", "v"])
+    cells = SimpleNamespace(value=(np.zeros(64), np.full(64, 50.0), np.full(64, np.nan)))
+    sizes = [b.num_rows for b in neighbours._visits(SimpleNamespace(value=pivots), cells, False)(iter([given]))]
+    assert sum(sizes) == 2000 * 63 and max(sizes) * 64 <= neighbours.ROOM
+
+
 def test_nearest_without_other_groups_or_vectors(spark):
     assert nearest(spark, []) == {}
     assert nearest(spark, [(1, 0, [1.0]), (2, 0, [2.0])]) == {}
