@@ -21,6 +21,7 @@ query was compared with.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,17 +180,25 @@ def _dealt(sites: DataFrame, visits: DataFrame, shard: int) -> DataFrame:
     return rows.union(asked).repartition("place").sortWithinPartitions("place", "asks").mapInArrow(_meet, FOUND)
 
 
-def nearest_of_other_group(points: DataFrame, key: str, group: str, vector: str, *, pivots: int = 64, shard: int = 8192) -> DataFrame:
+def pivot_count(n: int, dimensions: int) -> int:
+    """In few dimensions cells keep apart: with their number a row visits fewer others. In many they do not, and each is one more place to go to."""
+    return min(4096, max(64, 2 * math.isqrt(n))) if dimensions <= 8 else 64
+
+
+def nearest_of_other_group(points: DataFrame, key: str, group: str, vector: str, *, pivots: int | None = None, shard: int = 8192) -> DataFrame:
     """key, distance, neighbour, visited: each row's nearest row of another group, ties to the smaller key.
 
     Keys are whole numbers from 0 and unique, groups whole numbers. Rows with a
     null key or group, or a vector that is null, not finite or shorter than the
     longest, take no part; without another group there is no result.
+    ``pivots``: by default ``pivot_count`` of the rows.
     """
     spark = points.sparkSession
     rows = points.select(F.col(key).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     rows = stored(rows.filter(F.col("id").isNotNull() & F.col("grp").isNotNull() & usable(F.col("v"))), "points")
-    rows = rows.filter(F.size("v") == rows.select(F.max(F.size("v"))).scalar())
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    rows = rows.filter(F.size("v") == size["d"])
+    pivots = pivots or pivot_count(size["n"], size["d"] or 0)
     asked = stored(rows.groupBy("v", "grp").agg(F.min("id").alias("query")), "asked")
     w = Window.partitionBy("v").orderBy("query")
     two = asked.withColumn("n", F.row_number().over(w)).filter("n <= 2").groupBy("v")

@@ -59,6 +59,14 @@ def test_visits_leave_in_pieces():
     assert sum(sizes) == 2000 * 63 and max(sizes) * 64 <= neighbours.ROOM
 
 
+def test_visits_grow_slower_than_the_rows(spark):
+    """64 pivots, however many rows, had each row visit the same share of all."""
+    r = np.random.default_rng(5)
+    rows = [(i, i % 5, [float(x) for x in r.uniform(size=2)]) for i in range(16000)]
+    few, many = (np.mean([v for _, _, v in nearest(spark, some).values()]) for some in (rows[:1000], rows))
+    assert many < 6 * few  # 16 times the rows
+
+
 def test_nearest_without_other_groups_or_vectors(spark):
     assert nearest(spark, []) == {}
     assert nearest(spark, [(1, 0, [1.0]), (2, 0, [2.0])]) == {}
