@@ -163,7 +163,11 @@ class Model:
         return ids[back], counts[back]
 
     def _by_bucket(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(bucket.astype(np.int32), kind="stable")
+        # 16 bits are sorted by radix.
+        yield from self._parts(bucket, np.argsort(bucket.astype(np.int16 if self.buckets < 1 << 15 else np.int32), kind="stable"))
+
+    @staticmethod
+    def _parts(bucket: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for part in np.split(order, cuts) if len(order) else []:
             yield int(bucket[part[0]]), part
@@ -173,7 +177,8 @@ class Model:
         out = np.zeros((len(columns), len(key)), np.int64)
         h = _mixed(key, np.full(len(key), 11, np.uint64))
         top, tail = (h >> np.uint64(32)).astype(np.uint32), (h >> np.uint64(24)).astype(np.uint8)
-        for b, at in self._by_bucket(bucket):
+        # In the order of the bucket's keys, so that searches and reads go through memory once.
+        for b, at in self._parts(bucket, np.argsort(bucket.astype(np.uint64) << np.uint64(32) | top)):
             known, tails = self.files.get(kind, b, f"{name}_key", np.uint32), self.files.get(kind, b, f"{name}_tail", np.uint8)
             if not len(known):
                 continue

@@ -484,3 +484,19 @@ def test_extra_columns_do_no_harm(frame, spark):
     assert decontaminate.find_leaks(d, bench).count() == 1
     labels = spark.createDataFrame([(4, 1)], "doc_id long, toxic int")
     assert toxicity.score_toxicity(d, labels, keep=True).columns[-3:] == ["text", "score", "predicted"]
+
+
+def test_keys_are_looked_up_in_order(monkeypatch):
+    """Each bucket's keys go through its array once, from front to back."""
+    r = np.random.default_rng(6)
+    keys = r.integers(0, 1 << 62, 5000).astype(np.uint64)
+    tables = [lm._table("pair", keys[b::2], {"n": np.arange(1, 2501) % 300 + 1}) for b in (0, 1)]
+    model = lm.Model("unused", 2)
+    monkeypatch.setattr(model.files, "get", lambda kind, b, name, dtype: tables[b].get(name, np.empty(0, dtype)).astype(dtype))
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(lm.np, "searchsorted", lambda a, v, *x, **y: asked.append(np.array(v)) or search(a, v, *x, **y))
+    mixed = r.permutation(5000)
+    got = model.look_up("grams", mixed % 2, "pair", keys[mixed], ("n",))[0]
+    assert got.tolist() == ((mixed // 2 + 1) % 300 + 1).tolist()
+    wide = [v for v in asked if v.size > 1000]
+    assert len(wide) == 2 and all((np.diff(v.astype(np.int64)) >= 0).all() for v in wide)
