@@ -44,6 +44,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,10 +167,15 @@ def _met(docs: DataFrame, grams: DataFrame, lengths: list[int], small: bool) ->
     if not small:
         every = F.flatten(F.array(*[F.transform(f"g{n}", lambda h, i: F.struct(i.alias("at"), h.alias("h"))) for n in lengths]))
         return d.select(*keep, F.inline(every)).join(hashes, "h", "left_semi").select(*keep, "at", "h").distinct()
+    # The map is a query's value, not a literal: each text of a plan spells literals out, and the driver makes many.
     known = _byte_map([r["h"] for r in hashes.collect()])
-    likely = lambda h: F.substring(F.lit(known), (h.bitwiseAND(len(known) - 1) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
-    marked = [F.filter(F.transform(f"g{n}", lambda h, i: F.when(likely(h), F.struct(i.alias("at"), h.alias("h")))), lambda m: m.isNotNull()) for n in lengths]
-    return d.select(*keep, F.inline(F.flatten(F.array(*marked)))).join(F.broadcast(hashes), "h", "left_semi").select(*keep, "at", "h").distinct()
+    held = docs.sparkSession.createDataFrame(pa.table({"known": pa.array([known], pa.binary())})).scalar()
+    likely = lambda m, h: F.substring(m, (h.bitwiseAND(len(known) - 1) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    marked = lambda m, n: F.filter(F.transform(f"g{n}", lambda h, i: F.when(likely(m, h), F.struct(i.alias("at"), h.alias("h")))), lambda x: x.isNotNull())
+    # Named once, so that it becomes part of the expression and no row carries it; the generator's input is not a bare column, of which a filter would repeat all hashing.
+    found = F.transform(F.array("_known"), lambda m: F.flatten(F.array(*[marked(m, n) for n in lengths])))
+    d = d.withColumn("_known", held).select(*keep, found.alias("_found"))
+    return d.select(*keep, F.inline(F.flatten("_found"))).join(F.broadcast(hashes), "h", "left_semi").select(*keep, "at", "h").distinct()
 
 
 def find_leaks(

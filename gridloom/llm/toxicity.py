@@ -66,8 +66,11 @@ def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
         yield words[at : at + step + WINDOW - STRIDE]
 
 
-def tokenise(texts: list[str | None]) -> Tokens:
-    return tokens_of([split_words(t) for t in texts])
+def tokenise(texts: list[str | None], step: int = 64) -> Tokens:
+    """Tokens of texts, ``step`` texts at a time: words held as objects take many times their bytes."""
+    parts = [tokens_of([split_words(t) for t in texts[at : at + step]]) for at in range(0, max(1, len(texts)), step)]
+    word, gram, size, lens = (np.concatenate([getattr(p, k) for p in parts]) for k in ("word", "gram", "size", "lens"))
+    return Tokens(word, gram, np.cumsum(size) - size, size, lens)
 
 
 def tokens_of(texts: list[list[bytes]]) -> Tokens:

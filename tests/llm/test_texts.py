@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -33,6 +34,20 @@ def test_toxicity_ranks_held_out_labels(spark, sf):
     assert auc > 0.85 and np.mean([s >= 0.3 for s in neg]) < 0.1
 
 
+def test_tokens_are_made_a_few_texts_at_a_time():
+    """Same tokens as at once, with a peak of a few times the texts; the driver's sample is tokenised whole otherwise."""
+    r = np.random.default_rng(5)
+    texts = [None, "", *[" ".join(f"w{x}" for x in r.integers(0, 10**6, r.integers(0, 400))) for _ in range(1500)]]
+    tracemalloc.start()
+    got = toxicity.tokenise(texts)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 3 * kept
+    want = toxicity.tokens_of([toxicity.split_words(t) for t in texts])
+    assert all(np.array_equal(getattr(got, k), getattr(want, k)) and getattr(got, k).dtype == getattr(want, k).dtype for k in ("word", "gram", "start", "size", "lens"))
+    assert not len(toxicity.tokenise([]).lens)
+
+
 def test_toxicity_gradients():
     net = toxicity.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -477,6 +492,17 @@ def test_names_at_starts_inserted_words_and_merged_values(spark, frame):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 1), (2, 0), (3, 2)}
 
 
+def test_plans_do_not_spell_out_the_benchmark(spark, frame, capsys):
+    """The driver keeps the texts of plans: they may not grow with the benchmark."""
+    words = lambda i, n: " ".join(f"word{i}x{k}" for k in range(n))
+    items = decontaminate._items(spark.createDataFrame([(i, words(i, 40)) for i in range(40)], "item_id long, text string"), 8, 5)
+    docs = frame([(1, f"so {words(3, 40)} it is"), (2, "nothing of the kind"), (3, None), (4, words(7, 8))])
+    met = decontaminate._met(docs, decontaminate.stored(decontaminate._grams(items, [8]), "grams"), [8], True)
+    met.explain(True)
+    assert len(capsys.readouterr().out) < 40_000
+    assert collections.Counter(r.doc_id for r in met.collect()) == {1: 33, 4: 1}
+
+
 def test_extra_columns_do_no_harm(frame, spark):
     d = frame(EDGE + [(11, ITEM)]).withColumn("size", F.lit("x")).withColumn("rank", F.lit(1)).withColumn("key", F.lit(2)).withColumn("keys", F.lit(3)).withColumn("fp", F.lit(4)).withColumn("n_lines", F.lit("n")).withColumn("bucket", F.lit(0)).withColumn("score", F.lit(0)).withColumn("h", F.lit(0)).withColumn("item_id", F.lit(1)).withColumn("held_out", F.lit(1)).withColumn("l_id", F.lit(1))
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
