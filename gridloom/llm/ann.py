@@ -74,7 +74,7 @@ def probe_codes(vectors: np.ndarray, *, table: int, bits: int, probes: int, seed
     for f, b in enumerate(functions(bits, vectors.shape[1])):
         r = rotate(unit, seed, table, f)[:, : 1 << (b - 1)]
         signed = np.concatenate([r, -r], axis=1)
-        axes = np.argsort(-signed, axis=1, kind="stable")[:, :probes]
+        axes = signed.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-signed, axis=1, kind="stable")[:, :probes]
         # The best sums are sums of the best.
         near = (near[:, :, None] + np.take_along_axis(signed, axes, axis=1)[:, None, :]).reshape(len(r), -1)
         code = (code[:, :, None] << b | axes[:, None, :]).reshape(len(r), -1)
@@ -215,8 +215,9 @@ def calibrated(index: DataFrame, asked: DataFrame, n: int, k: int, tables: int,
         for dim in {len(q) for q, _ in pairs}:
             at = np.array([i for i, (q, _) in enumerate(pairs) if len(q) == dim])
             q, v = (np.stack([pairs[i][side] for i in at]) for side in (0, 1))
+            q, of = np.unique(q, axis=0, return_inverse=True)  # a query has k pairs, and its codes are many
             for t in range(tables):
-                codes = probe_codes(q, table=t, bits=bits, probes=most_probes, seed=seed)
+                codes = probe_codes(q, table=t, bits=bits, probes=most_probes, seed=seed)[of.ravel()]
                 own = probe_codes(v, table=t, bits=bits, probes=1, seed=seed)
                 same = codes == own
                 need[at] = np.minimum(need[at], np.where(same.any(axis=1), same.argmax(axis=1), most_probes))
@@ -252,14 +253,18 @@ def nearest_neighbours(
     plan = plan or calibrated(index, asked, index.count(), k, tables, sample, recall, most_probes, seed)
     element = vectors.schema["embedding"].dataType.simpleString()
     out = f"ids array<long>, embedding {element}, buckets array<long>"
-    placed = index.mapInArrow(_bucketed(tables, plan["bits"], 1, seed, ["ids", "embedding"]), out)
-    placed = stored(placed.select("ids", "embedding", F.explode("buckets").alias("bucket")), "buckets")
-    probing = asked.mapInArrow(_bucketed(tables, plan["bits"], plan["probes"], seed, ["ids", "embedding"]), out).select("ids", "embedding", F.explode("buckets").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    large = sizes.filter("shards > 1").withColumnRenamed("bucket", "large")
+    coded = stored(index.mapInArrow(_bucketed(tables, plan["bits"], 1, seed, ["ids", "embedding"]), out), "buckets")
+    sizes = coded.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    # At most tables / shard of the rows; as a file it is as large as the planner takes it for.
+    large = stored(sizes.filter("shards > 1").withColumnRenamed("bucket", "large"), "large")
+    placed = coded.select("ids", "embedding", F.explode("buckets").alias("bucket"))
     dealt = placed.join(large, placed["bucket"] == large["large"], "left").withColumn("s", F.pmod(F.xxhash64("ids"), F.coalesce("shards", F.lit(1))))
     dealt = dealt.select(F.xxhash64("bucket", F.col("s").cast("int")).alias("group"), F.lit(False).alias("is_query"), "ids", "embedding")
-    sent = probing.join(sizes, "bucket").select("bucket", "ids", "embedding", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s"))
+    # A query's probes look as small as the query to the planner, so both joins merge; its vector comes last.
+    probing = asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_bucketed(tables, plan["bits"], plan["probes"], seed, ["ids", "embedding"]), out)
+    probing = probing.select(F.xxhash64("ids", "embedding").alias("asked"), F.explode("buckets").alias("bucket")).join(sizes.hint("merge"), "bucket")
+    probing = probing.select("asked", "bucket", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s"))
+    sent = probing.join(asked.withColumn("asked", F.xxhash64("ids", "embedding")).hint("merge"), "asked")
     sent = sent.select(F.xxhash64("bucket", "s").alias("group"), F.lit(True).alias("is_query"), "ids", "embedding")
     rows = dealt.union(sent).repartition("group").sortWithinPartitions("group", "is_query")
     found = stored(_answers(rows.mapInArrow(_meet(k, 16384), ANSWER), k), "found")

@@ -104,3 +104,24 @@ def test_clashing_columns_and_huge_values(spark):
     for c in ("ids", "bucket", "group", "n", "s", "rank", "query_id", "score", "large", "is_query"):
         d = d.withColumn(c, F.lit("x"))
     assert ann.nearest_neighbours(d).count() == 10
+
+
+def test_probes_of_queries_are_not_broadcast(spark, monkeypatch):
+    """They look as small as the queries to the planner, and would pass through the driver: 512 copies of each vector."""
+    plans = {}
+
+    def seen(df, name, stored=ann.stored):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        return stored(df, name)
+
+    monkeypatch.setattr(ann, "stored", seen)
+    x = np.random.default_rng(7).normal(size=(600, 8))
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    assert ann.nearest_neighbours(d, plan={"bits": 4, "probes": 8}, shard=16).count() == 60
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(plan := plans["found"]):
+        if "BroadcastExchange" in line:
+            below = plan[i + 1 :]
+            end = next((j for j, x in enumerate(below) if depth(x) <= depth(line)), len(below))
+            assert not any("MapInArrow" in x for x in below[:end])
+    assert any("SortMergeJoin" in x for x in plan)
