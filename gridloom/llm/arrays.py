@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import mmap
+import sys
 import uuid
 from collections import OrderedDict
 from urllib.parse import urlparse
@@ -19,7 +20,10 @@ import numpy as np
 import pyarrow.fs
 
 PER_FILE = 8  # buckets
+#: A map without a file descriptor costs little, so there are as many as passes over all files need: to open each again would be most of a pass.
+BARE_MAPS = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 OPEN_FILES, HELD_BYTES = 128, 256 << 20
+OPEN_MAPS = 16384 if BARE_MAPS else OPEN_FILES
 
 
 def _fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -64,11 +68,11 @@ class Writer:
 class _File:
     def __init__(self, uri: str):
         where = urlparse(uri)
-        self.map, self.file, self.held = None, None, {}
+        self.map, self.file, self.held, self.views = None, None, {}, {}
         if where.scheme in ("", "file"):
             try:
                 with open(where.path, "rb") as f:
-                    self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                    self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **BARE_MAPS)
             except FileNotFoundError:  # none of its buckets has anything
                 self.places = {}
                 return
@@ -87,11 +91,14 @@ class _File:
         return self.map[at : at + n] if self.map is not None else self.file.read_at(n, at)
 
     def get(self, key: str, dtype) -> np.ndarray:
+        if key in self.views:
+            return self.views[key]
         at, n = self.places.get(key, (0, 0))
         if not n:
             return np.empty(0, dtype)
         if self.map is not None:
-            return np.frombuffer(self.map, dtype, n // np.dtype(dtype).itemsize, at)
+            self.views[key] = np.frombuffer(self.map, dtype, n // np.dtype(dtype).itemsize, at)
+            return self.views[key]
         if key not in self.held:
             self.held[key] = np.frombuffer(self.file.read_at(n, at), dtype)
         return self.held[key]
@@ -113,7 +120,8 @@ class Reader:
             self.open.move_to_end(uri)
         else:
             held = sum(x.nbytes for f in self.open.values() for x in f.held.values())
-            while self.open and (len(self.open) >= OPEN_FILES or held > HELD_BYTES):
+            most = OPEN_FILES if urlparse(uri).scheme not in ("", "file") else OPEN_MAPS
+            while self.open and (len(self.open) >= most or held > HELD_BYTES):
                 _, old = self.open.popitem(last=False)
                 held -= sum(x.nbytes for x in old.held.values())
             self.open[uri] = _File(uri)

@@ -90,3 +90,16 @@ def sent_packed(bucket: np.ndarray, *arrays: np.ndarray, extra: dict | None = No
             a, z = part[0], part[-1] + 1
             cols = [pa.array([packed(x[a:z], i == 0)], pa.binary()) for i, x in enumerate(arrays)]
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), *cols, *(extra or {}).values()], names=["bucket", *[f"a{i}" for i in range(len(arrays))], *(extra or {})])
+
+
+def joined(parts: Iterator[pa.RecordBatch], rows: int = 256, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, as each one costs more than a small row."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.nbytes
+        if len(held) == rows or size > limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

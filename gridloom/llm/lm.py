@@ -16,6 +16,11 @@ Training
   3. Statistics of single words meet by id range. Discounts come from the
      counts of counts, a few numbers per bucket.
 
+Buckets grow with the input in number, not in size, so one message from each part
+of a task to each bucket, or from each bucket to each other, would be the square of
+it. Messages go to lanes instead, runs of up to a file's buckets (one bucket each up
+to ``LANES``), and a task adds up what its buckets send on before it does.
+
 Scoring maps the files (module ``arrays``) into memory, so a worker holds only
 the pages it touches, and looks up a few hundred thousand keys at a time.
 
@@ -43,11 +48,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import PER_FILE, Reader, Writer
-from .blobs import bucket_count, chunks, sent_packed, unpacked
+from .blobs import bucket_count, chunks, joined, sent_packed, unpacked
 from .common import scratch_path, stored
 
 END = b"\n"  # no word holds white space
 FLUSH = 1 << 20  # tokens of a task before they are sent
+HELD = 1 << 18  # sums for other buckets of a task before they are sent
+LANES = 256  # up to so many buckets get messages of their own
 DEFAULT_DISCOUNTS = (0.5, 1.0, 1.5)
 HOT = 4  # buckets' worth of tokens that a word may bring to its bucket
 STATS = ("total", "n1", "n2", "n3")
@@ -117,6 +124,9 @@ class Model:
 
     def __init__(self, root: str, buckets: int, order: int = 3, hot: float = HOT):
         self.root, self.buckets, self.order, self.hot = root, buckets, order, hot
+        self.lane = 1  # buckets that a message goes to
+        while self.lane < PER_FILE and self.lane * LANES < buckets:
+            self.lane *= 2
         self.words: list[int] = [0] * buckets  # words of each hash range
         self.train_tokens = 0
         self.discounts = {n: DEFAULT_DISCOUNTS for n in range(1, order + 1)}
@@ -142,6 +152,10 @@ class Model:
     def id_bucket(self, i: np.ndarray) -> np.ndarray:
         return i.astype(np.int64) * self.buckets // (self.n_words + 1)
 
+    def lane_of(self, bucket: np.ndarray) -> np.ndarray:
+        """The first bucket of the lane."""
+        return bucket // self.lane * self.lane
+
     def frequent(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Words that would fill a few buckets alone, and the start of a text."""
         return (count > self.hot * self.train_tokens / self.buckets) | (ids == self.n_words)
@@ -172,33 +186,45 @@ class Model:
         for part in np.split(order, cuts) if len(order) else []:
             yield int(bucket[part[0]]), part
 
+    @staticmethod
+    def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Each bucket of sorted ones, where it starts and where it ends."""
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.empty(0, np.int64)
+        yield from zip(bucket[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
     def look_up(self, kind: str, bucket: np.ndarray, name: str, key: np.ndarray, columns: tuple[str, ...]) -> np.ndarray:
         """Columns x keys; zeros where a key is not there."""
         out = np.zeros((len(columns), len(key)), np.int64)
         h = _mixed(key, np.full(len(key), 11, np.uint64))
         top, tail = (h >> np.uint64(32)).astype(np.uint32), (h >> np.uint64(24)).astype(np.uint8)
         # In the order of the bucket's keys, so that searches and reads go through memory once.
-        for b, at in self._parts(bucket, np.argsort(bucket.astype(np.uint64) << np.uint64(32) | top)):
-            known, tails = self.files.get(kind, b, f"{name}_key", np.uint32), self.files.get(kind, b, f"{name}_tail", np.uint8)
+        order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | top)
+        top, tail, found = top[order], tail[order], np.zeros((len(columns), len(key)), np.int64)
+        for b, a, z in self._runs(bucket[order]):
+            known = self.files.get(kind, b, f"{name}_key", np.uint32)
             if not len(known):
                 continue
-            place = np.searchsorted(known, top[at])
-            hit = np.zeros(len(at), bool)
-            open_ = np.arange(len(at))
-            while len(open_):  # once, but where the first 32 bits are shared
-                open_ = open_[place[open_] < len(known)]
-                open_ = open_[known[place[open_]] == top[at[open_]]]
-                same = tails[place[open_]] == tail[at[open_]]
-                hit[open_[same]] = True
-                open_ = open_[~same]
+            tails, wanted, ends = self.files.get(kind, b, f"{name}_tail", np.uint8), top[a:z], tail[a:z]
+            place = np.searchsorted(known, wanted)
+            np.minimum(place, len(known) - 1, out=place)
+            same = known[place] == wanted
+            hit = same & (tails[place] == ends)
+            open_ = np.flatnonzero(same ^ hit)
+            while len(open_):  # where the first 32 bits are shared
                 place[open_] += 1
-            at, place = at[hit], place[hit]
+                open_ = open_[place[open_] < len(known)]
+                open_ = open_[known[place[open_]] == wanted[open_]]
+                ends_here = tails[place[open_]] == ends[open_]
+                hit[open_[ends_here]] = True
+                open_ = open_[~ends_here]
+            place[~hit] = 0
             for k, c in enumerate(columns):
-                small = self.files.get(kind, b, f"{name}_{c}", np.uint8)[place].astype(np.int64)
-                if (big := small == 255).any():
+                small = self.files.get(kind, b, f"{name}_{c}", np.uint8)[place]
+                found[k, a:z] = small * hit
+                if (big := (small == 255) & hit).any():
                     large = self.files.get(kind, b, f"{name}_{c}_at", np.int64)
-                    small[big] = self.files.get(kind, b, f"{name}_{c}_large", np.int64)[np.searchsorted(large, place[big])]
-                out[k, at] = small
+                    found[k, a:z][big] = self.files.get(kind, b, f"{name}_{c}_large", np.int64)[np.searchsorted(large, place[big])]
+        out[:, order] = found
         return out
 
     def by_id(self, name: str, ids: np.ndarray) -> np.ndarray:
@@ -297,22 +323,37 @@ def _in_files(df: DataFrame) -> DataFrame:
     return df.repartition(F.floor(F.col("bucket") / PER_FILE)).sortWithinPartitions("bucket")
 
 
-def _collected(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Packed rows sorted by bucket -> each bucket and its arrays."""
+def _of_lane(first: int, parts: list[list[np.ndarray]], model: Model, bucket_of) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The buckets of a lane from its messages, which are sorted by bucket."""
+    if model.lane == 1:
+        yield first, [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return
+    of: dict[int, list] = {}
+    for arrays in parts:
+        bucket = bucket_of(*arrays)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
+        for a, z in zip(edges, edges[1:], strict=False):
+            of.setdefault(int(bucket[a]), []).append([x[a:z] for x in arrays])
+    for b in sorted(of):
+        yield b, [np.concatenate(x) for x in zip(*of.pop(b), strict=True)]
+
+
+def _collected(batches: Iterator[pa.RecordBatch], dtypes: list, model: Model, bucket_of) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Packed rows sorted by lane -> each bucket and its arrays."""
     now, held = None, []
 
-    def joined():
-        return now, [np.concatenate([unpacked(r[i], t, i == 0) for r in held]) for i, t in enumerate(dtypes)]
+    def arrays():
+        return _of_lane(now, [[unpacked(r[i], t, i == 0) for i, t in enumerate(dtypes)] for r in held], model, bucket_of)
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if row[0] != now:
                 if held:
-                    yield joined()
+                    yield from arrays()
                 now, held = row[0], []
             held.append(row[1:])
     if held:
-        yield joined()
+        yield from arrays()
 
 
 OUT = "bucket int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary, dest int, of_counts array<array<long>>"
@@ -320,8 +361,42 @@ OUT = "bucket int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary, dest i
 
 def _out(part: pa.RecordBatch | None, dest: int, bucket: int = 0, of_counts=None) -> pa.RecordBatch:
     cols = list(part.columns) if part is not None else [pa.array([bucket], pa.int32())]
-    cols += [pa.nulls(1, pa.binary())] * (6 - len(cols))
-    return pa.RecordBatch.from_arrays([*cols, pa.array([dest], pa.int32()), pa.array([of_counts], pa.list_(pa.list_(pa.int64())))], names=["bucket", *[f"a{i}" for i in range(5)], "dest", "of_counts"])
+    n = len(cols[0])
+    cols += [pa.nulls(n, pa.binary())] * (6 - len(cols))
+    return pa.RecordBatch.from_arrays([*cols, pa.array([dest] * n, pa.int32()), pa.array([of_counts] * n, pa.list_(pa.list_(pa.int64())))], names=["bucket", *[f"a{i}" for i in range(5)], "dest", "of_counts"])
+
+
+class _Sums:
+    """What the buckets of a task send on, added up by key; sent when there is too much of it."""
+
+    def __init__(self, model: Model):
+        self.model, self.held = model, {}
+
+    def add(self, dest: int, key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held = self.held.setdefault(dest, [])
+        held.append((key, *values))
+        if sum(len(x[0]) for x in held) > HELD:
+            self._merge(held)
+            if 2 * len(held[0][0]) > HELD:
+                yield from self._send(dest)
+
+    def all(self) -> Iterator[pa.RecordBatch]:
+        for dest in sorted(self.held):
+            self._merge(self.held[dest])
+            yield from self._send(dest)
+
+    @staticmethod
+    def _merge(held: list) -> None:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        by, start = _groups(columns[0])
+        held[:] = [(columns[0][by][start], *_sums(start, *(c[by] for c in columns[1:])))]
+
+    def _send(self, dest: int) -> Iterator[pa.RecordBatch]:
+        key, *values = self.held.pop(dest)[0]
+        bucket = self.model.id_bucket(key) if dest in (TO_WORD, TO_LAST) else self.model.key_bucket(key)
+        by = np.argsort(bucket, kind="stable")
+        for part in joined(sent_packed(self.model.lane_of(bucket[by]), key[by], *[v[by].astype(np.uint64) for v in values])):
+            yield _out(part, dest)
 
 
 def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: float = HOT) -> Model:
@@ -351,13 +426,13 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
     def count_words(batches):
         def flush(cols):
             keys, counts = np.unique(cols[0], return_counts=True)
-            yield from sent_packed(model.range_bucket(keys), keys, counts.astype(np.uint32))
+            yield from joined(sent_packed(model.lane_of(model.range_bucket(keys)), keys, counts.astype(np.uint32)))
 
         yield from in_parts(batches, lambda h, _: (h,), flush)
 
     def merge_words(batches):
         rows, files = [], Writer(model.root, "words")
-        for b, (keys, counts) in _collected(batches, [np.uint64, np.uint32]):
+        for b, (keys, counts) in _collected(batches, [np.uint64, np.uint32], model, lambda keys, _: model.range_bucket(keys)):
             by, start = _groups(keys)
             (counts,) = _sums(start, counts[by])
             files.put(b, {"hash": keys[by][start], "count": counts})
@@ -375,44 +450,41 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
     if model.n_words >= (1 << 32) - 1:
         raise ValueError("more than 2^32 words")
 
+    def keys_of(w1, w2, w3):
+        return gram_key(w1, w2, w3) if order == 3 else pair_key(w2, w3)
+
+    def gram_bucket(key, w2, hot):
+        return np.where(hot == 1, model.key_bucket(key), model.id_bucket(w2))
+
     def count_grams(batches):
         def prepare(h, lens):
             ids, count = model.find_words(h)
             w1, w2, hot = model.contexts(ids, count, lens)
             w1, w2, w3 = (x.astype(np.uint32) for x in (w1, w2, ids))
-            return gram_key(w1, w2, w3) if order == 3 else pair_key(w2, w3), w1, w2, w3, hot.astype(np.uint8)
+            return keys_of(w1, w2, w3), w1, w2, w3, hot.astype(np.uint8)
 
         def flush(cols):
             by, start = _groups(cols[0])
             counts, first = np.diff(np.append(start, len(by))), by[start]
             key, w1, w2, w3, hot = (x[first] for x in cols)
-            bucket = np.where(hot == 1, model.key_bucket(key), model.id_bucket(w2))
+            bucket = gram_bucket(key, w2, hot)
             by = sending_order(bucket, w2, w1)
-            yield from sent_packed(bucket[by], w2[by], w1[by], w3[by], counts[by].astype(np.uint32), hot[by])
+            yield from joined(sent_packed(model.lane_of(bucket[by]), w2[by], w1[by], w3[by], counts[by].astype(np.uint32), hot[by]))
 
         yield from in_parts(batches, prepare, flush)
 
-    def numbers(pair, n):
-        """Rows for single words that follow from counts of different pairs, and their counts of counts."""
+    def numbers(sums, pair, n):
+        """What is known of single words from counts of different pairs."""
         by, start = _groups(pair >> np.uint64(32))
         first = (pair[by][start] >> np.uint64(32)).astype(np.uint32)
-        stats = _sums(start, *(k[by] for k in _kinds(n)))
-        for part in sent_packed(model.id_bucket(first), first, *[s.astype(np.uint32) for s in stats]):
-            yield _out(part, TO_WORD)
+        yield from sums.add(TO_WORD, first, *_sums(start, *(k[by] for k in _kinds(n))))
         last, c = np.unique((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
-        for part in sent_packed(model.id_bucket(last), last, c.astype(np.uint32)):
-            yield _out(part, TO_LAST)
-
-    def by_key(dest, key, *values):
-        bucket = model.key_bucket(key)
-        by = np.lexsort((key, bucket))
-        for part in sent_packed(bucket[by], key[by], *[v[by].astype(np.uint32) for v in values]):
-            yield _out(part, dest)
+        yield from sums.add(TO_LAST, last, c)
 
     def merge_grams(batches):
-        files = Writer(model.root, "grams")
-        for b, (w2, w1, w3, count, hot) in _collected(batches, [np.uint32] * 4 + [np.uint8]):
-            key = gram_key(w1, w2, w3) if order == 3 else pair_key(w2, w3)
+        files, sums = Writer(model.root, "grams"), _Sums(model)
+        for b, (w2, w1, w3, count, hot) in _collected(batches, [np.uint32] * 4 + [np.uint8], model, lambda w2, w1, w3, _, hot: gram_bucket(keys_of(w1, w2, w3), w2, hot)):
+            key = keys_of(w1, w2, w3)
             by, start = _groups(key)
             (n,) = _sums(start, count[by])
             key, w1, w2, w3, hot = (x[by][start] for x in (key, w1, w2, w3, hot))
@@ -428,38 +500,40 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
                     c_by, c_start = _groups(context)
                     stats = _sums(c_start, *(k[c_by] for k in _kinds(n[at])))
                     if spread:
-                        yield from by_key(TO_CONTEXT, context[c_by][c_start], *stats)
+                        yield from sums.add(TO_CONTEXT, context[c_by][c_start], *stats)
                     else:
                         arrays |= _table("context", context[c_by][c_start], dict(zip(STATS, stats, strict=True)))
                 if spread:
-                    yield from by_key(TO_PAIR, pairs, preceding)
+                    yield from sums.add(TO_PAIR, pairs, preceding)
                 else:
                     arrays |= _table("pair", pairs, {"n": preceding})
                     of[1] = _of_counts(preceding)
-                    yield from numbers(pairs, preceding)
+                    yield from numbers(sums, pairs, preceding)
             if order == 3:
                 arrays |= _table("gram", key, {"n": n})
             files.put(b, arrays)
             yield _out(None, -1, b, of if order == 3 else [of[1]])
         files.close()
+        yield from sums.all()
 
     def merge_hot(batches):
         """What frequent words sent on: a bucket's contexts and pairs."""
-        files, now, held = Writer(model.root, "hot"), None, {}
+        files, sums, now, held = Writer(model.root, "hot"), _Sums(model), None, {}
 
         def close():
-            arrays = {}
-            for dest, parts in held.items():
-                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                by, start = _groups(columns[0])
-                keys, sums = columns[0][by][start], _sums(start, *(c[by] for c in columns[1:]))
-                if dest == TO_CONTEXT:
-                    arrays |= _table("context", keys, dict(zip(STATS, sums, strict=True)))
-                else:
-                    arrays |= _table("pair", keys, {"n": sums[0]})
-                    yield from numbers(keys, sums[0])
-                    yield _out(None, -1, now, [[0] * 4, _of_counts(sums[0])] if order == 3 else [_of_counts(sums[0])])
-            files.put(now, arrays)
+            of: dict[int, dict] = {}
+            for dest in sorted(held):
+                for b, columns in _of_lane(now, held[dest], model, lambda key, *_: model.key_bucket(key)):
+                    by, start = _groups(columns[0])
+                    keys, values = columns[0][by][start], _sums(start, *(c[by] for c in columns[1:]))
+                    if dest == TO_CONTEXT:
+                        of[b] = _table("context", keys, dict(zip(STATS, values, strict=True)))
+                    else:
+                        of[b] = of.get(b, {}) | _table("pair", keys, {"n": values[0]})
+                        yield from numbers(sums, keys, values[0])
+                        yield _out(None, -1, b, [[0] * 4, _of_counts(values[0])] if order == 3 else [_of_counts(values[0])])
+            for b in sorted(of):
+                files.put(b, of[b])
 
         for batch in batches:
             for b, *values, dest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
@@ -467,10 +541,11 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
                     if held:
                         yield from close()
                     now, held = b, {}
-                held.setdefault(dest, []).append([unpacked(v, np.uint64 if i == 0 else np.uint32, i == 0) for i, v in enumerate(values) if v is not None])
+                held.setdefault(dest, []).append([unpacked(v, np.uint64, i == 0) for i, v in enumerate(values) if v is not None])
         if held:
             yield from close()
         files.close()
+        yield from sums.all()
 
     sent = texts.select("text").mapInArrow(count_grams, "bucket int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary")
     counted = stored(_in_files(sent).mapInArrow(merge_grams, OUT), "gram_counts")
@@ -484,10 +559,12 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
 
     def merge_words_of(batches):
         """Dense statistics of id ranges."""
-        rows, files, now, dense = [], Writer(model.root, "dense"), None, None
+        rows, files, now, dense, lo = [], Writer(model.root, "dense"), None, None, 0
 
         def close():
-            files.put(now, dense)
+            for b in range(now, min(now + model.lane, model.buckets)):
+                a, z = (x - lo for x in model.id_range(b))
+                files.put(b, {n: x[a:z] for n, x in dense.items()})
             last = dense["last"]
             rows.append((int(last.sum()), int((last >= 3).sum()), *_of_counts(last)))
 
@@ -496,11 +573,11 @@ def train(texts: DataFrame, buckets: int | None = None, order: int = 3, hot: flo
                 if b != now:
                     if dense is not None:
                         close()
-                    lo, hi = model.id_range(b)
+                    lo, hi = model.id_range(b)[0], model.id_range(min(b + model.lane, model.buckets) - 1)[1]
                     now, dense = b, {n: np.zeros(hi - lo, np.int64) for n in (*STATS, "last")}
                 at = unpacked(values[0], np.uint32, True).astype(np.int64) - lo
                 for name, v in zip(STATS if dest == TO_WORD else ("last",), values[1:], strict=False):
-                    dense[name][at] += unpacked(v, np.uint32)  # ids of one part are distinct
+                    dense[name][at] += unpacked(v, np.uint64).astype(np.int64)  # ids of one part are distinct
         if dense is not None:
             close()
         files.close()

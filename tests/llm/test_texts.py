@@ -526,3 +526,34 @@ def test_keys_are_looked_up_in_order(monkeypatch):
     assert got.tolist() == ((mixed // 2 + 1) % 300 + 1).tolist()
     wide = [v for v in asked if v.size > 1000]
     assert len(wide) == 2 and all((np.diff(v.astype(np.int64)) >= 0).all() for v in wide)
+
+
+@pytest.mark.parametrize("order", [3, 2])
+def test_messages_for_several_buckets_hold_the_same_model(spark, sf, order, monkeypatch):
+    monkeypatch.setattr(lm, "LANES", 2)
+    docs = table(spark, sf, "documents").filter("doc_id < 60")
+    want = brute_lm([(r.doc_id, r.text) for r in docs.collect()], order)
+    assert lm.Model("unused", 19).lane == 8
+    rows = lm.kneser_ney_scores(docs, order=order, buckets=19, hot=0.5).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        h, n, known, total, base, score = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, known, total)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+
+
+def test_messages_do_not_grow_with_the_square_of_the_buckets(spark, sf, monkeypatch):
+    """A task of many buckets sends each other bucket one message of a kind, not one from each of its buckets."""
+    sent = {}
+
+    def seen(df, name, stored=lm.stored):
+        out = stored(df, name)
+        sent[name] = out.filter("dest >= 0").count()
+        return out
+
+    monkeypatch.setattr(lm, "stored", seen)
+    docs = table(spark, sf, "documents").filter("doc_id < 60")
+    lm.train(docs, buckets=100, hot=0.5)
+    tasks, kinds = 4, 4
+    assert 0 < sent["gram_counts"] <= tasks * kinds * 100
+    assert 0 < sent["hot_counts"] <= tasks * kinds * 100
