@@ -67,6 +67,31 @@ def test_visits_grow_slower_than_the_rows(spark):
     assert many < 6 * few  # 16 times the rows
 
 
+def lists(x):
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+
+
+@pytest.mark.parametrize(("groups", "shift", "some"), [(5, 0.0, 0.01), (5, 50.0, 0.01), (400, 0.0, 0.01), (1, 0.0, 1.0), (5, 1e7, 1.0), (3, None, 1.0)])
+def test_few_pairs_of_a_shard_are_measured_in_double_precision(monkeypatch, groups, shift, some):
+    """All were, though nearly all are far beyond the nearest; the answers are those of brute force, ties and copies included."""
+    r = np.random.default_rng(11)
+    x = r.integers(0, 2, (2500, 24)).astype(float) if shift is None else r.normal(size=(2500, 24)) + shift
+    q = np.concatenate([x[:300], r.normal(size=(50, 24)) + (shift or 0)]) + (1e7 if shift == 1e7 else 0)
+    own, asks = np.arange(2500) * 7 % groups, np.arange(350) * 7 % groups
+    ids = r.permutation(2500)
+    rows = pa.RecordBatch.from_arrays([*(pa.array(c) for c in (ids, own, np.where(ids % 9 == 0, ids + 3000, -1), np.where(ids % 9 == 0, groups, own), np.zeros(2500))), lists(x)], names=["id1", "grp1", "id2", "grp2", "radius", "v"])
+    pairs, squares = [], neighbours._squares
+    monkeypatch.setattr(neighbours, "_squares", lambda a, b: pairs.append(len(a) * len(b)) or squares(a, b))
+    for best in (np.full(350, np.inf), np.full(350, 1e9)):
+        distance, found, visited = neighbours._Shard([rows]).nearest(q, asks, np.zeros(350), best)
+        for i in range(350):
+            other = np.where(own != asks[i], ids, np.where(ids % 9 == 0, ids + 3000, -1))
+            d = np.where(other >= 0, np.sqrt(((x - q[i]) ** 2).sum(axis=1)), np.inf)
+            assert (distance[i], found[i]) == min(zip(d.tolist(), other.tolist(), strict=True))
+        assert (visited == 2500).all()
+    assert sum(pairs) <= some * 2 * 350 * 2500
+
+
 def test_nearest_without_other_groups_or_vectors(spark):
     assert nearest(spark, []) == {}
     assert nearest(spark, [(1, 0, [1.0]), (2, 0, [2.0])]) == {}
